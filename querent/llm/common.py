@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,14 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
+def once(key: Any, build: Callable[[], Any]) -> Any:
+    """build(), kept for the life of the process: tables and coders that a Python worker needs for task after task."""
+    kept = sys.__dict__.setdefault("_querent_once", {})
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

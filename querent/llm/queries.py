@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from querent.llm import exact_dedup
+from querent.llm import exact_dedup, packing, simhash
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLES = {
