@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from querent.llm import bpe_codec, exact_dedup, packing, quality, secret_scan, simhash, substring_dedup
+from querent.llm import bpe_codec, exact_dedup, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_byte_bpe_codec": bpe_codec.op3_byte_bpe_codec,
+    "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op9_quality_classifier": quality.op9_quality_classifier,
