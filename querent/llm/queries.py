@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from querent.llm import bpe_codec, exact_dedup, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup
+from querent.llm import bpe_codec, exact_dedup, html_extract, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, topk_search
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,10 +11,13 @@ QUERIES = {
     "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_html_extraction": html_extract.op7_html_extraction,
+    "op8_exact_topk_search": topk_search.op8_exact_topk_search,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE_OP5,
+    "op8_exact_topk_search": topk_search.ORACLE_OP8,
 }
