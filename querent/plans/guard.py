@@ -106,7 +106,11 @@ def refusal(spark: SparkSession, sql: str, relations: Iterable[str]) -> str | No
 
 @dataclass
 class SqlExecutor:
-    """Runs queries over the named temporary views of one session; equal queries run once unless they timed out."""
+    """Runs queries over the named temporary views of one session; equal queries run once unless they timed out.
+
+    A deadline cancels the query's jobs; a task ends when it next looks at its interruption, so one deep in a
+    nested loop can hold its core a while longer.
+    """
 
     spark: SparkSession
     relations: tuple[str, ...]
@@ -168,6 +172,7 @@ class SqlExecutor:
 
         def work() -> None:
             self.spark.sparkContext.addJobTag(tag)
+            self.spark.sparkContext.setInterruptOnCancel(True)
             try:
                 df = self.spark.sql(statement)
                 out["columns"] = tuple(df.columns)
