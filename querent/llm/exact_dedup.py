@@ -139,7 +139,9 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     )
     found = materialize(identify(rows, block).select("rid", "level", "name", "own.*"), "identity")
     best = found.groupBy("level", "name").agg(F.min(F.struct(-F.col("n"), F.col("id"), F.col("rid"))).alias("best"), F.count("*").alias("group_size"))
+    # Written, so that the hot groups of the join below lie in plain exchanges that can be split.
     best = best.select("level", "name", F.col("best.id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size")
+    best = materialize(best, "best")
     return found.join(best, ["level", "name"]).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "rid"
     )
