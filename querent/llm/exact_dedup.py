@@ -122,8 +122,8 @@ def identify(df: DataFrame, block: int = BLOCK) -> DataFrame:
         level += 1
 
 
-def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and rid (the row's number here).
+def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block: int = BLOCK, row_column: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and rid (the row's number: row_column, or made here).
 
     Texts are equal when they are identical after deletion of space, tab, LF, VT, FF and CR; null counts as
     empty, and empty texts are equal to each other. Of equal texts the row with the most code points stays,
@@ -133,7 +133,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     text = text_of(text_column)
     bare = F.regexp_replace(text, SPACE, "")
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        (F.col(row_column) if row_column else F.monotonically_increasing_id()).alias("rid"),
         bare.cast("binary").alias("key"),
         F.struct(F.length(text).cast("long").alias("n"), F.col(id_column).cast("long").alias("id"), F.unhex(F.sha2(bare, 256)).alias("sha")).alias("own"),
     )
@@ -150,7 +150,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops; a semi join on the row's number, so repeated ids are told apart."""
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    kept = exact_dedup(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_row"))
+    kept = exact_dedup(rows, row_column="_row").where("kept").select(F.col("rid").alias("_row"))
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
