@@ -193,7 +193,7 @@ def test_prompts_and_training_rows(spark):
     assert rows[1].n_prompt_chars == len(prompts.SYSTEM_PROMPT) + len(user)
     with pytest.raises(Exception, match="no gold SQL"):
         prompts.sft_records(df.withColumn("gold_sql", F.lit("")), F.lit("S")).collect()
-    row = prompts.rl_rows(df, F.lit("S"), "val", "bird", "linked", prompts.PromptConfig(include_evidence=False, instruction_version="v2")).first()
+    row = prompts.rl_rows(df, F.lit("S"), "val", "own", "linked", prompts.PromptConfig(include_evidence=False, instruction_version="v2")).first()
     assert row.extra_info.schema_mode == "linked" and row.reward_model.ground_truth.startswith("SELECT") and "hint" not in row.prompt[1].content
     with pytest.raises(ValueError):
         prompts.PromptConfig(instruction_version="v9")
