@@ -25,7 +25,7 @@ LETTER, NUMBER, WHITE, OTHER = range(4)
 #: Matches of more code points than this are encoded one by one.
 SHORT = 32
 #: Distinct matches kept by a coder before it starts anew.
-KEPT = 500_000
+KEPT = 150_000
 #: Code points that are cut at once.
 CHUNK = 1 << 20
 #: Bytes of a long match's leaf.
@@ -51,7 +51,7 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 def _power_table(base: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(4 * CHUNK, base, np.uint64))])
+        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(CHUNK, base, np.uint64))])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ class Coder:
         ends = np.r_[starts[1:], n]
         width = ends - starts
         with np.errstate(over="ignore"):
-            if n <= 4 * CHUNK:
+            if n <= CHUNK:
                 up, down = once("powers", _powers)
                 total = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * up[:n])]
                 name = (total[ends] - total[starts]) * down[starts] + mix(width.astype(np.uint64))
@@ -228,6 +228,11 @@ class Coder:
         bounds = np.r_[piece_at, len(ids)][np.searchsorted(starts, np.r_[text_at, n])]
         return ids, bounds, starts, piece_at, n
 
+    def forget(self) -> None:
+        """Drop what is kept between texts, so that an idle worker holds little memory."""
+        self.known.clear()
+        self.fits.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids: halves decoded and concatenated."""
         if len(ids) <= 8192:

@@ -138,6 +138,7 @@ def _digests(path: str):
                     text_sha.append(hashlib.sha256(code.decode(own)).hexdigest())
                 at = to
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        code.forget()
 
     return run
 

@@ -166,11 +166,12 @@ def _tokenise(path: str, capacity: int):
                         start = end
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["rid", "doc_id", "piece", "start", "length", "ids_crc32"])
+        code.forget()
 
     return run
 
 
-def _slices(texts: list[str], size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of slices of about so many code points."""
     at, n = 0, 0
     for i, t in enumerate(texts):
