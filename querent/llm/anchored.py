@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm.bpe import mix
-from querent.llm.common import materialize, once, text_of
+from querent.llm.common import materialize, once, release, text_of
 
 #: Bits of a bitmap (16 MiB), and of one of the blocks that tasks build.
 BITS, BLOCK = 1 << 27, 1 << 16
@@ -50,6 +50,14 @@ class Grams:
         with np.errstate(over="ignore"):
             self.total = np.r_[np.zeros(1, np.uint64), np.cumsum(symbols * up[: len(symbols)])]
 
+    def every(self, k: int) -> np.ndarray:
+        """Scattered hashes of all stretches of k symbols."""
+        with np.errstate(over="ignore"):
+            x = (self.total[k:] - self.total[:-k]) * self.down[: len(self.total) - k]
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0x9E3779B97F4A7C15)
+        return x
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
@@ -79,7 +87,7 @@ def seeds(symbols: np.ndarray, bounds: np.ndarray, window: int, k: int):
     nothing = np.empty(0, np.int64)
     if n <= 0:
         return grams, nothing, nothing.astype(np.uint64), nothing, nothing
-    gram = grams.of(np.arange(len(symbols) - k + 1), np.arange(k, len(symbols) + 1))
+    gram = grams.every(k)
     own = _sliding_argmin(gram, window - k + 1)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[:n]
     valid = np.arange(n) + window <= bounds[1:][doc]
@@ -181,6 +189,7 @@ def repeats(rows: DataFrame, slices: Sequences, window: int, k: int, payload, re
     counted = rows.select("id", "mark", "text").mapInArrow(_emit(slices, window, k, None, None, "hash"), "h long")
     again = materialize(counted.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     passing = bitmap(again)
+    release(again)
     found = materialize(rows.mapInArrow(_emit(slices, window, k, passing, None, "seed"), _SEED), "seeds")
     spans = found.groupBy("h", "span").agg(F.min(place("id", "mark", "start")).alias("first"), F.count("*").alias("n"))
     spans = materialize(spans, "spans")
@@ -193,9 +202,9 @@ def repeats(rows: DataFrame, slices: Sequences, window: int, k: int, payload, re
     listed = rows.mapInArrow(_emit(slices, window, k, bitmap(ragged), payload, "payload"), f"{_SEED}, payload binary")
     key = [listed[c].eqNullSafe(leading[c]) if c == "id" else listed[c] == leading[c] for c in ("h", "span", "id", "mark", "start")]
     listed = materialize(listed.join(leading, key, "left_semi").dropDuplicates(["h", "span"]), "listed")
-    resolved = resolve(listed)
-    # A span that repeats may be covered further by what its first occurrence is covered by.
-    return whole.unionByName(resolved)
+    runs = materialize(whole.unionByName(resolve(listed)), "runs")
+    release(found, spans, many, ragged, leading, listed)
+    return runs
 
 
 def merge(starts: list[int], stops: list[int]) -> list[list[int]]:

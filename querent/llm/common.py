@@ -39,7 +39,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/querent-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._querent_path = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again, and let go of the shuffles behind them.
+
+    Spark deletes a shuffle's files when the driver's garbage collector finds it unused, which can be long after.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._querent_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def text_of(column: str = "text") -> Column:

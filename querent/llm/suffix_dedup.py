@@ -2,8 +2,8 @@
 
 A collection's Burrows-Wheeler transform, the order of its suffixes and their common prefixes are built from
 the strings' last symbols to their first: each round puts one symbol of every string before its last suffix,
-finds the new suffixes' places by ranks in the transform, and measures common prefixes (to WINDOW symbols)
-where one was put in. Between rounds the columns lie in external files that are read and written in sequence.
+finds the new suffixes' places by ranks in the transform, and tells where one was put in whether it has WINDOW
+symbols in common with its neighbours. Columns too large for memory lie in external files between rounds.
 
 Whole texts can't be one collection: rounds are as many as the longest text's bytes, and each reads all of
 the transform. What is built are collections of spans instead: the stretches of bytes whose windows share a
@@ -30,9 +30,11 @@ from querent.llm.bpe import mix
 from querent.llm.common import materialize, once
 
 #: Bytes of a window, and of an anchor.
-WINDOW, K = 100, 24
+WINDOW, K = 100, 48
 #: Spans of a collection (whole anchors), and the most spans of one anchor in it.
 COLLECTION, HOT = 1000, 400
+#: Bytes of a collection's columns that are kept in memory; spans that a task sorts, about.
+SPILL, TASK = 32 << 20, 2000
 
 
 def _symbols() -> np.ndarray:
@@ -64,74 +66,107 @@ def _spans(window: int):
     return payload
 
 
-class _Files:
-    """Columns of one round in external files, written and read in sequence."""
+class _Columns:
+    """The columns of one round: in external files, written and read in sequence, once they take over SPILL bytes together."""
 
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder, self.held, self.kinds = folder, {}, {}
 
-    def write(self, **columns: np.ndarray) -> None:
-        for name, column in columns.items():
-            column.tofile(os.path.join(self.folder, name))
+    def put(self, **columns: np.ndarray) -> None:
+        self.held, self.kinds = columns, {}
+        if sum(c.nbytes for c in columns.values()) > SPILL:
+            for name, column in columns.items():
+                column.tofile(os.path.join(self.folder, name))
+                self.kinds[name] = column.dtype
+            self.held = {}
 
-    def read(self, name: str, kind) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, name), kind)
-
-
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray, most: int) -> np.ndarray:
-    """Lengths of the common prefixes of text[a:a_end] and text[b:b_end], most at most."""
-    step = np.arange(most)
-    x, y = a[:, None] + step, b[:, None] + step
-    same = (x < a_end[:, None]) & (y < b_end[:, None])
-    same &= text[np.minimum(x, len(text) - 1)] == text[np.minimum(y, len(text) - 1)]
-    return np.where(same.all(axis=1), most, same.argmin(axis=1)).astype(np.uint8)
+    def get(self, name: str) -> np.ndarray:
+        return self.held[name] if name in self.held else np.fromfile(os.path.join(self.folder, name), self.kinds[name])
 
 
 def collection_order(strings: list[bytes], most: int, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, place, common prefix with the suffix before, most at most) of all suffixes, sorted; ends of strings differ."""
+    """(string, place, whether the suffix and the one before agree in their first most symbols) of all suffixes, sorted; ends of strings differ."""
     n = len(strings)
     sizes = np.array([len(s) for s in strings], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    end = begin + sizes
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    files = _Files(folder)
-    own = np.arange(n, dtype=np.int32)
-
-    def before(string: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The transform's symbols: 1 and up, 0 at the start of a string."""
-        symbol = np.zeros(len(string), np.uint16)
-        inner = place > 0
-        symbol[inner] = text[begin[string[inner]] + place[inner] - 1].astype(np.uint16) + 1
-        return symbol
-
-    files.write(string=own, place=sizes.astype(np.int32), bwt=before(own, sizes), lcp=np.zeros(n, np.uint8))
+    # Each string has one place more than symbols, for its end.
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    ends = (begin + sizes).astype(np.int32)
+    text = np.frombuffer(b"\0".join(strings) + b"\0" * (most + 1), np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(text, most)
+    before = np.r_[np.zeros(1, np.uint8), text]  # the transform's symbol of a suffix that starts at a place
+    starts = np.zeros(len(text) + 1, bool)
+    starts[begin] = True
+    string_of = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
+    columns = _Columns(folder)
+    columns.put(place=ends, fresh=np.ones(n, bool), same=np.zeros(n, bool))
     for length in range(1, int(sizes.max(initial=0)) + 1):
-        bwt = files.read("bwt", np.uint16)
-        string, place, lcp = files.read("string", np.int32), files.read("place", np.int32), files.read("lcp", np.uint8)
-        there = np.flatnonzero(bwt)
-        order = there[np.argsort((bwt[there] - 1).astype(np.uint8), kind="stable")]
-        string, place = np.r_[own, string[order]], np.r_[sizes.astype(np.int32), place[order] - 1]
-        new = sizes[string] - place == length
-        grown = np.zeros(len(string), np.uint8)
-        grown[~new] = lcp
-        at = np.flatnonzero(new)
-        # A new suffix and the one before it; then the one after it, if that is an old one.
-        for right in (at, at[(at + 1 < len(string))] + 1):
-            right = right[right > 0]
-            left = right - 1
-            grown[right] = _common(text, begin[string[left]] + place[left], begin[string[right]] + place[right], end[string[left]], end[string[right]], most)
-        files.write(string=string, place=place, bwt=before(string, place), lcp=grown)
-    return files.read("string", np.int32), files.read("place", np.int32), files.read("lcp", np.uint8)
+        place = columns.get("place")
+        there = np.flatnonzero(~starts[place])
+        order = there[np.argsort(before[place[there]], kind="stable")]
+        fresh = np.r_[np.zeros(n, bool), columns.get("fresh")[order]]
+        place = np.r_[ends, place[order] - 1]
+        same = np.zeros(len(place), bool)
+        same[~fresh] = columns.get("same")
+        if length >= most:
+            # A new suffix and the one before it; then the one after it and the new one.
+            at = np.flatnonzero(fresh)
+            for right in (at, at[at + 1 < len(place)] + 1):
+                a, b = place[right - 1], place[right]
+                long = (ends[string_of[a]] - a >= most) & (ends[string_of[b]] - b >= most)
+                same[right] = False
+                right = right[long]
+                same[right] = (rows[a[long]] == rows[b[long]]).all(axis=1)
+        columns.put(place=place, fresh=fresh, same=same)
+    place = columns.get("place")
+    string = string_of[place]
+    return string, (place - begin[string]).astype(np.int32), columns.get("same")
+
+
+def _trim(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of each string from its first to its last window whose hash occurs again; equal ones where there is none."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    grams = anchored.Grams(once("byte symbols", _symbols)[np.frombuffer(b"".join(strings), np.uint8)])
+    counts = np.maximum(sizes - window + 1, 0)
+    own = np.repeat(np.arange(len(strings)), counts)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = begin[own] + place
+    _, inverse, often = np.unique(grams.of(at, at + window), return_inverse=True, return_counts=True)
+    again = often[inverse] > 1
+    own, place = own[again], place[again]
+    low, high = np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
+    if not len(own):
+        return low, high
+    head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    low[own[head]] = place[head]
+    high[own[head]] = place[np.r_[head[1:], len(own)] - 1] + window
+    return low, high
 
 
 def repeated_windows(strings: list[bytes], keys: list[tuple], window: int, folder: str) -> list[list[tuple[int, int]]]:
-    """Per string, stretches of places whose windows occur earlier; keys: (what orders documents, start) of each string."""
-    string, place, lcp = collection_order(strings, window, folder)
+    """Per string, stretches of places whose windows occur earlier; keys: (what orders documents, start) of each string.
+
+    Strings are first cut to where the hashes of their windows occur again; the order of what is left decides.
+    """
+    low, high = _trim(strings, window)
+    chosen = np.flatnonzero(high > low)
+    found = _earlier([strings[i][low[i] : high[i]] for i in chosen], [(keys[i][0], keys[i][1] + int(low[i])) for i in chosen], window, folder)
+    out: list[list[tuple[int, int]]] = [[] for _ in strings]
+    for i, stretches in zip(chosen, found, strict=True):
+        out[i] = [(a + int(low[i]), b + int(low[i])) for a, b in stretches]
+    return out
+
+
+def _earlier(strings: list[bytes], keys: list[tuple], window: int, folder: str) -> list[list[tuple[int, int]]]:
+    """repeated_windows of strings as they are, by the sorted suffixes."""
+    if not strings:
+        return []
+    string, place, same = collection_order(strings, window, folder)
     sizes = np.array([len(s) for s in strings], np.int64)
     ranks = {k: i for i, k in enumerate(sorted({k[0] for k in keys}))}
     doc = np.array([ranks[k[0]] for k in keys], np.int64)
     start = np.array([k[1] for k in keys], np.int64)
-    runs = np.cumsum(lcp < window)
+    runs = np.cumsum(~same)
     long_enough = sizes[string] - place >= window
     run, string, place = runs[long_enough], string[long_enough], place[long_enough].astype(np.int64)
     order = np.lexsort((start[string] + place, doc[string], run))
@@ -145,12 +180,13 @@ def repeated_windows(strings: list[bytes], keys: list[tuple], window: int, folde
     later = (spot != spot[:, leading]).any(axis=0)
     string, place = string[later], place[later]
     order = np.lexsort((place, string))
+    string, place = string[order], place[order]
     out: list[list[tuple[int, int]]] = [[] for _ in strings]
-    for s, p in zip(string[order].tolist(), place[order].tolist(), strict=True):
-        if out[s] and out[s][-1][1] >= p:
-            out[s][-1] = (out[s][-1][0], p + 1)
-        else:
-            out[s].append((p, p + 1))
+    if len(string):
+        head = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)])
+        tail = np.r_[head[1:], len(string)] - 1
+        for k, a, b in zip(string[head].tolist(), place[head].tolist(), place[tail].tolist(), strict=True):
+            out[k].append((a, b + 1))
     return out
 
 
@@ -201,7 +237,9 @@ def _resolve(window: int, hot: int):
     def resolve(listed: DataFrame) -> DataFrame:
         counts = listed.groupBy("h").agg(F.count("*").alias("n"))
         marked = materialize(counts.where(F.col("n") > hot).select("h"), "hot")
-        mild = listed.join(marked, "h", "left_anti").repartition("h").sortWithinPartitions("h", "id", "mark", "start")
+        # Few bytes, much work: so many tasks that each has about TASK spans.
+        parts = max(16, listed.count() // TASK)
+        mild = listed.join(marked, "h", "left_anti").repartition(parts, "h").sortWithinPartitions("h", "id", "mark", "start")
         found = mild.select("h", "id", "mark", "start", "payload").mapInArrow(_collections(window), "id long, mark long, start int, stop int")
         if marked.isEmpty():
             return found
