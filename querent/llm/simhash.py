@@ -228,14 +228,6 @@ def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     return marks.join(member, "fp").select("rid", F.col("id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id, then the earliest."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = simhash_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_root"))
-    ranked = rows.select("_row", "doc_id").join(found, "_row").groupBy("_root").agg(F.min(F.struct("doc_id", "_row")).alias("best"))
-    return rows.join(ranked.select(F.col("best._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
-
-
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row of documents with its fingerprint and component."""
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
