@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from itertools import chain
 
 import numpy as np
@@ -114,15 +115,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def load_added(path: str) -> dict[str, int]:
+    """Ids of a vocabulary file's added tokens, which stand in texts as they are; rank files have none."""
+    if not path.endswith(".json"):
+        return {}
+    found = json.load(open(path, encoding="utf-8")).get("added_tokens") or []
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in found):
+        raise ValueError("added tokens that take in white space or whole words only are not supported")
+    return {x["content"]: x["id"] for x in found if x["content"]}
+
+
 class Coder:
-    """Encodes and decodes texts by the ranks of one file."""
+    """Encodes and decodes texts by the ranks of one file, and its added tokens."""
 
     def __init__(self, path: str):
         import tiktoken
 
         ranks = load_ranks(path)
         self.piece = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.bytes_of: dict[int, bytes] = {i: t for t, i in ranks.items()}
+        self.added = load_added(path)
+        self.bytes_of: dict[int, bytes] = {i: t for t, i in ranks.items()} | {i: t.encode() for t, i in self.added.items()}
         self.known: dict[str, list[int]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
 
@@ -165,6 +177,27 @@ class Coder:
             found = self.known[text] = self.piece(text.encode())
         return found
 
+    def encode_added(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's ids start (one more at the end); added tokens are cut out first."""
+        if not any(t in text for text in texts for t in self.added):
+            return self.encode_many(texts)[:2]
+        # Longer ones first: where several start at one place, the longest counts.
+        cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        parts = [cut.split(t) for t in texts]  # odd ones are added tokens
+        ids, bounds, *_ = self.encode_many([s for own in parts for s in own[::2]])
+        out, sizes, at = [], [], 0
+        for own in parts:
+            size = 0
+            for i, s in enumerate(own):
+                if i % 2:
+                    out.append(np.array([self.added[s]], np.uint32))
+                else:
+                    out.append(ids[bounds[at] : bounds[at + 1]])
+                    at += 1
+                size += len(out[-1])
+            sizes.append(size)
+        return np.concatenate(out), np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts; where each text's ids start (one more at the end); the matches' starts in the concatenated texts; where each match's ids start."""
         parts, at = [], 0

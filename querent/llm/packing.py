@@ -155,7 +155,7 @@ def _tokenise(path: str, capacity: int):
             texts = batch.column("text").to_pylist()
             rids, keys = batch.column("rid").to_pylist(), batch.column("id").to_pylist()
             for at, to in _slices(texts):
-                ids, bounds, *_ = code.encode_many(texts[at:to])
+                ids, bounds = code.encode_added(texts[at:to])
                 for k in range(to - at):
                     own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(END_ID)).astype("<u4")
                     head = (len(own) - 1) % capacity + 1
@@ -204,9 +204,9 @@ def _place(table: np.ndarray):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Pieces of all documents with their places in sequences of at most capacity tokens.
 
-    A document is its ids and the end id; null and empty texts are the end id alone. Only documents longer
-    than capacity are cut, the remainder first. Columns: rid, doc_id, piece, start, length, ids_crc32,
-    sequence_id, offset. Repeated rows are packed each for itself, null ids too; an empty table gives none.
+    A document is its ids, added tokens of the tokenizer's file included, and the end id; null and empty
+    texts are the end id alone. Only documents longer than capacity are cut, the remainder first. Columns: rid,
+    doc_id, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are packed each for itself, null ids too; an empty table gives none.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
     base = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -113,3 +113,23 @@ def test_packing_query(spark):
         ends = (own.offset + own.length).tolist()
         assert own.offset.tolist() == [0, *ends[:-1]] and ends[-1] <= 2048
     assert packing.pack(docs.limit(0), packing.default_tokenizer()).count() == 0
+
+
+def test_packing_query_with_added_tokens(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    end = "<|endoftext|>"
+    rows = list(enumerate([f"a {end} b", end, end * 3, f"x{end}", f"{end}  y", f"don't{end}'ll  {end}\n", "<|endoftext|", f"<|endof{end}text|>", "plain text", "", *(f" {end}".join(texts(s, 5)) for s in range(20))]))
+    rows.append((50, f"some words {end} " * 2000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    library = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
+    coder = bpe.Coder(packing.default_tokenizer())
+    want = {}
+    for i, t in rows:
+        own = library.encode(t, add_special_tokens=False).ids
+        assert coder.encode_added([t])[0].tolist() == own and coder.decode(own) == t.encode()
+        start, stop = 0, len(own) % 2048 + 1
+        for piece in range(len(own) // 2048 + 1):
+            want[i, piece] = (start, stop - start, zlib.crc32(np.array([*own, 0][start:stop], "<u4").tobytes()))
+            start, stop = stop, stop + 2048
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packing.pack(docs, packing.default_tokenizer()).collect()}
+    assert got == want
