@@ -142,19 +142,33 @@ def within_budget(blocks: DataFrame, most: int, keys: tuple[str, ...] = ("questi
     """Whole blocks kept in rank order while the text, blocks joined by blank lines, fits; later smaller ones may still fit, the first always stays.
 
     blocks: keys, rank, name, block. Gives keys, names, text, chars, exceeded; most 0 is no budget.
+
+    The text only grows, so once a block is left out, so are all later ones of its length: of each length
+    the first few in rank order are all that can stay. With a budget no more than these are gathered, some
+    most * ln(most) short blocks a group, and the group's first block if it is longer than the budget.
     """
-    lists = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "name", "block"))).alias("blocks"))
+    own = F.struct("rank", "name", "block")
+    if most > 0:
+        size = F.length("block")
+        fitting = blocks.where(size <= most).withColumn("_size", size)
+        place = F.row_number().over(Window.partitionBy(*keys, "_size").orderBy("rank", "name", "block"))
+        fitting = fitting.withColumn("_place", place).where((F.col("_size") + 2) * F.col("_place") <= most + 2)
+        whole = blocks.groupBy(*keys).agg(F.min(own).alias("own"), F.count("*").alias("n"))
+        oversize = F.coalesce(F.length("own.block") > most, F.lit(True))
+        blocks = fitting.select(*keys, own.alias("own"), F.lit(0).cast("long").alias("n")).union(whole.select(*keys, F.when(oversize, F.col("own")).alias("own"), "n"))
+    else:
+        blocks = blocks.select(*keys, own.alias("own"), F.lit(1).cast("long").alias("n"))
+    lists = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list("own")).alias("blocks"), F.sum("n").alias("n"))
     start = F.struct(
-        F.expr("cast(array() as array<string>)").alias("names"), F.expr("cast(array() as array<string>)").alias("kept"), F.lit(0).alias("chars"), F.lit(False).alias("skipped")
+        F.expr("cast(array() as array<string>)").alias("names"), F.expr("cast(array() as array<string>)").alias("kept"), F.lit(0).alias("chars")
     )
 
     def step(s: Column, b: Column) -> Column:
         longer = s["chars"] + F.when(F.size(s["kept"]) > 0, 2).otherwise(0) + F.length(b["block"])
         fits = (F.size(s["kept"]) == 0) | F.lit(most <= 0) | (longer <= most)
-        taken = F.struct(F.concat(s["names"], F.array(b["name"])).alias("names"), F.concat(s["kept"], F.array(b["block"])).alias("kept"), longer.alias("chars"), s["skipped"].alias("skipped"))
-        left = F.struct(s["names"].alias("names"), s["kept"].alias("kept"), s["chars"].alias("chars"), F.lit(True).alias("skipped"))
-        return F.when(fits, taken).otherwise(left)
+        taken = F.struct(F.concat(s["names"], F.array(b["name"])).alias("names"), F.concat(s["kept"], F.array(b["block"])).alias("kept"), longer.alias("chars"))
+        return F.when(fits, taken).otherwise(s)
 
     folded = lists.withColumn("f", F.aggregate("blocks", start, step))
-    exceeded = F.col("f.skipped") | (F.lit(most > 0) & (F.col("f.chars") > most))
+    exceeded = (F.size("f.names") < F.col("n")) | (F.lit(most > 0) & (F.col("f.chars") > most))
     return folded.select(*keys, F.col("f.names").alias("names"), F.array_join("f.kept", "\n\n").alias("text"), F.col("f.chars").alias("chars"), exceeded.alias("exceeded"))

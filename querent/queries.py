@@ -512,7 +512,7 @@ def oracle_tables(spark, d):
 def budgeted_blocks(spark, d):
     """Documents of each language as blocks within a budget a source."""
     docs = table(spark, d, "documents")
-    blocks = docs.select("source", "lang", F.col("doc_id").alias("rank"), F.col("doc_id").cast("string").alias("name"), F.substring("text", 1, 400).alias("block"))
+    blocks = docs.select("source", "lang", F.col("doc_id").alias("rank"), F.col("doc_id").cast("string").alias("name"), F.col("text").alias("block"))
     return linking.within_budget(blocks, 2000, ("source", "lang"))
 
 
