@@ -6,14 +6,20 @@ equal anchors at equal places, and consecutive windows mostly share theirs: a se
 span of all windows that chose it. Equal windows are found among the seeds of one anchor hash only:
 
 1. count the seeds of each hash, combined before the shuffle; only hashes that occur again matter;
-2. list those seeds with a hash of the whole span. Seeds with equal spans match over their whole extent, so
-   all but the first occurrence are repeats;
-3. where the spans of one hash differ (a match ends inside them), hand these to the caller, one row a
-   distinct span, to be compared window by window.
+2. list those seeds with a hash of the whole span. Equal spans of a hash are one string, with the place of
+   its first occurrence and their number;
+3. hand the strings, with their text, to the caller in collections of whole groups. It finds the windows of
+   each that occur earlier in another string, and those that its own later occurrences repeat;
+4. carry the latter over to all occurrences of the string.
+
+A group of more than HOT strings is divided by content before step 3: the windows of a string are cut into
+ranges by where the anchor lies in them, and the strings of one range are grouped by the symbols that all
+its windows must share. Equal windows stay together. Ranges get narrower until groups are small; at the
+last one a group is one window.
 
 Steps 2 and 3 read the texts again instead of storing windows. What passes is chosen by a bitmap of hashes
 of a fixed BITS, built on the executors in blocks; a fuller bitmap lets more rows through to the exact
-joins that follow, it never loses one. A document is told by its id and a hash of its text: of rows with
+comparisons that follow, it never loses one. A document is told by its id and a hash of its text: of rows with
 one id and different texts the smaller hash comes first, and rows equal in both are one document.
 """
 
@@ -23,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +40,10 @@ from querent.llm.common import materialize, once, release, text_of
 BITS, BLOCK = 1 << 27, 1 << 16
 #: Symbols handled at once; a longer document is a slice by itself.
 SLICE = 1 << 20
+#: Strings of a group beyond which it is divided, and how much narrower the ranges of places get.
+HOT, NARROWER = 400, 4
+#: Strings of a collection (whole groups), of a task, and the most tasks.
+COLLECTION, TASK, TASKS = 4000, 8000, 20_000
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,12 +92,12 @@ def _sliding_argmin(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def seeds(symbols: np.ndarray, bounds: np.ndarray, window: int, k: int):
-    """Grams and, of each seed, (document, hash, first window, last window) in the concatenated symbols of documents within bounds."""
+    """Grams and, of each seed, (document, hash, first window, last window, anchor) in the concatenated symbols of documents within bounds."""
     grams = Grams(symbols)
     n = len(symbols) - window + 1
     nothing = np.empty(0, np.int64)
     if n <= 0:
-        return grams, nothing, nothing.astype(np.uint64), nothing, nothing
+        return grams, nothing, nothing.astype(np.uint64), nothing, nothing, nothing
     gram = grams.every(k)
     own = _sliding_argmin(gram, window - k + 1)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[:n]
@@ -95,7 +106,7 @@ def seeds(symbols: np.ndarray, bounds: np.ndarray, window: int, k: int):
     first = np.flatnonzero(new)
     closing = np.r_[~valid[1:] | new[1:], True] & valid
     last = np.flatnonzero(closing)
-    return grams, doc[first], gram[own[first]], first, last
+    return grams, doc[first], gram[own[first]], first, last, own[first]
 
 
 class Bitmap:
@@ -139,33 +150,52 @@ Sequences = Callable[[list[str]], Iterator[tuple[int, int, np.ndarray, np.ndarra
 """Slices of texts: (first text, text after the last, symbols, bounds)."""
 
 
+def spot(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of columns of longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    found = np.full(len(columns[0]), 42, np.uint64)
+    with np.errstate(over="ignore"):
+        for column in columns:
+            found = found + p5 + np.uint64(8)
+            found = turn(found ^ (turn(column.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+            found = (found ^ (found >> np.uint64(33))) * p2
+            found = (found ^ (found >> np.uint64(29))) * p3
+            found ^= found >> np.uint64(32)
+    return found
+
+
 def _emit(slices: Sequences, window: int, k: int, kept, payload, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passing = Bitmap(kept.value) if kept is not None else None
         for batch in batches:
             texts = batch.column("text").to_pylist()
             ids, marks = batch.column("id"), batch.column("mark")
+            numbers = (pc.fill_null(ids, 0).to_numpy(), marks.to_numpy())
             for at, _, symbols, bounds in slices(texts):
-                grams, doc, name, first, last = seeds(symbols, bounds, window, k)
+                grams, doc, name, first, last, anchor = seeds(symbols, bounds, window, k)
+                start = first - bounds[doc]
                 if passing is not None:
-                    own = passing.holds(name)
-                    doc, name, first, last = doc[own], name[own], first[own], last[own]
-                columns = {"h": pa.array(name.view(np.int64))}
+                    own = passing.holds(spot(*(n[doc + at] for n in numbers), start) if kind == "payload" else name)
+                    doc, name, first, last, anchor, start = (x[own] for x in (doc, name, first, last, anchor, start))
+                columns = {"g": pa.array(name.view(np.int64))}
                 if kind != "hash":
                     row = pa.array(doc + at)
-                    start = first - bounds[doc]
                     columns |= {
-                        "id": ids.take(row), "mark": marks.take(row), "start": pa.array(start.astype(np.int32)),
-                        "windows": pa.array((last - first + 1).astype(np.int32)), "span": pa.array(grams.of(first, last + window).view(np.int64)),
+                        "name": pa.array(grams.of(first, last + window).view(np.int64)), "id": ids.take(row), "mark": marks.take(row),
+                        "start": pa.array(start.astype(np.int32)), "windows": pa.array((last - first + 1).astype(np.int32)),
                     }
                 if kind == "payload":
-                    columns["payload"] = pa.array(payload(grams, symbols, texts, at, doc, bounds, first, last), pa.binary())
+                    columns["reach"] = pa.array((anchor - first).astype(np.int32))
+                    columns["payload"] = pa.array(payload(symbols, texts, at, doc, bounds, first, last), pa.binary())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-_SEED = "h long, id long, mark long, start int, windows int, span long"
+_SEED = "g long, name long, id long, mark long, start int, windows int"
+#: A string: its group and name, its first place, how many places it has, its windows, the symbols before its anchor, its text.
+_STRING = "g long, name long, id long, mark long, start int, n long, windows int, reach int, payload binary"
 
 
 def documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -179,31 +209,165 @@ def place(*columns: str) -> F.Column:
     return F.struct(*(columns or ("id", "mark", "start")))
 
 
-def repeats(rows: DataFrame, slices: Sequences, window: int, k: int, payload, resolve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+Compare = Callable[[list[bytes], list[tuple], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+"""Of whole groups' strings, their places (document, start), groups, windows and reaches: (string, window) of all that an
+earlier string has too, and of all windows there are."""
+
+
+def stretches(string: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first, how many) of consecutive windows of each string."""
+    order = np.lexsort((window, string))
+    string, window = string[order], window[order]
+    head = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (window[1:] != window[:-1] + 1)])
+    if not len(string):
+        head = head[:0]
+    return string[head], window[head], np.diff(np.r_[head, len(string)])
+
+
+def _compared(compare: Compare):
+    """Verdicts on sorted strings: own stretches of first occurrences, and what later occurrences repeat."""
+    kinds = {"g": pa.int64(), "name": pa.int64(), "id": pa.int64(), "mark": pa.int64(), "start": pa.int32(), "shift": pa.int32(), "windows": pa.int32(), "later": pa.bool_()}
+    least = -(1 << 63)
+
+    def done(rows: list[tuple]) -> pa.RecordBatch:
+        g, name, id_, mark, start, n, windows, reach, payload = zip(*rows, strict=True)
+        docs = [(least if i is None else i, i is not None, m) for i, m in zip(id_, mark, strict=True)]
+        ranks = {d: r for r, d in enumerate(sorted(set(docs)))}
+        places = [(ranks[d], s) for d, s in zip(docs, start, strict=True)]
+        (string, window), (all_string, all_window) = compare(list(payload), places, *(np.array(x, np.int64) for x in (g, windows, reach)))
+        many = np.array(n, np.int64)[all_string] > 1
+        parts = [(*stretches(string, window), False), (*stretches(all_string[many], all_window[many]), True)]
+        of = np.concatenate([p[0] for p in parts])
+        columns = [pa.array(x, kinds[c]).take(pa.array(of)) for c, x in zip(("g", "name", "id", "mark", "start"), (g, name, id_, mark, start), strict=True)]
+        columns += [pa.array(np.concatenate([p[i] for p in parts]).astype(np.int32)) for i in (1, 2)]
+        columns.append(pa.array(np.concatenate([np.full(len(p[0]), p[3]) for p in parts])))
+        return pa.RecordBatch.from_arrays(columns, list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        first = None  # a string without text: what its text's row must agree with, and n
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[-1] is None:
+                    first = row
+                    continue
+                if not row[5]:
+                    if first is None or row[:5] != first[:5]:
+                        continue
+                    row, first = (*row[:5], first[5], *row[6:]), None
+                if len(held) >= COLLECTION and row[0] != held[-1][0]:
+                    yield done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield done(held)
+
+    return run, ", ".join(f"{c} {t}" for c, t in zip(kinds, ("long", "long", "long", "long", "int", "int", "int", "boolean"), strict=True))
+
+
+def _split(window: int, width: int, cut: Callable[[bytes, int, int], bytes]):
+    """Strings to their stretches of windows whose anchor lies in one range of width places, grouped by what these must share."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            out: list[tuple] = []
+            for g, name, id_, mark, start, n, windows, reach, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for q in range((reach - windows + 1) // width, reach // width + 1):
+                    low, high = max(q * width, reach - windows + 1), min((q + 1) * width - 1, reach)
+                    shift = reach - high
+                    own = cut(payload, shift, reach - low + window)
+                    core = cut(own, high - q * width, high - (q + 1) * width + 1 + window)
+                    group = xxhash.xxh64_intdigest(core, (g ^ q) % (1 << 64))
+                    out.append((group, xxhash.xxh64_intdigest(own, high), id_, mark, start + shift, n, high - low + 1, high, own, g, name, shift))
+            columns = [list(c) for c in zip(*out, strict=True)] or [[] for _ in range(12)]
+            columns[:2] = [np.array(c, np.uint64).view(np.int64) for c in columns[:2]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*(x.split()[0] for x in _STRING.split(", ")), "g0", "name0", "shift"])
+
+    return run, f"{_STRING}, g0 long, name0 long, shift int"
+
+
+def _routed(hot, wanted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = Bitmap(hot.value)
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap.holds(batch.column("g").to_numpy().view(np.uint64)) == wanted))
+
+    return run
+
+
+class _Search:
+    """Verdicts on strings, hot groups divided. Tables that were written for it are told in held."""
+
+    def __init__(self, window: int, cut: Callable[[bytes, int, int], bytes], compare: Compare, hot: int):
+        self.window, self.cut, self.compare, self.hot, self.held = window, cut, compare, hot, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(materialize(df, name))
+        return self.held[-1]
+
+    def verdicts(self, sizes: DataFrame, strings: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+        """(own stretches, what later occurrences repeat) of strings; sizes: g of every one of them."""
+        many, tasks = None, min(TASKS, max(16, sizes.count() // TASK))
+        if width > 1:
+            counted = self.keep(sizes.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > self.hot).select("g"), "hot")
+            many = None if counted.isEmpty() else bitmap(counted.select(F.col("g").alias("h")))
+        mild = strings if many is None else strings.mapInArrow(_routed(many, False), _STRING)
+        dealt = mild.repartition(tasks, "g").sortWithinPartitions("g", "name", "id", "mark", "start", F.desc("n"))
+        run, schema = _compared(self.compare)
+        found = self.keep(dealt.mapInArrow(run, schema), "verdicts")
+        own = found.where("not later").select("id", "mark", (F.col("start") + F.col("shift")).alias("start"), "windows")
+        later = found.where("later").select("g", "name", place().alias("first"), "shift", "windows")
+        if many is None:
+            return own, later
+        width = -(-width // NARROWER)
+        run, schema = _split(self.window, width, self.cut)
+        hot = strings.mapInArrow(_routed(many, True), _STRING)
+        # Texts and counts of the same string meet here.
+        hot = hot.groupBy("g", "name", "id", "mark", "start").agg(*(F.max(c).alias(c) for c in ("n", "windows", "reach", "payload")))
+        members = self.keep(hot.where("payload is not null and n > 0").mapInArrow(run, schema), "members")
+        least = F.min(place()).alias("first")
+        parts = members.groupBy("g", "name").agg(least, F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("windows", "reach", "payload")))
+        parts = self.keep(parts.select("g", "name", "first.*", "n", "windows", "reach", "payload"), "parts")
+        part_own, part_later = self.verdicts(parts.select("g"), parts, width)
+        told = part_later.select("g", "name", "first", F.col("shift").alias("at"), F.col("windows").alias("w"))
+        hit = self.keep(members.drop("payload", "windows").join(told, ["g", "name"]), "hit")
+        repeated = hit.where(place() > F.col("first")).select("id", "mark", (F.col("start") + F.col("at")).alias("start"), F.col("w").alias("windows"))
+        origin = F.struct("id", "mark", (F.col("start") - F.col("shift")).alias("start")).alias("first")
+        up = hit.where("n > 1").select(F.col("g0").alias("g"), F.col("name0").alias("name"), origin, (F.col("shift") + F.col("at")).alias("shift"), F.col("w").alias("windows"))
+        return own.unionByName(part_own).unionByName(repeated), later.unionByName(up)
+
+
+def repeats(rows: DataFrame, slices: Sequences, window: int, k: int, payload, cut, compare: Compare, hot: int = HOT) -> DataFrame:
     """(id, mark, start, stop): stretches of symbols of rows (id, mark, text) covered by a window that starts earlier too.
 
-    payload makes what resolve needs of a seed. resolve gets (h, span, id, mark, start, windows, payload), one
-    row a distinct span of hashes with several, and gives such stretches of single windows: (id, mark, start,
-    stop) for repeated windows of those rows.
+    payload makes the texts of strings, cut takes symbols a to b of one, compare decides on collections of them.
     """
-    counted = rows.select("id", "mark", "text").mapInArrow(_emit(slices, window, k, None, None, "hash"), "h long")
-    again = materialize(counted.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
+    counted = rows.select("id", "mark", "text").mapInArrow(_emit(slices, window, k, None, None, "hash"), "g long")
+    again = materialize(counted.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("h")), "again")
     passing = bitmap(again)
     release(again)
     found = materialize(rows.mapInArrow(_emit(slices, window, k, passing, None, "seed"), _SEED), "seeds")
-    spans = found.groupBy("h", "span").agg(F.min(place("id", "mark", "start")).alias("first"), F.count("*").alias("n"))
-    spans = materialize(spans, "spans")
-    # Written, so that the joins read plain exchanges and a hot hash or span can be split.
-    many = materialize(spans.where("n > 1").select("h", "span", "first"), "many")
-    whole = found.join(many, ["h", "span"]).where(place() > F.col("first"))
-    whole = whole.select("id", "mark", "start", (F.col("start") + F.col("windows") + F.lit(window - 1)).alias("stop"))
-    ragged = materialize(spans.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "ragged")
-    leading = materialize(spans.join(ragged, "h", "left_semi").select("h", "span", "first.*"), "leading")
-    listed = rows.mapInArrow(_emit(slices, window, k, bitmap(ragged), payload, "payload"), f"{_SEED}, payload binary")
-    key = [listed[c].eqNullSafe(leading[c]) if c == "id" else listed[c] == leading[c] for c in ("h", "span", "id", "mark", "start")]
-    listed = materialize(listed.join(leading, key, "left_semi").dropDuplicates(["h", "span"]), "listed")
-    runs = materialize(whole.unionByName(resolve(listed)), "runs")
-    release(found, spans, many, ragged, leading, listed)
+    strings = found.groupBy("g", "name").agg(F.min(place()).alias("first"), F.count("*").alias("n"))
+    strings = materialize(strings.select("g", "name", "first.*", "n"), "strings")
+    first = bitmap(strings.select(F.xxhash64(F.coalesce("id", F.lit(0).cast("long")), "mark", F.col("start").cast("long")).alias("h")))
+    texts = rows.mapInArrow(_emit(slices, window, k, first, payload, "payload"), f"{_SEED}, reach int, payload binary")
+    texts = materialize(texts, "texts")
+    empty = lambda kind: F.lit(None).cast(kind)
+    both = strings.select("g", "name", "id", "mark", "start", "n", empty("int").alias("windows"), empty("int").alias("reach"), empty("binary").alias("payload"))
+    both = both.unionByName(texts.withColumn("n", F.lit(0).cast("long")))
+    search = _Search(window, cut, compare, hot)
+    own, later = search.verdicts(strings.select("g"), both, window - k + 1)
+    # Written, so that the join reads plain exchanges and a hot string can be split.
+    later = search.keep(later, "later")
+    told = later.select("g", "name", "first", "shift", F.col("windows").alias("w"))
+    copies = found.join(told, ["g", "name"]).where(place() > F.col("first")).select("id", "mark", (F.col("start") + F.col("shift")).alias("start"), F.col("w").alias("windows"))
+    every = own.unionByName(copies).select("id", "mark", "start", (F.col("start") + F.col("windows") + F.lit(window - 1)).alias("stop"))
+    runs = materialize(every, "runs")
+    for kept in (passing, first):
+        kept.destroy()
+    release(found, strings, texts, *search.held)
     return runs
 
 

@@ -1,10 +1,11 @@
 """Substring dedup over words: seed and extend.
 
-Documents are joined on winnowed anchors of K words. A match is extended both ways at once as far as the
-windows that chose the anchor reach: where the whole extent agrees with the first occurrence that is one
-comparison, and where a match ends inside it the extent is compared window by window, one word further on
-one side and one less on the other each time. Longer matches continue in the extents of the next anchors,
-so the union of what matched is the maximal repeats of WINDOW words or more.
+Documents are joined on winnowed anchors of K words. From an anchor, matches are extended both ways, a word at
+a time: the members that agree so far are divided by the next word on the left, and likewise on the right, so
+all of a group's matches grow together and no pairs are listed. Where a left and a right extension together
+reach WINDOW words, all members but the first repeat it. Extensions go as far as the windows that chose the
+anchor reach; longer matches continue in the extents of the next anchors, so the union of what matched is the
+maximal repeats of WINDOW words or more.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from querent.llm import anchored
-from querent.llm.common import materialize, once
+from querent.llm.common import once
 
 #: Words of a window, and of an anchor.
 WINDOW, K = 20, 10
@@ -54,34 +54,57 @@ def word_slices(texts: list[str]):
             at, held, sizes = i + 1, [], []
 
 
-def _windows(window: int):
-    def payload(grams, symbols, texts, at, doc, bounds, first, last) -> list[bytes]:
-        sizes = last - first + 1
-        start = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        data, ends = grams.of(start, start + window).tobytes(), np.cumsum(sizes) * 8
-        return [data[b - 8 * n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+def _words(window: int):
+    def payload(symbols, texts, at, doc, bounds, first, last) -> list[bytes]:
+        out, own, words = [], -1, []
+        for d, a, b in zip(doc.tolist(), (first - bounds[doc]).tolist(), (last - bounds[doc]).tolist(), strict=True):
+            if d != own:
+                own, words = d, words_of(texts[at + d])
+            out.append(b" ".join(words[a : b + window]))
+        return out
 
     return payload
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = batch.column("windows").to_numpy().astype(np.int64)
-        row = np.repeat(np.arange(batch.num_rows), sizes)
-        window = np.frombuffer(b"".join(batch.column("payload").to_pylist()), np.int64)
-        start = batch.column("start").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        taken = [batch.column(c).take(pa.array(row)) for c in ("h", "id", "mark")]
-        yield pa.RecordBatch.from_arrays([*taken, pa.array(window), pa.array(start.astype(np.int32))], ["h", "id", "mark", "window", "start"])
-
-
-def _resolve(window: int):
-    def resolve(listed: DataFrame) -> DataFrame:
-        own = materialize(listed.mapInArrow(_spread, "h long, id long, mark long, window long, start int"), "windows")
-        first = own.groupBy("h", "window").agg(F.min(anchored.place()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = own.join(materialize(first, "first"), ["h", "window"]).where(anchored.place() > F.col("first"))
-        return later.select("id", "mark", "start", (F.col("start") + window).alias("stop"))
-
-    return resolve
+def _divide(names: np.ndarray, words: np.ndarray, spot: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Names of those that agreed so far (-1: none), divided by the word at each one's spot where there is one."""
+    there = there & (names >= 0)
+    out = np.full(len(names), -1, np.int64)
+    if there.any():
+        out[there] = np.unique(names[there] * (int(words.max()) + 1) + words[spot[there]], return_inverse=True)[1]
+    return out
+
+
+def extend(window: int, k: int):
+    """anchored.Compare by extension of the anchors' matches."""
+    def run(strings: list[bytes], places: list[tuple], groups, windows, reaches):
+        known: dict[bytes, int] = {}
+        split = [s.split() for s in strings]
+        words = np.array([known.setdefault(w, len(known)) for s in split for w in s], np.int64)
+        sizes = np.array([len(s) for s in split], np.int64)
+        anchor = np.cumsum(sizes) - sizes + reaches
+        doc, start = np.array(places, np.int64).reshape(-1, 2).T
+        order = np.empty(len(strings), np.int64)
+        order[np.lexsort((start + reaches, doc))] = np.arange(len(strings))
+        names = np.unique(groups, return_inverse=True)[1].astype(np.int64)
+        for i in range(k):
+            names = _divide(names, words, anchor + i, np.ones(len(names), bool))
+        left, right = [names], [names]
+        for step in range(1, window - k + 1):
+            left.append(_divide(left[-1], words, anchor - step, reaches >= step))
+            right.append(_divide(right[-1], words, anchor + k + step - 1, reaches + k + step <= sizes))
+        later, every = [], []
+        for step in range(window - k + 1):
+            one, other = left[step], right[window - k - step]
+            own = np.flatnonzero((one >= 0) & (other >= 0))
+            match = one[own] * len(names) + other[own]
+            rank = np.lexsort((order[own], match))
+            own, match = own[rank], match[rank]
+            every.append(np.stack([own, reaches[own] - step]))
+            later.append(every[-1][:, np.flatnonzero(match[1:] == match[:-1]) + 1])
+        return tuple(np.concatenate(later, axis=1)), tuple(np.concatenate(every, axis=1))
+
+    return run
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +124,17 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int = anchored.HOT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row of docs.
 
     A word is removed if a window of that many words of the input that covers it also starts earlier: in a
     document of smaller id (null first), or earlier in the same one. Null texts have no words; rows that repeat
-    an id and its text have one result; texts shorter than a window stay. Other columns are ignored.
+    an id and its text have one result; of an id's different texts the one whose hash is smaller counts as earlier;
+    texts shorter than a window stay. Other columns are ignored. An empty table gives none.
     """
     rows = anchored.documents(docs, id_column, text_column)
-    found = anchored.repeats(rows, word_slices, window, k, _windows(window), _resolve(window))
+    cut = lambda text, a, b: b" ".join(text.split()[a:b])
+    found = anchored.repeats(rows, word_slices, window, k, _words(window), cut, extend(window, k), hot)
     return anchored.with_runs(rows, found).mapInArrow(_report, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 

@@ -1,16 +1,16 @@
 """Suffix-array dedup over bytes: column-wise construction for many strings.
 
-A collection's Burrows-Wheeler transform, the order of its suffixes and their common prefixes are built from
-the strings' last symbols to their first: each round puts one symbol of every string before its last suffix,
-finds the new suffixes' places by ranks in the transform, and tells where one was put in whether it has WINDOW
-symbols in common with its neighbours. Columns too large for memory lie in external files between rounds.
+A collection's Burrows-Wheeler transform, the common prefixes of neighbours in the order of its suffixes and
+the suffixes' places are columns in external files, built from the strings' last symbols to their first. Each
+round puts one symbol of every string before its last suffix: the transform is read in sequence to rank those
+symbols, which gives the new suffixes' places, while running minima of the common prefixes give the new ones;
+then the columns are copied in sequence with the new suffixes inserted. Both passes hold CHUNK places at a time.
 
 Whole texts can't be one collection: rounds are as many as the longest text's bytes, and each reads all of
 the transform. What is built are collections of spans instead: the stretches of bytes whose windows share a
-winnowed anchor (see anchored), of less than twice WINDOW bytes. Only spans of anchors that occur again with
-different spans are needed; equal ones repeat as a whole. Windows with one anchor are always in the same
-collection, so nothing is missed. An anchor with more than HOT distinct spans is compared by hashes of its
-windows, combined before the shuffle, so that no task gathers it.
+winnowed anchor (see anchored), of less than twice WINDOW bytes. Windows with one anchor are always in the same
+collection, so nothing is missed; equal spans go in once, with their number. What has WINDOW symbols in common
+with its neighbour repeats, and nothing else is removed.
 """
 
 from __future__ import annotations
@@ -23,18 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from querent.llm import anchored
 from querent.llm.bpe import mix
-from querent.llm.common import materialize, once
+from querent.llm.common import once
 
 #: Bytes of a window, and of an anchor.
 WINDOW, K = 100, 48
-#: Spans of a collection (whole anchors), and the most spans of one anchor in it.
-COLLECTION, HOT = 1000, 400
-#: Bytes of a collection's columns that are kept in memory; spans that a task sorts, about.
-SPILL, TASK = 32 << 20, 2000
+#: Places of a column handled at once.
+CHUNK = 1 << 20
+#: Stands before a string's first symbol and doesn't occur in UTF-8.
+END = 0xFF
 
 
 def _symbols() -> np.ndarray:
@@ -55,7 +54,7 @@ def byte_slices(texts: list[str]):
 
 
 def _spans(window: int):
-    def payload(grams, symbols, texts, at, doc, bounds, first, last) -> list[bytes]:
+    def payload(symbols, texts, at, doc, bounds, first, last) -> list[bytes]:
         out, own, data = [], -1, b""
         for d, a, b in zip(doc.tolist(), (first - bounds[doc]).tolist(), (last - bounds[doc]).tolist(), strict=True):
             if d != own:
@@ -66,192 +65,160 @@ def _spans(window: int):
     return payload
 
 
-class _Columns:
-    """The columns of one round: in external files, written and read in sequence, once they take over SPILL bytes together."""
-
-    def __init__(self, folder: str):
-        self.folder, self.held, self.kinds = folder, {}, {}
-
-    def put(self, **columns: np.ndarray) -> None:
-        self.held, self.kinds = columns, {}
-        if sum(c.nbytes for c in columns.values()) > SPILL:
-            for name, column in columns.items():
-                column.tofile(os.path.join(self.folder, name))
-                self.kinds[name] = column.dtype
-            self.held = {}
-
-    def get(self, name: str) -> np.ndarray:
-        return self.held[name] if name in self.held else np.fromfile(os.path.join(self.folder, name), self.kinds[name])
-
-
-def collection_order(strings: list[bytes], most: int, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, place, whether the suffix and the one before agree in their first most symbols) of all suffixes, sorted; ends of strings differ."""
+class Columns:
+    """Columns of numbers in external files, read and written in sequence: one file of each is read while the other is written."""
+
+    def __init__(self, folder: str, kinds: dict[str, np.dtype]):
+        self.kinds, self.size, self.turn, self.files = kinds, 0, 0, []
+        for side in "ab":
+            self.files.append({name: open(os.path.join(folder, f"{name}-{side}"), "w+b", buffering=0) for name in kinds})  # noqa: SIM115
+
+    def read(self, *names: str) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first place, the columns' next CHUNK places)."""
+        for name in names:
+            self.files[self.turn][name].seek(0)
+        for at in range(0, self.size, CHUNK):
+            count = min(CHUNK, self.size - at)
+            yield at, [np.frombuffer(self.files[self.turn][n].read(count * self.kinds[n].itemsize), self.kinds[n]) for n in names]
+
+    def start(self) -> None:
+        """Begin the next round's columns."""
+        for file in self.files[1 - self.turn].values():
+            file.seek(0)
+
+    def write(self, **parts: np.ndarray) -> None:
+        for name, part in parts.items():
+            self.files[1 - self.turn][name].write(part.astype(self.kinds[name], copy=False).data)
+
+    def finish(self, size: int) -> None:
+        """The columns that were written are the current ones."""
+        self.turn, self.size = 1 - self.turn, size
+
+    def close(self) -> None:
+        for side in self.files:
+            for file in side.values():
+                file.close()
+
+
+def _ranks(columns: Columns, where: np.ndarray, base: np.ndarray, most: int):
+    """Of the last round's suffixes at where, in the transform's order: (new place, index into where, common prefix) and (place, common prefix) of the suffixes after them."""
+    kind = columns.kinds["lcp"]
+    seen, carry, last_new = np.zeros(256, np.int64), np.zeros(256, kind), np.zeros(256, bool)
+    rank, own, left, after_at, after = [], [], [], [], []
+    for at, (bwt, lcp) in columns.read("bwt", "lcp"):
+        low, high = np.searchsorted(where, (at, at + len(bwt)))
+        new = np.zeros(len(bwt), bool)
+        new[where[low:high] - at] = True
+        here = np.bincount(bwt, minlength=256)
+        first = np.cumsum(here) - here
+        present = np.flatnonzero(here[:END])
+        heads = first[present]
+        # The places of each symbol, in order; where one suffix of a pair is new, so is what the pair has in common.
+        order = np.argsort(bwt, kind="stable")[: first[END]]
+        fresh = new[order]
+        wanted = fresh.copy()
+        wanted[1:] |= fresh[:-1]
+        wanted[heads] = fresh[heads] | last_new[present]
+        leads = np.zeros(len(order), bool)
+        leads[heads] = True
+        i = np.flatnonzero(wanted)
+        spot, head = order[i], leads[i]
+        symbol = bwt[spot]
+        common = np.zeros(len(i), np.int64)
+        body = np.flatnonzero(~head)[::-1]
+        if len(body):
+            # From the last pair to the first, so that what lies between two ranges is never added up.
+            ranges = np.empty(2 * len(body), np.int64)
+            ranges[::2], ranges[1::2] = order[i[body] - 1] + 1, spot[body] + 1
+            common[body] = np.minimum.reduceat(np.append(lcp, lcp[:1]), ranges)[::2].astype(np.int64) + 1
+        if at:
+            so_far = np.minimum.accumulate(lcp)
+            common[head] = np.where(seen[symbol[head]] > 0, np.minimum(carry[symbol[head]], so_far[spot[head]]).astype(np.int64) + 1, 0)
+        common = np.minimum(common, most)
+        place = base[symbol] + seen[symbol] - first[symbol] + i
+        fresh = fresh[i]
+        rank.append(place[fresh])
+        own.append(low + np.searchsorted(where[low:high], spot[fresh] + at))
+        left.append(common[fresh])
+        after_at.append(place[~fresh])
+        after.append(common[~fresh])
+        if at + len(bwt) < columns.size:
+            to_come = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.array(most, kind))
+            ends = order[heads + here[present] - 1]
+            carry = np.minimum(carry, to_come[0])
+            carry[present] = to_come[ends + 1]
+            last_new[present] = new[ends]
+        seen += here
+    rank, own, left, after_at, after = (np.concatenate(x) for x in (rank, own, left, after_at, after))
+    by, then = np.argsort(rank), np.argsort(after_at)
+    return (rank[by], own[by], left[by]), (after_at[then], after[then])
+
+
+def build(strings: list[bytes], most: int, folder: str) -> tuple[Columns, np.ndarray]:
+    """Columns bwt, lcp (up to most) and place of all suffixes in order, and where each string begins; ends of strings differ."""
     n = len(strings)
     sizes = np.array([len(s) for s in strings], np.int64)
-    # Each string has one place more than symbols, for its end.
+    # Each string has one place more than symbols, for its end; text[p] is the symbol before place p.
     begin = np.cumsum(sizes + 1) - sizes - 1
-    ends = (begin + sizes).astype(np.int32)
-    text = np.frombuffer(b"\0".join(strings) + b"\0" * (most + 1), np.uint8)
-    rows = np.lib.stride_tricks.sliding_window_view(text, most)
-    before = np.r_[np.zeros(1, np.uint8), text]  # the transform's symbol of a suffix that starts at a place
-    starts = np.zeros(len(text) + 1, bool)
-    starts[begin] = True
-    string_of = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
-    columns = _Columns(folder)
-    columns.put(place=ends, fresh=np.ones(n, bool), same=np.zeros(n, bool))
-    for length in range(1, int(sizes.max(initial=0)) + 1):
-        place = columns.get("place")
-        there = np.flatnonzero(~starts[place])
-        order = there[np.argsort(before[place[there]], kind="stable")]
-        fresh = np.r_[np.zeros(n, bool), columns.get("fresh")[order]]
-        place = np.r_[ends, place[order] - 1]
-        same = np.zeros(len(place), bool)
-        same[~fresh] = columns.get("same")
-        if length >= most:
-            # A new suffix and the one before it; then the one after it and the new one.
-            at = np.flatnonzero(fresh)
-            for right in (at, at[at + 1 < len(place)] + 1):
-                a, b = place[right - 1], place[right]
-                long = (ends[string_of[a]] - a >= most) & (ends[string_of[b]] - b >= most)
-                same[right] = False
-                right = right[long]
-                same[right] = (rows[a[long]] == rows[b[long]]).all(axis=1)
-        columns.put(place=place, fresh=fresh, same=same)
-    place = columns.get("place")
-    string = string_of[place]
-    return string, (place - begin[string]).astype(np.int32), columns.get("same")
-
-
-def _trim(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of each string from its first to its last window whose hash occurs again; equal ones where there is none."""
-    sizes = np.array([len(s) for s in strings], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    grams = anchored.Grams(once("byte symbols", _symbols)[np.frombuffer(b"".join(strings), np.uint8)])
-    counts = np.maximum(sizes - window + 1, 0)
-    own = np.repeat(np.arange(len(strings)), counts)
-    place = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = begin[own] + place
-    _, inverse, often = np.unique(grams.of(at, at + window), return_inverse=True, return_counts=True)
-    again = often[inverse] > 1
-    own, place = own[again], place[again]
-    low, high = np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
-    if not len(own):
-        return low, high
-    head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    low[own[head]] = place[head]
-    high[own[head]] = place[np.r_[head[1:], len(own)] - 1] + window
-    return low, high
-
-
-def repeated_windows(strings: list[bytes], keys: list[tuple], window: int, folder: str) -> list[list[tuple[int, int]]]:
-    """Per string, stretches of places whose windows occur earlier; keys: (what orders documents, start) of each string.
-
-    Strings are first cut to where the hashes of their windows occur again; the order of what is left decides.
-    """
-    low, high = _trim(strings, window)
-    chosen = np.flatnonzero(high > low)
-    found = _earlier([strings[i][low[i] : high[i]] for i in chosen], [(keys[i][0], keys[i][1] + int(low[i])) for i in chosen], window, folder)
-    out: list[list[tuple[int, int]]] = [[] for _ in strings]
-    for i, stretches in zip(chosen, found, strict=True):
-        out[i] = [(a + int(low[i]), b + int(low[i])) for a, b in stretches]
-    return out
-
-
-def _earlier(strings: list[bytes], keys: list[tuple], window: int, folder: str) -> list[list[tuple[int, int]]]:
-    """repeated_windows of strings as they are, by the sorted suffixes."""
-    if not strings:
-        return []
-    string, place, same = collection_order(strings, window, folder)
-    sizes = np.array([len(s) for s in strings], np.int64)
-    ranks = {k: i for i, k in enumerate(sorted({k[0] for k in keys}))}
-    doc = np.array([ranks[k[0]] for k in keys], np.int64)
-    start = np.array([k[1] for k in keys], np.int64)
-    runs = np.cumsum(~same)
-    long_enough = sizes[string] - place >= window
-    run, string, place = runs[long_enough], string[long_enough], place[long_enough].astype(np.int64)
-    order = np.lexsort((start[string] + place, doc[string], run))
-    run, string, place = run[order], string[order], place[order]
-    if not len(run):
-        return [[] for _ in strings]
-    head = np.r_[True, run[1:] != run[:-1]]
-    # One place of a document can lie in several strings; it doesn't repeat itself.
-    spot = np.stack([doc[string], start[string] + place])
-    leading = np.flatnonzero(head)[np.cumsum(head) - 1]
-    later = (spot != spot[:, leading]).any(axis=0)
-    string, place = string[later], place[later]
-    order = np.lexsort((place, string))
-    string, place = string[order], place[order]
-    out: list[list[tuple[int, int]]] = [[] for _ in strings]
-    if len(string):
-        head = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)])
-        tail = np.r_[head[1:], len(string)] - 1
-        for k, a, b in zip(string[head].tolist(), place[head].tolist(), place[tail].tolist(), strict=True):
-            out[k].append((a, b + 1))
-    return out
-
-
-def _collections(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def done(rows: list[dict]) -> pa.RecordBatch:
-            out: list[tuple] = []
-            with tempfile.TemporaryDirectory() as folder:
-                least = -(1 << 63)
-                keys = [((least if r["id"] is None else r["id"], r["id"] is not None, r["mark"]), r["start"]) for r in rows]
-                for r, found in zip(rows, repeated_windows([r["payload"] for r in rows], keys, window, folder), strict=True):
-                    out += [(r["id"], r["mark"], r["start"] + a, r["start"] + b - 1 + window) for a, b in found]
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "mark", "start", "stop"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if len(held) >= COLLECTION and row["h"] != held[-1]["h"]:
-                    yield done(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield done(held)
+    text = np.frombuffer(bytes([END]) + bytes([END]).join([*strings, b""]), np.uint8)
+    columns = Columns(folder, {"bwt": np.dtype(np.uint8), "lcp": np.min_scalar_type(most), "place": np.dtype(np.int32)})
+    where, what = np.arange(n), begin + sizes
+    columns.start()
+    columns.write(bwt=text[what], lcp=np.zeros(n), place=what)
+    columns.finish(n)
+    counts = np.bincount(text[what], minlength=256)
+    for _ in range(int(sizes.max(initial=0))):
+        (rank, own, left), (after_at, after) = _ranks(columns, where, n + np.cumsum(counts) - counts, most)
+        what = what[own] - 1
+        symbol = text[what]
+        counts += np.bincount(symbol, minlength=256)
+        slot = rank - np.arange(len(rank))  # the place, of those there were, that a new suffix stands before
+        columns.start()
+        for at, old in columns.read("bwt", "lcp", "place"):
+            stop = at + len(old[0])
+            a, b = np.searchsorted(slot, at), len(rank) if stop == columns.size else np.searchsorted(slot, stop)
+            spots = rank[a:b] - (at + a)
+            stays = np.ones(stop - at + b - a, bool)
+            stays[spots] = False
+            parts = {}
+            for name, column, put in zip(columns.kinds, old, (symbol[a:b], left[a:b], what[a:b]), strict=True):
+                parts[name] = np.empty(len(stays), columns.kinds[name])
+                parts[name][stays] = column
+                parts[name][spots] = put
+            x, y = np.searchsorted(after_at, (at + a, stop + b))
+            parts["lcp"][after_at[x:y] - (at + a)] = after[x:y]
+            columns.write(**parts)
+        columns.finish(columns.size + len(rank))
+        where = rank
+    return columns, begin
+
+
+def compare(window: int):
+    """anchored.Compare by the order of all suffixes."""
+    def run(strings: list[bytes], places: list[tuple], groups, windows, reaches):
+        with tempfile.TemporaryDirectory() as folder:
+            columns, begin = build(strings, window, folder)
+            runs, string, offset, run = 0, [], [], []
+            ends = begin + np.array([len(s) for s in strings], np.int64)
+            for _, (lcp, place) in columns.read("lcp", "place"):
+                own = runs + np.cumsum(lcp < window)
+                runs = int(own[-1])
+                of = np.searchsorted(begin, place, side="right") - 1
+                whole = ends[of] - place >= window
+                string.append(of[whole])
+                offset.append((place - begin[of])[whole])
+                run.append(own[whole])
+            columns.close()
+        string, offset, run = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (string, offset, run))
+        doc, start = np.array(places, np.int64).reshape(-1, 2).T
+        order = np.lexsort((start[string] + offset, doc[string], run))
+        later = np.zeros(len(run), bool)
+        later[order[1:]] = run[order[1:]] == run[order[:-1]]
+        return (string[later], offset[later]), (string, offset)
 
     return run
 
 
-def _window_hashes(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            rest: list[tuple] = []
-            for r in batch.to_pylist():
-                data = r["payload"]
-                for i in range(len(data) - window + 1):
-                    rest.append((r["h"], xxhash.xxh3_128_digest(data[i : i + window]), r["id"], r["mark"], r["start"] + i))
-            columns = list(zip(*rest, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "window", "id", "mark", "start"])
-
-    return run
-
-
-def _resolve(window: int, hot: int):
-    def resolve(listed: DataFrame) -> DataFrame:
-        counts = listed.groupBy("h").agg(F.count("*").alias("n"))
-        marked = materialize(counts.where(F.col("n") > hot).select("h"), "hot")
-        # Few bytes, much work: so many tasks that each has about TASK spans.
-        parts = max(16, listed.count() // TASK)
-        mild = listed.join(marked, "h", "left_anti").repartition(parts, "h").sortWithinPartitions("h", "id", "mark", "start")
-        found = mild.select("h", "id", "mark", "start", "payload").mapInArrow(_collections(window), "id long, mark long, start int, stop int")
-        if marked.isEmpty():
-            return found
-        rows = listed.join(marked, "h", "left_semi").select("h", "id", "mark", "start", "payload")
-        own = materialize(rows.mapInArrow(_window_hashes(window), "h long, window binary, id long, mark long, start int"), "windows")
-        first = own.groupBy("h", "window").agg(F.min(anchored.place()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = own.join(materialize(first, "first"), ["h", "window"]).where(anchored.place() > F.col("first"))
-        return found.unionByName(later.select("id", "mark", "start", (F.col("start") + window).alias("stop")))
-
-    return resolve
-
-
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, gone, spans, shas, kept = [], [], [], [], []
@@ -273,15 +240,16 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int = HOT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int = anchored.HOT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_bytes of every row of docs.
 
     A byte is removed if a string of that many bytes of the input that covers it also starts earlier: in a
     document of smaller id (null first), or earlier in the same one, also where the two overlap. Null texts are
-    empty; rows that repeat an id and its text have one result; shorter texts stay. Other columns are ignored.
+    empty; rows that repeat an id and its text have one result; of an id's different texts the one whose hash is
+    smaller counts as earlier; shorter texts stay. Other columns are ignored. An empty table gives none.
     """
     rows = anchored.documents(docs, id_column, text_column)
-    found = anchored.repeats(rows, byte_slices, window, k, _spans(window), _resolve(window, hot))
+    found = anchored.repeats(rows, byte_slices, window, k, _spans(window), lambda text, a, b: text[a:b], compare(window), hot)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
     return anchored.with_runs(rows, found).mapInArrow(_report, schema)
 

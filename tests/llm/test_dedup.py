@@ -1,6 +1,7 @@
 """Exact, near and substring dedup against plain versions on small fixtures."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -166,40 +167,109 @@ def covered(sequence, width, seen):
     return gone
 
 
-def test_substring_dedup(spark):
-    rows, seen, want = corpus(7), set(), {}
+def plain_substrings(rows):
+    seen, want = set(), {}
     for i, t in order(rows):
         words = (t or "").encode().split()
         gone = covered(words, 20, seen)
         kept = b" ".join(w for w, g in zip(words, gone) if not g)
         want[i] = (len(words), sum(gone), hashlib.sha256(kept).hexdigest())
-    got = substring_dedup.remove_repeats(frame(spark, rows).repartition(3)).collect()
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
-    assert any(n for _, n, _ in want.values())
-    assert substring_dedup.remove_repeats(frame(spark, rows).limit(0)).count() == 0
+    return want
 
 
-@pytest.mark.parametrize("hot", [400, 2])
-def test_suffix_dedup(spark, hot):
-    rows, seen, want = corpus(9, 40), set(), {}
+def plain_bytes(rows):
+    seen, want = set(), {}
     for i, t in order(rows):
         data = (t or "").encode()
         gone = covered(data, 100, seen)
         kept = bytes(b for b, g in zip(data, gone) if not g)
         spans = sum(g and not before for g, before in zip(gone, [False, *gone]))
         want[i] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return want
+
+
+@pytest.mark.parametrize("hot", [400, 2])
+def test_substring_dedup(spark, hot):
+    rows = corpus(7)
+    want = plain_substrings(rows)
+    got = substring_dedup.remove_repeats(frame(spark, rows).repartition(3), hot=hot).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+    assert any(n for _, n, _ in want.values())
+    assert substring_dedup.remove_repeats(frame(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [400, 2])
+def test_suffix_dedup(spark, hot):
+    rows = corpus(9, 40)
     got = suffix_dedup.remove_repeats(frame(spark, rows), hot=hot).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_bytes(rows)
+    assert suffix_dedup.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("spill", [1 << 25, 0])
-def test_collection_order(tmp_path, monkeypatch, spill):
-    monkeypatch.setattr(suffix_dedup, "SPILL", spill)
+def near_passages():
+    """One passage with a change in every copy: many different spans of one anchor."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(500)}" for _ in range(70)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(70)] = f"x{r.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [400, 5, 1])
+def test_hot_anchors_are_divided_by_content(spark, hot):
+    rows = near_passages()
+    got = substring_dedup.remove_repeats(frame(spark, rows), hot=hot).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == plain_substrings(rows)
+    got = suffix_dedup.remove_repeats(frame(spark, rows), hot=hot).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_bytes(rows)
+
+
+@pytest.mark.parametrize(("module", "plain"), [(substring_dedup, plain_substrings), (suffix_dedup, plain_bytes)])
+def test_repeated_rows_and_long_texts(spark, monkeypatch, module, plain):
+    r = random.Random(8)
+    passage = " ".join(f"w{r.randrange(900)}" for _ in range(60))
+    long = " ".join(f"v{r.randrange(9000)}" for _ in range(6000))
+    rows = [(1, passage), (2, f"{long} {passage} {long[:3000]}"), (3, "a " * 500), (4, passage.upper())]
+    monkeypatch.setattr(module.anchored, "SLICE", 1000)
+    want = plain(rows)
+    twice = frame(spark, rows + rows[:2])
+    got = module.remove_repeats(twice).drop("kept_text", "kept_bytes").collect()
+    assert len(got) == 6 and {x[0]: tuple(x[1:]) for x in got} == want
+    # Of one id's texts, one is the first: the passage stays in it alone.
+    two = module.remove_repeats(frame(spark, [(1, passage), (1, "other " + passage)])).collect()
+    assert sorted(x.n_removed > 0 for x in two) == [False, True]
+
+
+@pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
+def test_the_comparison_alone_removes(spark, monkeypatch, module):
+    none = np.empty(0, np.int64)
+    monkeypatch.setattr(module, "extend" if module is substring_dedup else "compare", lambda *_: lambda *_: ((none, none), (none, none)))
+    got = module.remove_repeats(frame(spark, corpus(7))).collect()
+    assert sum(r.n_removed for r in got) == 0
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 5])
+def test_collection_order(tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     r = random.Random(1)
     for _ in range(25):
         strings = [bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 8))]
-        own, place, same = suffix_dedup.collection_order(strings, 5, str(tmp_path))
-        got = [strings[s][p:] for s, p in zip(own, place)]
+        columns, begin = suffix_dedup.build(strings, 5, str(tmp_path))
+        bwt, lcp, place = (np.concatenate(parts) for parts in zip(*(parts for _, parts in columns.read("bwt", "lcp", "place"))))
+        columns.close()
+        own = np.searchsorted(begin, place, side="right") - 1
+        got = [strings[s][p:] for s, p in zip(own, place - begin[own])]
         assert got == sorted(s[k:] for s in strings for k in range(len(s) + 1))
-        for a, b, agree in zip(got, got[1:], same[1:]):
-            assert agree == (len(a) >= 5 and len(b) >= 5 and a[:5] == b[:5])
+        assert [strings[s][p - 1] if p else suffix_dedup.END for s, p in zip(own, place - begin[own])] == bwt.tolist()
+        assert lcp[1:].tolist() == [min(5, len(os.path.commonprefix([a, b]))) for a, b in zip(got, got[1:])]
+
+
+def test_columns_lie_in_files(tmp_path):
+    columns, _ = suffix_dedup.build([b"banana" * 20] * 3, 100, str(tmp_path))
+    files = {name: (tmp_path / f"{name}-{'ab'[columns.turn]}").stat().st_size for name in columns.kinds}
+    columns.close()
+    assert files == {"bwt": 363, "lcp": 363, "place": 4 * 363}
