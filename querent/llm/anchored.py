@@ -39,10 +39,10 @@ from querent.llm.common import materialize, once, release, text_of
 #: Bits of a bitmap (16 MiB), and of one of the blocks that tasks build.
 BITS, BLOCK = 1 << 27, 1 << 16
 #: Symbols handled at once; a longer document is a slice by itself.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Strings of a group beyond which it is divided, and how much narrower the ranges of places get.
 HOT, NARROWER = 400, 4
-#: Strings of a collection (whole groups), of a task, and the most tasks.
+#: Strings of a collection (whole groups, less than 60,000), of a task, and the most tasks.
 COLLECTION, TASK, TASKS = 4000, 8000, 20_000
 
 
@@ -56,7 +56,7 @@ class Grams:
     """Hashes of any stretch of a symbol array."""
 
     def __init__(self, symbols: np.ndarray):
-        size = 1 << max(21, int(len(symbols)).bit_length())
+        size = 1 << max(20, int(len(symbols)).bit_length())
         up, self.down = once(("gram powers", size), lambda: _powers(size))
         with np.errstate(over="ignore"):
             self.total = np.r_[np.zeros(1, np.uint64), np.cumsum(symbols * up[: len(symbols)])]
@@ -327,6 +327,7 @@ class _Search:
         # Texts and counts of the same string meet here.
         hot = hot.groupBy("g", "name", "id", "mark", "start").agg(*(F.max(c).alias(c) for c in ("n", "windows", "reach", "payload")))
         members = self.keep(hot.where("payload is not null and n > 0").mapInArrow(run, schema), "members")
+        many.destroy()
         least = F.min(place()).alias("first")
         parts = members.groupBy("g", "name").agg(least, F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("windows", "reach", "payload")))
         parts = self.keep(parts.select("g", "name", "first.*", "n", "windows", "reach", "payload"), "parts")

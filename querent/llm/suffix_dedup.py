@@ -9,8 +9,9 @@ then the columns are copied in sequence with the new suffixes inserted. Both pas
 Whole texts can't be one collection: rounds are as many as the longest text's bytes, and each reads all of
 the transform. What is built are collections of spans instead: the stretches of bytes whose windows share a
 winnowed anchor (see anchored), of less than twice WINDOW bytes. Windows with one anchor are always in the same
-collection, so nothing is missed; equal spans go in once, with their number. What has WINDOW symbols in common
-with its neighbour repeats, and nothing else is removed.
+collection, so nothing is missed; equal spans go in once, with their number. All windows start at their anchor
+or before it, so what the spans of an anchor have in common from there on is one symbol of that many bytes. What
+has WINDOW bytes in common with its neighbour repeats, and nothing else is removed.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from querent.llm.bpe import mix
 from querent.llm.common import once
 
 #: Bytes of a window, and of an anchor.
-WINDOW, K = 100, 48
+WINDOW, K = 100, 32
 #: Places of a column handled at once.
 CHUNK = 1 << 20
-#: Stands before a string's first symbol and doesn't occur in UTF-8.
-END = 0xFF
+#: Symbols: bytes, then one for each group of a collection, then the one that stands before a string's first.
+BYTES = 256
 
 
 def _symbols() -> np.ndarray:
@@ -100,21 +101,21 @@ class Columns:
                 file.close()
 
 
-def _ranks(columns: Columns, where: np.ndarray, base: np.ndarray, most: int):
+def _ranks(columns: Columns, where: np.ndarray, base: np.ndarray, weights: np.ndarray, most: int):
     """Of the last round's suffixes at where, in the transform's order: (new place, index into where, common prefix) and (place, common prefix) of the suffixes after them."""
-    kind = columns.kinds["lcp"]
-    seen, carry, last_new = np.zeros(256, np.int64), np.zeros(256, kind), np.zeros(256, bool)
+    kind, end = columns.kinds["lcp"], len(weights)
+    seen, carry, last_new = np.zeros(end + 1, np.int64), np.zeros(end + 1, kind), np.zeros(end + 1, bool)
     rank, own, left, after_at, after = [], [], [], [], []
     for at, (bwt, lcp) in columns.read("bwt", "lcp"):
         low, high = np.searchsorted(where, (at, at + len(bwt)))
         new = np.zeros(len(bwt), bool)
         new[where[low:high] - at] = True
-        here = np.bincount(bwt, minlength=256)
+        here = np.bincount(bwt, minlength=end + 1)
         first = np.cumsum(here) - here
-        present = np.flatnonzero(here[:END])
+        present = np.flatnonzero(here[:end])
         heads = first[present]
         # The places of each symbol, in order; where one suffix of a pair is new, so is what the pair has in common.
-        order = np.argsort(bwt, kind="stable")[: first[END]]
+        order = np.argsort(bwt, kind="stable")[: first[end]]
         fresh = new[order]
         wanted = fresh.copy()
         wanted[1:] |= fresh[:-1]
@@ -127,13 +128,13 @@ def _ranks(columns: Columns, where: np.ndarray, base: np.ndarray, most: int):
         common = np.zeros(len(i), np.int64)
         body = np.flatnonzero(~head)[::-1]
         if len(body):
-            # From the last pair to the first, so that what lies between two ranges is never added up.
+            # From the last pair to the first, so that what lies between two ranges is never looked through.
             ranges = np.empty(2 * len(body), np.int64)
             ranges[::2], ranges[1::2] = order[i[body] - 1] + 1, spot[body] + 1
-            common[body] = np.minimum.reduceat(np.append(lcp, lcp[:1]), ranges)[::2].astype(np.int64) + 1
+            common[body] = np.minimum.reduceat(np.append(lcp, lcp[:1]), ranges)[::2] + weights[symbol[body]]
         if at:
-            so_far = np.minimum.accumulate(lcp)
-            common[head] = np.where(seen[symbol[head]] > 0, np.minimum(carry[symbol[head]], so_far[spot[head]]).astype(np.int64) + 1, 0)
+            so_far, c = np.minimum.accumulate(lcp), symbol[head]
+            common[head] = np.where(seen[c] > 0, np.minimum(carry[c], so_far[spot[head]]) + weights[c], 0)
         common = np.minimum(common, most)
         place = base[symbol] + seen[symbol] - first[symbol] + i
         fresh = fresh[i]
@@ -154,24 +155,28 @@ def _ranks(columns: Columns, where: np.ndarray, base: np.ndarray, most: int):
     return (rank[by], own[by], left[by]), (after_at[then], after[then])
 
 
-def build(strings: list[bytes], most: int, folder: str) -> tuple[Columns, np.ndarray]:
-    """Columns bwt, lcp (up to most) and place of all suffixes in order, and where each string begins; ends of strings differ."""
-    n = len(strings)
+def build(strings: list[np.ndarray], weights: np.ndarray, most: int, folder: str) -> tuple[Columns, np.ndarray]:
+    """Columns bwt, lcp (weights of the common symbols, up to most) and place of all suffixes in order, and where each string begins; ends of strings differ.
+
+    Symbols are less than len(weights); that number stands before a string's first.
+    """
+    n, end = len(strings), len(weights)
     sizes = np.array([len(s) for s in strings], np.int64)
     # Each string has one place more than symbols, for its end; text[p] is the symbol before place p.
     begin = np.cumsum(sizes + 1) - sizes - 1
-    text = np.frombuffer(bytes([END]) + bytes([END]).join([*strings, b""]), np.uint8)
-    columns = Columns(folder, {"bwt": np.dtype(np.uint8), "lcp": np.min_scalar_type(most), "place": np.dtype(np.int32)})
+    gap = np.array([end], np.uint16)
+    text = np.concatenate([gap, *(x for s in strings for x in (s, gap))])
+    columns = Columns(folder, {"bwt": np.dtype(np.uint16), "lcp": np.min_scalar_type(most), "place": np.dtype(np.int32)})
     where, what = np.arange(n), begin + sizes
     columns.start()
     columns.write(bwt=text[what], lcp=np.zeros(n), place=what)
     columns.finish(n)
-    counts = np.bincount(text[what], minlength=256)
+    counts = np.bincount(text[what], minlength=end + 1)
     for _ in range(int(sizes.max(initial=0))):
-        (rank, own, left), (after_at, after) = _ranks(columns, where, n + np.cumsum(counts) - counts, most)
+        (rank, own, left), (after_at, after) = _ranks(columns, where, n + np.cumsum(counts) - counts, weights, most)
         what = what[own] - 1
         symbol = text[what]
-        counts += np.bincount(symbol, minlength=256)
+        counts += np.bincount(symbol, minlength=end + 1)
         slot = rank - np.arange(len(rank))  # the place, of those there were, that a new suffix stands before
         columns.start()
         for at, old in columns.read("bwt", "lcp", "place"):
@@ -193,28 +198,55 @@ def build(strings: list[bytes], most: int, folder: str) -> tuple[Columns, np.nda
     return columns, begin
 
 
+def _folded(strings: list[bytes], groups: np.ndarray, reaches: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Strings as symbols, what a group's have in common from their anchors on as one; and all symbols' weights."""
+    cuts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True])
+    out, weights = [], [1] * BYTES
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        ahead = [s[r:] for s, r in zip(strings[a:b], reaches[a:b].tolist(), strict=True)]
+        size = len(os.path.commonprefix(ahead)) if b - a > 1 else len(ahead[0])
+        core = np.array([len(weights)], np.uint16)
+        weights.append(size)
+        for s, rest in zip(strings[a:b], ahead, strict=True):
+            out.append(np.concatenate([np.frombuffer(s, np.uint8, len(s) - len(rest)), core, np.frombuffer(rest, np.uint8, len(rest) - size, min(size, len(rest)))], dtype=np.uint16, casting="safe"))
+    return out, np.array(weights, np.int64)
+
+
+def _ordered(strings: list[bytes], groups: np.ndarray, windows: np.ndarray, reaches: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, window, run) of all windows: equal ones have one run."""
+    runs, found = 0, []
+    with tempfile.TemporaryDirectory() as folder:
+        columns, begin = build(*_folded(strings, groups, reaches), window, folder)
+        for _, (lcp, place) in columns.read("lcp", "place"):
+            run = runs + np.cumsum(lcp < window)
+            runs = int(run[-1])
+            string = np.searchsorted(begin, place, side="right") - 1
+            offset = place - begin[string]
+            whole = offset < windows[string]
+            found.append((string[whole], offset[whole], run[whole]))
+        columns.close()
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def compare(window: int):
     """anchored.Compare by the order of all suffixes."""
-    def run(strings: list[bytes], places: list[tuple], groups, windows, reaches):
-        with tempfile.TemporaryDirectory() as folder:
-            columns, begin = build(strings, window, folder)
-            runs, string, offset, run = 0, [], [], []
-            ends = begin + np.array([len(s) for s in strings], np.int64)
-            for _, (lcp, place) in columns.read("lcp", "place"):
-                own = runs + np.cumsum(lcp < window)
-                runs = int(own[-1])
-                of = np.searchsorted(begin, place, side="right") - 1
-                whole = ends[of] - place >= window
-                string.append(of[whole])
-                offset.append((place - begin[of])[whole])
-                run.append(own[whole])
-            columns.close()
-        string, offset, run = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (string, offset, run))
+    def run(strings: list[bytes], places: list[tuple], groups: np.ndarray, windows: np.ndarray, reaches: np.ndarray):
         doc, start = np.array(places, np.int64).reshape(-1, 2).T
-        order = np.lexsort((start[string] + offset, doc[string], run))
-        later = np.zeros(len(run), bool)
-        later[order[1:]] = run[order[1:]] == run[order[:-1]]
-        return (string[later], offset[later]), (string, offset)
+        # Groups of one string are short, so they have a collection for themselves.
+        edge = np.r_[True, groups[1:] != groups[:-1], True]
+        alone = edge[1:] & edge[:-1]
+        later, every = [], []
+        for part in (np.flatnonzero(alone), np.flatnonzero(~alone)):
+            if not len(part):
+                continue
+            string, offset, run = _ordered([strings[i] for i in part.tolist()], groups[part], windows[part], reaches[part], window)
+            string = part[string]
+            order = np.lexsort((start[string] + offset, doc[string], run))
+            string, offset, run = string[order], offset[order], run[order]
+            every.append((string, offset))
+            again = np.flatnonzero(run[1:] == run[:-1]) + 1
+            later.append((string[again], offset[again]))
+        return tuple(tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for parts in (later, every))
 
     return run
 

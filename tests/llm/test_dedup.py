@@ -258,18 +258,27 @@ def test_collection_order(tmp_path, monkeypatch, chunk):
     r = random.Random(1)
     for _ in range(25):
         strings = [bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 8))]
-        columns, begin = suffix_dedup.build(strings, 5, str(tmp_path))
+        columns, begin = suffix_dedup.build([np.frombuffer(s, np.uint8).astype(np.uint16) for s in strings], np.ones(256, np.int64), 5, str(tmp_path))
         bwt, lcp, place = (np.concatenate(parts) for parts in zip(*(parts for _, parts in columns.read("bwt", "lcp", "place"))))
         columns.close()
         own = np.searchsorted(begin, place, side="right") - 1
         got = [strings[s][p:] for s, p in zip(own, place - begin[own])]
         assert got == sorted(s[k:] for s in strings for k in range(len(s) + 1))
-        assert [strings[s][p - 1] if p else suffix_dedup.END for s, p in zip(own, place - begin[own])] == bwt.tolist()
+        assert [strings[s][p - 1] if p else 256 for s, p in zip(own, place - begin[own])] == bwt.tolist()
         assert lcp[1:].tolist() == [min(5, len(os.path.commonprefix([a, b]))) for a, b in zip(got, got[1:])]
 
 
+def test_a_symbol_of_more_bytes(tmp_path):
+    strings = [np.array(s, np.uint16) for s in ([97, 256, 98], [97, 256, 99], [97, 257, 98])]
+    columns, begin = suffix_dedup.build(strings, np.r_[np.ones(256, np.int64), 7, 9], 20, str(tmp_path))
+    lcp, place = (np.concatenate(parts) for parts in zip(*(parts for _, parts in columns.read("lcp", "place"))))
+    columns.close()
+    common = {p: n for p, n in zip(place.tolist(), lcp.tolist())}
+    assert common[begin[1]] == 8 and common[begin[1] + 1] == 7 and common[begin[2]] == 1 and common[begin[2] + 1] == 0
+
+
 def test_columns_lie_in_files(tmp_path):
-    columns, _ = suffix_dedup.build([b"banana" * 20] * 3, 100, str(tmp_path))
+    columns, _ = suffix_dedup.build([np.frombuffer(b"banana" * 20, np.uint8).astype(np.uint16)] * 3, np.ones(256, np.int64), 100, str(tmp_path))
     files = {name: (tmp_path / f"{name}-{'ab'[columns.turn]}").stat().st_size for name in columns.kinds}
     columns.close()
-    assert files == {"bwt": 363, "lcp": 363, "place": 4 * 363}
+    assert files == {"bwt": 2 * 363, "lcp": 363, "place": 4 * 363}
