@@ -39,10 +39,10 @@ from querent.llm.common import materialize, once, release, text_of
 #: Bits of a bitmap (16 MiB), and of one of the blocks that tasks build.
 BITS, BLOCK = 1 << 27, 1 << 16
 #: Symbols handled at once; a longer document is a slice by itself.
-SLICE = 1 << 19
+SLICE = 1 << 16
 #: Strings of a group beyond which it is divided, and how much narrower the ranges of places get.
 HOT, NARROWER = 400, 4
-#: Strings of a collection (whole groups, less than 60,000), of a task, and the most tasks.
+#: Strings of a collection (whole groups, less than 12,000), of a task, and the most tasks.
 COLLECTION, TASK, TASKS = 4000, 8000, 20_000
 
 
@@ -56,7 +56,7 @@ class Grams:
     """Hashes of any stretch of a symbol array."""
 
     def __init__(self, symbols: np.ndarray):
-        size = 1 << max(20, int(len(symbols)).bit_length())
+        size = 1 << max(17, int(len(symbols)).bit_length())
         up, self.down = once(("gram powers", size), lambda: _powers(size))
         with np.errstate(over="ignore"):
             self.total = np.r_[np.zeros(1, np.uint64), np.cumsum(symbols * up[: len(symbols)])]
@@ -121,25 +121,21 @@ class Bitmap:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slots sorted by block to the blocks' bytes."""
-    block, held = None, None
+    """Slots to the bytes of the blocks they lie in."""
+    bits = np.zeros(BITS // 8, np.uint8)
     for batch in batches:
         slots = batch.column("slot").to_numpy()
-        for b in np.unique(slots // BLOCK):
-            if b != block:
-                if held is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["block", "data"])
-                block, held = int(b), np.zeros(BLOCK, np.uint8)
-            held[slots[slots // BLOCK == b] % BLOCK] = 1
-    if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["block", "data"])
+        np.bitwise_or.at(bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
+    size = BLOCK // 8
+    blocks = np.flatnonzero(bits.reshape(-1, size).any(axis=1))
+    data = [bits[b * size : (b + 1) * size].tobytes() for b in blocks.tolist()]
+    yield pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), pa.array(data, pa.binary())], ["block", "data"])
 
 
 def bitmap(hashes: DataFrame):
-    """A broadcast Bitmap of the one column h (long). BITS bits reach the driver, whatever the input."""
-    slot = F.pmod(F.col("h"), F.lit(BITS))
-    slots = hashes.select(slot.alias("slot")).distinct()
-    dealt = slots.repartition((F.col("slot") / BLOCK).cast("int")).sortWithinPartitions("slot")
+    """A broadcast Bitmap of the one column h (long), whose rows are distinct. BITS bits reach the driver, whatever the input."""
+    slots = hashes.select(F.pmod(F.col("h"), F.lit(BITS)).alias("slot"))
+    dealt = slots.repartition((F.col("slot") / BLOCK).cast("int"))
     data = bytearray(BITS // 8)
     for row in dealt.mapInArrow(_blocks, "block int, data binary").toLocalIterator():
         data[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = row.data
@@ -209,9 +205,9 @@ def place(*columns: str) -> F.Column:
     return F.struct(*(columns or ("id", "mark", "start")))
 
 
-Compare = Callable[[list[bytes], list[tuple], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-"""Of whole groups' strings, their places (document, start), groups, windows and reaches: (string, window) of all that an
-earlier string has too, and of all windows there are."""
+Compare = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]]
+"""Of whole groups' strings, the documents and starts of their places, groups, windows and reaches: stretches (string, first
+window, how many) of all that an earlier string has too, and of all windows there are."""
 
 
 def stretches(string: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,45 +220,63 @@ def stretches(string: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.nd
     return string[head], window[head], np.diff(np.r_[head, len(string)])
 
 
+def _whole(table: pa.Table) -> pa.Table:
+    """The strings among sorted rows: whole ones, and pairs of a row with n and one with the text of the same place."""
+    n, bare = table.column("n").to_numpy(), table.column("payload").is_null().to_numpy()
+    same = np.ones(max(0, len(n) - 1), bool)
+    for name in ("g", "name", "id", "mark", "start"):
+        column = table.column(name)
+        if name == "id":
+            valid = column.is_valid().to_numpy()
+            same &= valid[1:] == valid[:-1]
+            column = pc.fill_null(column, 0)
+        column = column.to_numpy()
+        same &= column[1:] == column[:-1]
+    text = np.r_[False, same & bare[:-1]] & ~bare & (n == 0)
+    n = np.where(text, np.r_[0, n[:-1]], n)
+    table = table.set_column(table.schema.get_field_index("n"), "n", pa.array(n))
+    return table.filter(pa.array(text | (~bare & (n > 0))))
+
+
 def _compared(compare: Compare):
     """Verdicts on sorted strings: own stretches of first occurrences, and what later occurrences repeat."""
-    kinds = {"g": pa.int64(), "name": pa.int64(), "id": pa.int64(), "mark": pa.int64(), "start": pa.int32(), "shift": pa.int32(), "windows": pa.int32(), "later": pa.bool_()}
-    least = -(1 << 63)
-
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        g, name, id_, mark, start, n, windows, reach, payload = zip(*rows, strict=True)
-        docs = [(least if i is None else i, i is not None, m) for i, m in zip(id_, mark, strict=True)]
-        ranks = {d: r for r, d in enumerate(sorted(set(docs)))}
-        places = [(ranks[d], s) for d, s in zip(docs, start, strict=True)]
-        (string, window), (all_string, all_window) = compare(list(payload), places, *(np.array(x, np.int64) for x in (g, windows, reach)))
-        many = np.array(n, np.int64)[all_string] > 1
-        parts = [(*stretches(string, window), False), (*stretches(all_string[many], all_window[many]), True)]
-        of = np.concatenate([p[0] for p in parts])
-        columns = [pa.array(x, kinds[c]).take(pa.array(of)) for c, x in zip(("g", "name", "id", "mark", "start"), (g, name, id_, mark, start), strict=True)]
-        columns += [pa.array(np.concatenate([p[i] for p in parts]).astype(np.int32)) for i in (1, 2)]
-        columns.append(pa.array(np.concatenate([np.full(len(p[0]), p[3]) for p in parts])))
-        return pa.RecordBatch.from_arrays(columns, list(kinds))
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = _whole(table)
+        if not table.num_rows:
+            return
+        g, mark, start, n, windows, reach = (table.column(c).to_numpy() for c in ("g", "mark", "start", "n", "windows", "reach"))
+        id_, valid = pc.fill_null(table.column("id"), 0).to_numpy(), table.column("id").is_valid().to_numpy()
+        order = np.lexsort((mark, id_, valid))
+        changed = (mark[order][1:] != mark[order][:-1]) | (id_[order][1:] != id_[order][:-1]) | (valid[order][1:] != valid[order][:-1])
+        doc = np.empty(len(order), np.int64)
+        doc[order] = np.r_[0, np.cumsum(changed)]
+        found, every = compare(table.column("payload").to_pylist(), doc, start.astype(np.int64), g, windows.astype(np.int64), reach.astype(np.int64))
+        many = n[every[0]] > 1
+        for later, (string, first, count) in enumerate((found, tuple(x[many] for x in every))):
+            columns = table.select(["g", "name", "id", "mark", "start"]).take(pa.array(string)).combine_chunks().to_batches()
+            for part in columns:
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(np.full(len(first), bool(later)))],
+                    ["g", "name", "id", "mark", "start", "shift", "windows", "later"],
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        first = None  # a string without text: what its text's row must agree with, and n
+        held, rows = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[-1] is None:
-                    first = row
-                    continue
-                if not row[5]:
-                    if first is None or row[:5] != first[:5]:
-                        continue
-                    row, first = (*row[:5], first[5], *row[6:]), None
-                if len(held) >= COLLECTION and row[0] != held[-1][0]:
-                    yield done(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield done(held)
-
-    return run, ", ".join(f"{c} {t}" for c, t in zip(kinds, ("long", "long", "long", "long", "int", "int", "int", "boolean"), strict=True))
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < 2 * COLLECTION:
+                continue
+            table = pa.Table.from_batches(held)
+            g = table.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
+            if cut:
+                yield from done(table.slice(0, cut).combine_chunks())
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        if rows:
+            yield from done(pa.Table.from_batches(held).combine_chunks())
+
+    return run, "g long, name long, id long, mark long, start int, shift int, windows int, later boolean"
 
 
 def _split(window: int, width: int, cut: Callable[[bytes, int, int], bytes]):

@@ -77,13 +77,12 @@ def _divide(names: np.ndarray, words: np.ndarray, spot: np.ndarray, there: np.nd
 
 def extend(window: int, k: int):
     """anchored.Compare by extension of the anchors' matches."""
-    def run(strings: list[bytes], places: list[tuple], groups, windows, reaches):
+    def run(strings: list[bytes], doc, start, groups, windows, reaches):
         known: dict[bytes, int] = {}
         split = [s.split() for s in strings]
         words = np.array([known.setdefault(w, len(known)) for s in split for w in s], np.int64)
         sizes = np.array([len(s) for s in split], np.int64)
         anchor = np.cumsum(sizes) - sizes + reaches
-        doc, start = np.array(places, np.int64).reshape(-1, 2).T
         order = np.empty(len(strings), np.int64)
         order[np.lexsort((start + reaches, doc))] = np.arange(len(strings))
         names = np.unique(groups, return_inverse=True)[1].astype(np.int64)
@@ -102,7 +101,7 @@ def extend(window: int, k: int):
             own, match = own[rank], match[rank]
             every.append(np.stack([own, reaches[own] - step]))
             later.append(every[-1][:, np.flatnonzero(match[1:] == match[:-1]) + 1])
-        return tuple(np.concatenate(later, axis=1)), tuple(np.concatenate(every, axis=1))
+        return anchored.stretches(*np.concatenate(later, axis=1)), anchored.stretches(*np.concatenate(every, axis=1))
 
     return run
 

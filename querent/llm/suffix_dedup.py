@@ -9,9 +9,11 @@ then the columns are copied in sequence with the new suffixes inserted. Both pas
 Whole texts can't be one collection: rounds are as many as the longest text's bytes, and each reads all of
 the transform. What is built are collections of spans instead: the stretches of bytes whose windows share a
 winnowed anchor (see anchored), of less than twice WINDOW bytes. Windows with one anchor are always in the same
-collection, so nothing is missed; equal spans go in once, with their number. All windows start at their anchor
-or before it, so what the spans of an anchor have in common from there on is one symbol of that many bytes. What
-has WINDOW bytes in common with its neighbour repeats, and nothing else is removed.
+collection, so nothing is missed; equal spans go in once, with their number. Spans go in as strings of the windows
+that have the anchor at neighbouring places and so share the bytes around it. What the strings of such a group have
+in common from the last place on where one of their windows starts is one symbol of that many bytes; a string alone
+in its group is one symbol, since its windows all differ and repeat as it does. What has WINDOW bytes in common with
+its neighbour repeats, and nothing else is removed.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from querent.llm.common import once
 WINDOW, K = 100, 32
 #: Places of a column handled at once.
 CHUNK = 1 << 20
+#: Places of the anchor in a window that a string of a collection spans.
+WIDTH = 18
 #: Symbols: bytes, then one for each group of a collection, then the one that stands before a string's first.
 BYTES = 256
 
@@ -155,17 +159,16 @@ def _ranks(columns: Columns, where: np.ndarray, base: np.ndarray, weights: np.nd
     return (rank[by], own[by], left[by]), (after_at[then], after[then])
 
 
-def build(strings: list[np.ndarray], weights: np.ndarray, most: int, folder: str) -> tuple[Columns, np.ndarray]:
+def build(symbols: np.ndarray, sizes: np.ndarray, weights: np.ndarray, most: int, folder: str) -> tuple[Columns, np.ndarray]:
     """Columns bwt, lcp (weights of the common symbols, up to most) and place of all suffixes in order, and where each string begins; ends of strings differ.
 
-    Symbols are less than len(weights); that number stands before a string's first.
+    symbols are those of strings of these sizes in a row, all less than len(weights); that number stands before a string's first.
     """
-    n, end = len(strings), len(weights)
-    sizes = np.array([len(s) for s in strings], np.int64)
+    n, end = len(sizes), len(weights)
     # Each string has one place more than symbols, for its end; text[p] is the symbol before place p.
     begin = np.cumsum(sizes + 1) - sizes - 1
-    gap = np.array([end], np.uint16)
-    text = np.concatenate([gap, *(x for s in strings for x in (s, gap))])
+    text = np.full(len(symbols) + n + 1, end, np.uint16)
+    text[np.arange(1, len(symbols) + 1) + np.repeat(np.arange(n), sizes)] = symbols
     columns = Columns(folder, {"bwt": np.dtype(np.uint16), "lcp": np.min_scalar_type(most), "place": np.dtype(np.int32)})
     where, what = np.arange(n), begin + sizes
     columns.start()
@@ -198,55 +201,89 @@ def build(strings: list[np.ndarray], weights: np.ndarray, most: int, folder: str
     return columns, begin
 
 
-def _folded(strings: list[bytes], groups: np.ndarray, reaches: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Strings as symbols, what a group's have in common from their anchors on as one; and all symbols' weights."""
-    cuts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True])
-    out, weights = [], [1] * BYTES
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        ahead = [s[r:] for s, r in zip(strings[a:b], reaches[a:b].tolist(), strict=True)]
-        size = len(os.path.commonprefix(ahead)) if b - a > 1 else len(ahead[0])
-        core = np.array([len(weights)], np.uint16)
-        weights.append(size)
-        for s, rest in zip(strings[a:b], ahead, strict=True):
-            out.append(np.concatenate([np.frombuffer(s, np.uint8, len(s) - len(rest)), core, np.frombuffer(rest, np.uint8, len(rest) - size, min(size, len(rest)))], dtype=np.uint16, casting="safe"))
-    return out, np.array(weights, np.int64)
+def _folded(strings: list[bytes], groups: np.ndarray, windows: np.ndarray, reaches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols in a row and their numbers of strings, what a group's have in common as one (a lone string all, others from the last window's start on); and all symbols' weights."""
+    lengths = np.array([len(s) for s in strings], np.int64)
+    first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    members = np.diff(np.r_[first, len(groups)])
+    back = np.where(members > 1, np.minimum.reduceat(reaches - windows + 1, first), reaches[first])
+    ahead = (lengths - reaches)[first]
+    for k in np.flatnonzero(members > 1).tolist():
+        own = slice(first[k], first[k] + members[k])
+        cuts = list(zip(strings[own], reaches[own].tolist(), strict=True))
+        back[k] = len(os.path.commonprefix([s[r - int(back[k]) : r][::-1] for s, r in cuts]))
+        ahead[k] = len(os.path.commonprefix([s[r:] for s, r in cuts]))
+    group = np.repeat(np.arange(len(first)), members)
+    cut, size = reaches - back[group], (back + ahead)[group]
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at, over = np.repeat(cut, lengths), np.repeat(cut + size, lengths)
+    symbols = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16)
+    lead = place == at
+    symbols[lead] = BYTES + np.repeat(group, lengths)[lead]
+    return symbols[(place <= at) | (place >= over)], lengths - size + 1, np.r_[np.ones(BYTES, np.int64), back + ahead]
 
 
 def _ordered(strings: list[bytes], groups: np.ndarray, windows: np.ndarray, reaches: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, window, run) of all windows: equal ones have one run."""
+    """(string, window, run) of all windows, equal ones have one run; of strings that are one symbol, of their first."""
     runs, found = 0, []
     with tempfile.TemporaryDirectory() as folder:
-        columns, begin = build(*_folded(strings, groups, reaches), window, folder)
+        symbols, sizes, weights = _folded(strings, groups, windows, reaches)
+        columns, begin = build(symbols, sizes, weights, window, folder)
         for _, (lcp, place) in columns.read("lcp", "place"):
             run = runs + np.cumsum(lcp < window)
             runs = int(run[-1])
             string = np.searchsorted(begin, place, side="right") - 1
             offset = place - begin[string]
-            whole = offset < windows[string]
+            # A string that is one symbol has its windows in one place.
+            whole = offset < np.where(sizes[string] > 1, windows[string], 1)
             found.append((string[whole], offset[whole], run[whole]))
         columns.close()
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def compare(window: int):
+def _cut(strings: list[bytes], groups: np.ndarray, windows: np.ndarray, reaches: np.ndarray, window: int, width: int):
+    """Strings cut by where the anchor lies in their windows, sorted by what all windows of a part must share: (string, first window, group, windows, reach, text)."""
+    low, high = (reaches - windows + 1) // width, reaches // width
+    count = high - low + 1
+    string = np.repeat(np.arange(len(strings)), count)
+    part = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count) + low[string]
+    least, most = np.maximum(part * width, (reaches - windows + 1)[string]), np.minimum((part + 1) * width - 1, reaches[string])
+    shift = reaches[string] - most
+    texts, shared, known = [], [], {}
+    bounds = (string, shift, reaches[string] - least + window, reaches[string] - part * width, reaches[string] - (part + 1) * width + 1 + window, groups[string], part)
+    for i, a, b, c, d, g, q in zip(*(x.tolist() for x in bounds), strict=True):
+        text = strings[i]
+        texts.append(text[a:b])
+        shared.append(known.setdefault((g, q, text[c:d]), len(known)))
+    shared = np.array(shared, np.int64)
+    order = np.argsort(shared, kind="stable")
+    return string[order], shift[order], shared[order], (most - least + 1)[order], most[order], [texts[i] for i in order.tolist()]
+
+
+def compare(window: int, width: int = WIDTH):
     """anchored.Compare by the order of all suffixes."""
-    def run(strings: list[bytes], places: list[tuple], groups: np.ndarray, windows: np.ndarray, reaches: np.ndarray):
-        doc, start = np.array(places, np.int64).reshape(-1, 2).T
-        # Groups of one string are short, so they have a collection for themselves.
+    def run(strings: list[bytes], doc: np.ndarray, start: np.ndarray, groups: np.ndarray, windows: np.ndarray, reaches: np.ndarray):
+        string, shift, groups, windows, reaches, texts = _cut(strings, groups, windows, reaches, window, width)
+        # Groups of one string are one symbol each, so they have a collection for themselves.
         edge = np.r_[True, groups[1:] != groups[:-1], True]
         alone = edge[1:] & edge[:-1]
         later, every = [], []
-        for part in (np.flatnonzero(alone), np.flatnonzero(~alone)):
+        for lone, part in ((True, np.flatnonzero(alone)), (False, np.flatnonzero(~alone))):
             if not len(part):
                 continue
-            string, offset, run = _ordered([strings[i] for i in part.tolist()], groups[part], windows[part], reaches[part], window)
-            string = part[string]
-            order = np.lexsort((start[string] + offset, doc[string], run))
-            string, offset, run = string[order], offset[order], run[order]
-            every.append((string, offset))
+            own, offset, run = _ordered([texts[i] for i in part.tolist()], groups[part], windows[part], reaches[part], window)
+            own = part[own]
+            if lone:
+                every.append((string[own], shift[own], windows[own]))
+                continue
+            own, offset = string[own], shift[own] + offset
+            order = np.lexsort((start[own] + offset, doc[own], run))
+            own, offset, run = own[order], offset[order], run[order]
             again = np.flatnonzero(run[1:] == run[:-1]) + 1
-            later.append((string[again], offset[again]))
-        return tuple(tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for parts in (later, every))
+            later.append(anchored.stretches(own[again], offset[again]))
+            every.append(anchored.stretches(own, offset))
+        none = (np.empty(0, np.int64),) * 3
+        return tuple(tuple(np.concatenate(x) for x in zip(none, *parts, strict=True)) for parts in (later, every))
 
     return run
 

@@ -247,7 +247,7 @@ def test_repeated_rows_and_long_texts(spark, monkeypatch, module, plain):
 @pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
 def test_the_comparison_alone_removes(spark, monkeypatch, module):
     none = np.empty(0, np.int64)
-    monkeypatch.setattr(module, "extend" if module is substring_dedup else "compare", lambda *_: lambda *_: ((none, none), (none, none)))
+    monkeypatch.setattr(module, "extend" if module is substring_dedup else "compare", lambda *_: lambda *_: ((none,) * 3,) * 2)
     got = module.remove_repeats(frame(spark, corpus(7))).collect()
     assert sum(r.n_removed for r in got) == 0
 
@@ -258,7 +258,7 @@ def test_collection_order(tmp_path, monkeypatch, chunk):
     r = random.Random(1)
     for _ in range(25):
         strings = [bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 8))]
-        columns, begin = suffix_dedup.build([np.frombuffer(s, np.uint8).astype(np.uint16) for s in strings], np.ones(256, np.int64), 5, str(tmp_path))
+        columns, begin = suffix_dedup.build(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), np.ones(256, np.int64), 5, str(tmp_path))
         bwt, lcp, place = (np.concatenate(parts) for parts in zip(*(parts for _, parts in columns.read("bwt", "lcp", "place"))))
         columns.close()
         own = np.searchsorted(begin, place, side="right") - 1
@@ -269,8 +269,8 @@ def test_collection_order(tmp_path, monkeypatch, chunk):
 
 
 def test_a_symbol_of_more_bytes(tmp_path):
-    strings = [np.array(s, np.uint16) for s in ([97, 256, 98], [97, 256, 99], [97, 257, 98])]
-    columns, begin = suffix_dedup.build(strings, np.r_[np.ones(256, np.int64), 7, 9], 20, str(tmp_path))
+    symbols = np.array([97, 256, 98, 97, 256, 99, 97, 257, 98])
+    columns, begin = suffix_dedup.build(symbols, np.array([3] * 3), np.r_[np.ones(256, np.int64), 7, 9], 20, str(tmp_path))
     lcp, place = (np.concatenate(parts) for parts in zip(*(parts for _, parts in columns.read("lcp", "place"))))
     columns.close()
     common = {p: n for p, n in zip(place.tolist(), lcp.tolist())}
@@ -278,7 +278,7 @@ def test_a_symbol_of_more_bytes(tmp_path):
 
 
 def test_columns_lie_in_files(tmp_path):
-    columns, _ = suffix_dedup.build([np.frombuffer(b"banana" * 20, np.uint8).astype(np.uint16)] * 3, np.ones(256, np.int64), 100, str(tmp_path))
+    columns, _ = suffix_dedup.build(np.frombuffer(b"banana" * 60, np.uint8), np.array([120] * 3), np.ones(256, np.int64), 100, str(tmp_path))
     files = {name: (tmp_path / f"{name}-{'ab'[columns.turn]}").stat().st_size for name in columns.kinds}
     columns.close()
     assert files == {"bwt": 2 * 363, "lcp": 363, "place": 4 * 363}
