@@ -220,6 +220,15 @@ def stretches(string: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.nd
     return string[head], window[head], np.diff(np.r_[head, len(string)])
 
 
+def merged(string: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches with adjacent ones of a string as one; none overlap."""
+    order = np.lexsort((first, string))
+    string, first, count = string[order], first[order], count[order]
+    head = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (first[1:] != first[:-1] + count[:-1])][: len(string)])
+    total = np.r_[0, np.cumsum(count)]
+    return string[head], first[head], total[np.r_[head[1:], len(string)]] - total[head]
+
+
 def _whole(table: pa.Table) -> pa.Table:
     """The strings among sorted rows: whole ones, and pairs of a row with n and one with the text of the same place."""
     n, bare = table.column("n").to_numpy(), table.column("payload").is_null().to_numpy()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,18 +14,22 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
+_KEPT: dict[Any, Any] = {}
+
+
 def once(key: Any, build: Callable[[], Any]) -> Any:
     """build(), kept for the life of the process: tables and coders that a Python worker needs for task after task."""
-    kept = sys.__dict__.setdefault("_querent_once", {})
-    if key not in kept:
-        kept[key] = build()
-    return kept[key]
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(spark, "_querent_shared", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="querent-shared-")
@@ -57,6 +60,14 @@ def release(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it where df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -82,7 +93,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.u", "e.v").where("u <> v").distinct()
-        now = materialize(small, "edges")
+        before, now = now, materialize(small, "edges")
+        release(before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import SPACE, materialize, text_of
+from querent.llm.common import SPACE, free_name, materialize, text_of
 
 #: Bytes in a block.
 BLOCK = 4096
@@ -148,10 +148,14 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops; a semi join on the row's number, so repeated ids are told apart."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    kept = exact_dedup(rows, row_column="_row").where("kept").select(F.col("rid").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    """docs without the rows that exact_dedup drops; a semi join on the row's number, so repeated ids are told apart.
+
+    Columns of docs may have any names; the number's own is chosen among free ones.
+    """
+    own = free_name(docs, "_row")
+    rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    kept = exact_dedup(rows, row_column=own).where("kept").select(F.col("rid").alias(own))
+    return rows.join(kept, own, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -283,7 +283,7 @@ def compare(window: int, width: int = WIDTH):
             later.append(anchored.stretches(own[again], offset[again]))
             every.append(anchored.stretches(own, offset))
         none = (np.empty(0, np.int64),) * 3
-        return tuple(tuple(np.concatenate(x) for x in zip(none, *parts, strict=True)) for parts in (later, every))
+        return tuple(anchored.merged(*(np.concatenate(x) for x in zip(none, *parts, strict=True))) for parts in (later, every))
 
     return run
 

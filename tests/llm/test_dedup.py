@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from querent.llm import exact_dedup, simhash, substring_dedup, suffix_dedup
+from querent.llm import exact_dedup, near_copies, simhash, substring_dedup, suffix_dedup
 
 SPACES = re.compile(r"[\x20\x09-\x0D]")
 SCHEMA = "doc_id long, text string, rid int, key string, n long, start int"
@@ -64,6 +64,15 @@ def test_exact_dedup_repeated_rows_and_empty_table(spark):
     assert exact_dedup.exact_dedup(rows.limit(0)).count() == 0
 
 
+def test_keep_first_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a b", 77, 7, 8, "n"), (2, "ab", 78, 9, 9, "m"), (3, "c", 79, 1, 2, "o")], "doc_id long, text string, _row int, _root int, pos int, name string")
+    for module in (exact_dedup, near_copies):
+        got = module.keep_first(rows)
+        assert got.columns == rows.columns
+        kept = {1, 3} if module is exact_dedup else {1, 2, 3}
+        assert sorted(map(tuple, got.collect())) == [tuple(r) for r in rows.collect() if r.doc_id in kept]
+
+
 def test_exact_dedup_hot_run_spans_tasks(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:

@@ -8,7 +8,8 @@ import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from querent.llm import packing, quality, secret_scan, simhash  # noqa: E402
+from llm.test_near_copies import expected  # noqa: E402
+from querent.llm import packing, quality, secret_scan  # noqa: E402
 
 DATA = os.environ.get("QUERENT_TESTDATA", "/root/testdata")
 
@@ -32,17 +33,9 @@ def test_pipeline(spark, tmp_path):
     for r in kept:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), []).append(r)
     kept = [min(g, key=lambda r: (-len(r.text or ""), r.doc_id)) for g in groups.values()]
-    marks = [simhash.fingerprint(r.text or "", 3) for r in kept]
-    root = list(range(len(kept)))
-    for i in range(len(kept)):
-        for j in range(i):
-            if (marks[i] ^ marks[j]).bit_count() <= 2 and root[i] != root[j]:
-                old, new = root[i], root[j]
-                root = [new if x == old else x for x in root]
-    groups = {}
-    for r, c in zip(kept, root):
-        groups.setdefault(c, []).append(r)
-    kept = [min(g, key=lambda r: r.doc_id) for g in groups.values()]
+    # One document of each group of texts whose 5-word shingles have a similarity of 0.8 or more.
+    first = set(expected([(r.doc_id, r.text) for r in kept]))
+    kept = [r for r in kept if r.doc_id in first]
     texts = {r.doc_id: secret_scan.masked(r.text or "", secret_scan.scan([r.text or ""])[0]) for r in kept}
     from querent.llm.bpe import Coder
 
@@ -57,3 +50,17 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").limit(30)
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, f"{DATA}/sf0.001").columns == docs.columns
+
+
+def test_an_empty_table_and_clashing_columns(spark, tmp_path):
+    folder = str(tmp_path / "tables")
+    os.makedirs(folder)
+    shutil.copy(f"{DATA}/sf0.001/labels.parquet", folder)
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    docs.limit(0).write.parquet(f"{folder}/documents.parquet")
+    assert pipeline.run(spark, folder).count() == 0
+    more = docs.limit(20).selectExpr("*", "1 AS _row", "2 AS root", "3 AS rid", "'x' AS name", "4 AS pos")
+    for _, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, more, folder)
+        assert got.columns == more.columns and {r.rid for r in got.collect()} <= {3}
+    assert pipeline.STAGES[-1][1](spark, more, folder).count() >= 20
