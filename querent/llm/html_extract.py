@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one a block of the page; lines inside menus, headers, footers, sidebars,
-notices, adverts, forms, comments and the like weigh nothing, nor do links. Weights are summed over sliding
-windows of BLOCK lines. Text begins where the sums surge over a threshold and ends where they dive to
-nothing; the lines between are kept. Where a page marks its article or main part, only lines there weigh,
-and any weight is a surge, so short paragraphs of it stay.
+Markup is stripped into lines, one a block of the page, with a gap of blank lines where a section of the page
+begins or ends. A line weighs what its text is long, MARKED times that in an article or main part, and elsewhere
+less its links; lines inside menus, headers, footers, sidebars, notices, adverts, forms, comments and the like
+weigh nothing. Weights are summed over sliding windows of BLOCK lines. A stretch between the points where the
+sums leave zero and where they dive to it again is text if the sums surge over a threshold in it.
+
+Pages are read in one pass, with work in proportion to their length however broken their markup is.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a sliding window, and the weight over which a window surges.
-BLOCK, SURGE = 3, 86
+#: Lines of a sliding window, the weight over which a window surges, and how many times a marked line's length weighs.
+BLOCK, SURGE, MARKED = 3, 86, 4
 #: A class or id flags an element only up to this share of the page's text; more is a layout's wrapper.
 WRAPPER = 0.6
 
@@ -29,6 +31,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("nav footer aside form button select option dialog menu fieldset datalist input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SECTIONS = frozenset("article main section aside nav header footer".split())
+CONTAINERS = frozenset("html body main article section div td th li ul ol table blockquote figure dd header".split())
+LISTS = frozenset("ul ol dl table select".split())
+ITEMS = frozenset("li dt dd tr td th option".split())
+#: Raw elements that end at their end tag only; the others hold markup and end there if there is one.
+UNREAD = frozenset("script style".split())
 #: Words of a class or id that flag an element.
 ALWAYS = frozenset("comment comments commentlist disqus respond replies".split())
 FLAGS = frozenset(
@@ -37,16 +45,57 @@ FLAGS = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations toolbar search skip copyright legal disclaimer".split()
 )
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_PLAIN = re.compile(r"""[^>"']*""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class _Line:
-    __slots__ = ("flags", "heading", "link", "main", "parts")
+    __slots__ = ("flag", "heading", "link", "main", "parts")
 
     def __init__(self):
-        self.parts, self.link, self.flags, self.main, self.heading = [], 0, frozenset(), False, False
+        self.parts, self.link, self.flag, self.main, self.heading = [], 0, 0, False, False
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of comments (no name) and tags; send() a place to go on there.
+
+    A tag ends at the first > outside quotes. Once there is none for a tag, quotes no longer count.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while (at := page.find("<", at)) >= 0:
+        end, name, attributes = -1, "", ""
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+        elif at > last:
+            return
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.index(">", at) + 1
+        elif found := _NAME.match(page, at):
+            name, place = found[1].lower(), found.end()
+            while quotes:
+                place = _PLAIN.match(page, place).end()
+                if page[place : place + 1] == ">":
+                    break
+                close = page.find(page[place], place + 1) if place < len(page) else -1
+                if close < 0:
+                    quotes, place = False, found.end()
+                else:
+                    place = close + 1
+            place = page.find(">", place)
+            if place < 0:
+                return
+            end, attributes = place + 1, page[found.end() : place]
+        if end < 0:
+            at += 1
+            continue
+        jump = yield at, end, name, page[at + 1] == "/", attributes
+        at = end
+        if jump is not None:
+            at = jump
+            yield 0, 0, "", False, ""
 
 
 def _flag(tag: str, attributes: str) -> str | None:
@@ -66,18 +115,76 @@ def _flag(tag: str, attributes: str) -> str | None:
     return "always" if words & ALWAYS else "weak" if words & FLAGS else None
 
 
+class _Open:
+    """The open elements, with what is asked of them kept up to date as they open and close."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.groups = {CONTAINERS: [], LISTS: []}
+        self.flagged, self.main, self.heading, self.link = [0], 0, 0, 0
+        #: By number of a flagged element: its kind, the flagged element around it, text before it and at its end.
+        self.kinds, self.around, self.begun, self.ended = [""], [0], [0], [0]
+
+    def push(self, tag: str, kind: str | None, total: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        for group, places in self.groups.items():
+            if tag in group:
+                places.append(len(self.stack))
+        if kind:
+            self.around.append(self.flagged[-1])
+            self.flagged.append(len(self.kinds))
+            self.kinds.append(kind)
+            self.begun.append(total)
+            self.ended.append(-1)
+        self.stack.append((tag, self.flagged[-1] if kind else 0))
+        self._count(tag, 1)
+
+    def _count(self, tag: str, step: int) -> None:
+        self.main += step * (tag in ("article", "main"))
+        self.heading += step * (tag in HEADINGS)
+        self.link += step * (tag == "a")
+
+    def close(self, tag: str, total: int, within: frozenset | None = None) -> bool:
+        """Close the innermost tag and all in it, unless it lies outside the innermost element of within."""
+        if not self.places.get(tag) or (within and self.groups[within] and self.groups[within][-1] > self.places[tag][-1]):
+            return False
+        last = self.places[tag][-1]
+        while len(self.stack) > last:
+            name, number = self.stack.pop()
+            self.places[name].pop()
+            for group, places in self.groups.items():
+                if name in group:
+                    places.pop()
+            if number:
+                self.flagged.pop()
+                self.ended[number] = total
+            self._count(name, -1)
+        return True
+
+    def dropped(self, total: int) -> tuple[list[bool], list[bool]]:
+        """By number: whether it or one around it is flagged off; whether one is a header. A wrapper's class flags nothing."""
+        off, header = [False], [False]
+        for n in range(1, len(self.kinds)):
+            size = (total if self.ended[n] < 0 else self.ended[n]) - self.begun[n]
+            own = self.kinds[n] == "always" or (self.kinds[n] == "weak" and size <= WRAPPER * max(1, total))
+            off.append(own or off[self.around[n]])
+            header.append(self.kinds[n] == "header" or header[self.around[n]])
+        return off, header
+
+
 def lines_of(page: str) -> list[_Line]:
-    """The page's blocks in order, with what they lie in."""
+    """The page's blocks in order, with what they lie in; blank lines where sections begin and end. flag: whether it is left out."""
     lines: list[_Line] = []
-    stack: list[tuple[str, str | None, int]] = []  # tag, flag, number
-    weights: dict[int, int] = {}
-    kinds: dict[int, str] = {}
-    number, at, line, total = 0, 0, _Line(), 0
+    opened, line, total = _Open(), _Line(), 0
+    unclosed: set[str] = set()  # raw elements without an end tag from here on
 
-    def flush() -> None:
+    def flush(gap: bool = False) -> None:
         nonlocal line
         if line.parts:
             lines.append(line)
+        if gap:
+            lines.extend(_Line() for _ in range(BLOCK))
         line = _Line()
 
     def text(raw: str) -> None:
@@ -88,78 +195,51 @@ def lines_of(page: str) -> list[_Line]:
         if not line.parts:
             if not size:
                 return
-            line.flags = frozenset(n for _, f, n in stack if f)
-            # An article inside comments isn't the page's.
-            line.main = any(t in ("article", "main") for t, _, _ in stack)
-            line.heading = any(t in HEADINGS for t, _, _ in stack)
+            line.flag, line.main, line.heading = opened.flagged[-1], opened.main > 0, opened.heading > 0
         line.parts.append(value)
         total += size
-        for _, f, n in stack:
-            if f:
-                weights[n] = weights.get(n, 0) + size
-        if any(t == "a" for t, _, _ in stack):
-            line.link += size
-
-    def close(tag: str, within: frozenset = frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
-            if stack[i][0] in within:
-                return
+        line.link += size * (opened.link > 0)
 
-    containers = frozenset("html body main article section div td th li ul ol table blockquote figure dd header".split())
-    skip_to = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < skip_to:
-            continue
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    at, tags = 0, _tags(page)
+    for start, end, tag, closing, attributes in tags:
+        text(page[at:start])
+        at = end
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag not in INLINE and tag not in VOID:
-                flush()
-            close(tag)
-            continue
-        if tag in RAW:
-            if tag not in ("title", "textarea", "svg", "math", "object", "canvas", "audio", "video", "template", "head", "noscript", "iframe"):
-                # Script and style end at their own end tag only.
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, m.end())
-                skip_to = at = end.end() if end else len(page)
-            elif not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, m.end())
-                if end is None and tag == "head":
-                    end = re.compile(r"(?=<body)", re.I).search(page, m.end())
-                if end is not None:
-                    skip_to = at = end.end()
-            continue
-        if tag in ("br", "hr", "wbr", "img"):
+                flush(tag in SECTIONS)
+            opened.close(tag, total)
+        elif tag in RAW:
+            if tag not in UNREAD and attributes.rstrip().endswith("/"):
+                continue
+            found = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, end)
+            if found is None:
+                unclosed.add(tag)
+                if tag == "head":
+                    found = re.compile("(?=<body)", re.I).search(page, end)
+            if found is not None or tag in UNREAD:
+                at = found.end() if found else len(page)
+                tags.send(at)
+        elif tag in ("br", "hr", "wbr", "img"):
             if tag == "hr":
                 flush()
             elif tag == "br" and line.parts:
                 line.parts.append(" ")
-            continue
-        if tag not in INLINE:
-            flush()
-            close("p", containers)
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                close(tag, frozenset("ul ol dl table select".split()))
-        if tag in VOID or m[3].rstrip().endswith("/"):
-            continue
-        number += 1
-        flag = _flag(tag, m[3])
-        if flag:
-            kinds[number] = flag
-        stack.append((tag, flag, number))
+        else:
+            if tag not in INLINE:
+                flush(tag in SECTIONS)
+                opened.close("p", total, CONTAINERS)
+                if tag in ITEMS:
+                    opened.close(tag, total, LISTS)
+            if tag not in VOID and not attributes.rstrip().endswith("/"):
+                opened.push(tag, _flag(tag, attributes), total)
     text(page[at:])
     flush()
-    # What flags a line: a wrapper's class does not, and a heading in an article's header stays.
-    off = {n for n, k in kinds.items() if k == "always" or (k == "weak" and weights.get(n, 0) <= WRAPPER * max(1, total))}
-    headers = {n for n, k in kinds.items() if k == "header"}
+    off, header = opened.dropped(total)
     for x in lines:
-        x.flags = frozenset(n for n in x.flags if n in off or (n in headers and not (x.main and x.heading)))
+        # A heading in an article's header stays.
+        x.flag = off[x.flag] or (header[x.flag] and not (x.main and x.heading))
     return lines
 
 
@@ -167,25 +247,20 @@ def extract(page: str | None) -> str:
     """The main text of a page: its blocks joined by two line feeds, empty if there is none."""
     lines = lines_of(page or "")
     shown = [" ".join("".join(x.parts).split()) for x in lines]
-    marked = any(x.main and not x.flags and s for x, s in zip(lines, shown, strict=True))
-    weight = [0 if x.flags or (marked and not x.main) else max(0, len(s) - (0 if marked else 2 * x.link)) for x, s in zip(lines, shown, strict=True)]
+    weight = [0 if x.flag else MARKED * len(s) if x.main else max(0, len(s) - 2 * x.link) for x, s in zip(lines, shown, strict=True)]
     sums = [sum(weight[i : i + BLOCK]) for i in range(len(weight))]
-    threshold = 0 if marked else min(SURGE, max(sums, default=0) / 2)
-    surges = [i for i, s in enumerate(sums) if s > threshold and weight[i] > 0]
-    if not surges:
-        return ""
-    kept: set[int] = set()
-    i = surges[0]
-    while i is not None:
+    marked = any(x.main and w for x, w in zip(lines, weight, strict=True))
+    threshold = min(SURGE * MARKED if marked else SURGE, max(sums, default=0) / 2)
+    out: list[str] = []
+    i = 0
+    while i < len(sums):
         end = i
         while end < len(sums) and sums[end] > 0:
             end += 1
-        kept.update(range(i, end))
-        if not marked and i > 0 and lines[i - 1].heading and not lines[i - 1].flags:
-            kept.add(i - 1)
-        i = next((s for s in surges if s >= end), None)
-    # Between surge and dive only flagged lines are left out, and on unmarked pages lines that are all links.
-    out = [s for k, (x, s) in enumerate(zip(lines, shown, strict=True)) if k in kept and s and not x.flags and (x.main if marked else x.link < 0.9 * len(s))]
+        if any(s > threshold for s in sums[i:end]):
+            # Between surge and dive only flagged lines are left out, and outside articles lines that are all links.
+            out += [s for x, s in zip(lines[i:end], shown[i:end], strict=True) if s and not x.flag and (x.main or x.link < 0.9 * len(s))]
+        i = end + 1
     return "\n\n".join(out)
 
 

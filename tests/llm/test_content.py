@@ -90,6 +90,35 @@ def test_page_text_edges(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_line_blocks_decide_on_all_pages(monkeypatch):
+    import pandas as pd
+
+    pages = pd.read_parquet(f"{DATA}/sf0.1/pages.parquet").html.fillna("").tolist()
+    want = [html_extract.extract(p) for p in pages]
+    plain = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in pages]
+    assert sum(html_extract.extract(p) == w for p, w in zip(plain, want)) > 0.99 * len(pages)
+    # Without the word lists the surges keep most pages right, and without those too few are.
+    monkeypatch.setattr(html_extract, "_flag", lambda tag, attributes: None)
+    assert sum(html_extract.extract(p) == w for p, w in zip(pages, want)) > 0.95 * len(pages)
+    monkeypatch.setattr(html_extract, "SURGE", 0)
+    assert sum(html_extract.extract(p) == w for p, w in zip(pages, want)) < 0.2 * len(pages)
+
+
+BROKEN = {
+    "quotes": '<a b="' * 170_000, "quotes, then an end": '<a b="' * 170_001 + ">", "ends in quotes": '<a ">" ' * 150_000, "open elements": "<div class=ad>x" * 50_000,
+    "open inline elements": "<p><div>" + "<span>" * 50_000 + "<h1>a" * 20_000, "raw elements": "<svg>" * 200_000, "comments": "<!-- " * 200_000,
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_broken_markup_takes_time_in_proportion(kind):
+    import time
+
+    start = time.process_time()
+    html_extract.extract(BROKEN[kind])
+    assert time.process_time() - start < 2
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels, sample=1500, pool=1500)
