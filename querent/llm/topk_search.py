@@ -1,13 +1,14 @@
 """Exact top-k search by columnar branch and bound.
 
-Vectors lie in blocks in vertical layout: a row a dimension. For a block of queries and a block of candidates
-inner products accumulate dimension block by dimension block, those with most of the queries' mass first. What
-the remaining dimensions can still add is bounded by the product of both sides' remaining mass (norms); after
-each step candidates that can't reach any query's k-th best lower bound any more are compacted away. The rest
-get exact scores.
-
-The stated queries meet all candidates in blocks: candidate blocks are rows of packed numbers, one copy for
-each block of queries; each pair gives at most k candidates a query, and these are merged in the end.
+Vectors lie in blocks in vertical layout: a row a dimension. For each query, inner products with a block of
+candidates accumulate dimension block by dimension block, those with most of the query's mass first. What the
+remaining dimensions can still add is bounded by the product of both sides' remaining mass (norms); after each
+step candidates that can't reach the query's k-th best lower bound any more are compacted away, for that query
+alone. The k-th best of the candidate blocks before is the bound that a query begins the next one with. The
+rest get exact scores.
+
+The stated queries meet all candidates in a grid of blocks whose cells grow with the number of pairs of blocks;
+each pair gives at most k candidates a query, and these are merged in the end.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from querent.llm.common import materialize
 TOP, EVERY, SCALE = 20, 20, 64
 #: Vectors of a candidate block, and of a query block.
 CANDIDATES, QUERIES = 4096, 1024
-#: Rows and columns of the grid of pairs of blocks.
-GRID = 24
+#: Least rows and columns of the grid of pairs of blocks, and blocks that a cell has of either side beyond that.
+GRID, CELL = 24, 8
 #: Dimensions accumulated between two compactions.
 STEP = 16
 #: Integers of float64 up to this are exact.
@@ -58,8 +59,14 @@ def _pack(size: int):
     return run
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, top: int = TOP, step: int = STEP) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, scores) of the best top candidates of each query (vertical q and c): all of its winners, ties to smaller ids."""
+def best(
+    q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, top: int = TOP, step: int = STEP, floors: np.ndarray | None = None, reached: list[int] | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, ids, scores) of the best top candidates of each query (vertical q and c): all of its winners, ties to smaller ids.
+
+    floors: scores that the queries' winners reach at least; they are raised to what is found. reached gets how
+    many candidates of each query are left at the last block of dimensions.
+    """
     dims = len(q)
     limit = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, dims)
     if limit >= EXACT:  # beyond exact floats: integers of any size
@@ -69,37 +76,38 @@ def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, top
             order = sorted((j for j in range(len(c_ids)) if c_ids[j] != query), key=lambda j: (-full[i, j], c_ids[j]))[:top]
             yield int(query), c_ids[order], full[i, order]
         return
-    order = np.argsort(-np.square(q).sum(axis=1), kind="stable")
-    alive = np.arange(c.shape[1])
-    partial = np.zeros((q.shape[1], c.shape[1]))
-    q_rest = np.square(q).sum(axis=0)
-    c_rest = np.square(c).sum(axis=0)
-    for at in range(0, dims, step):
-        block = order[at : at + step]
-        own = c[np.ix_(block, alive)]
-        partial += q[block].T @ own
-        q_rest = np.maximum(q_rest - np.square(q[block]).sum(axis=0), 0)
-        c_rest = np.maximum(c_rest - np.square(own).sum(axis=0), 0)
-        if at + step < dims and len(alive) > 4 * (top + 1):
-            slack = np.sqrt(q_rest)[:, None] * np.sqrt(c_rest)[None, :] * (1 + 1e-9) + 1e-6
-            # One more than top, since a query may meet itself.
-            floor = np.partition(partial - slack, len(alive) - top - 1, axis=1)[:, len(alive) - top - 1]
-            kept = (partial + slack >= floor[:, None]).any(axis=0)
-            if not kept.all():
-                alive, partial, c_rest = alive[kept], partial[:, kept], c_rest[kept]
-    ids = c_ids[alive]
-    scores = partial.astype(np.int64)
+    square = np.square(c)
+    mass = square.sum(axis=0)
     for i, query in enumerate(q_ids):
-        row, own = scores[i], ids
-        keep = own != query
-        row, own = row[keep], own[keep]
-        if len(row) > top:
+        own = q[:, i]
+        order = np.argsort(-np.abs(own), kind="stable")
+        alive = np.flatnonzero(c_ids != query)
+        partial, rest = np.zeros(len(alive)), mass[alive]
+        bound = -np.inf if floors is None else floors[i]
+        for at in range(0, dims, step):
+            if at + step >= dims and reached is not None:
+                reached.append(len(alive))
+            block = order[at : at + step]
+            # Whole rows while most are left, else only the places of those.
+            where = (block,) if len(alive) == c.shape[1] else np.ix_(block, alive)
+            partial += own[block] @ c[where]
+            if at + step >= dims:
+                break
+            rest = np.maximum(rest - square[where].sum(axis=0), 0)
+            slack = np.sqrt(rest) * (np.sqrt(np.square(own[order[at + step :]]).sum()) * (1 + 1e-9)) + 1e-6
+            if len(alive) > top:
+                bound = max(bound, np.partition(partial - slack, len(alive) - top)[len(alive) - top])
+            kept = np.flatnonzero(partial + slack >= bound)
+            alive, partial, rest = alive[kept], partial[kept], rest[kept]
+        ids, scores = c_ids[alive], partial.astype(np.int64)
+        if len(scores) > top:
             # All that tie with the last place compete by id.
-            edge = np.partition(row, len(row) - top)[len(row) - top]
-            keep = row >= edge
-            row, own = row[keep], own[keep]
-        rank = np.lexsort((own, -row))[:top]
-        yield int(query), own[rank], row[rank]
+            kept = scores >= np.partition(scores, len(scores) - top)[len(scores) - top]
+            ids, scores = ids[kept], scores[kept]
+        rank = np.lexsort((ids, -scores))[:top]
+        if floors is not None and len(rank) == top:
+            floors[i] = max(floors[i], scores[rank[-1]])
+        yield int(query), ids[rank], scores[rank]
 
 
 def _unpack(data: bytes, dims: int, n: int) -> np.ndarray:
@@ -109,12 +117,14 @@ def _unpack(data: bytes, dims: int, n: int) -> np.ndarray:
 
 def _search(top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors: dict[bytes, np.ndarray] = {}  # of the cells' blocks of queries, what their winners reach at least
         for batch in batches:
             for pair in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 dims = pair["dims"]
                 q, c = (_unpack(pair[f"{x}_data"], dims, pair[f"{x}_n"]) for x in "qc")
                 q_ids, c_ids = (np.frombuffer(pair[f"{x}_ids"], np.int64) for x in "qc")
-                found = list(best(q_ids, q, c_ids, c, top))
+                known = floors.setdefault(pair["q_ids"], np.full(len(q_ids), -np.inf))
+                found = list(best(q_ids, q, c_ids, c, top, floors=known))
                 if found:
                     columns = [
                         pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()),
@@ -143,11 +153,12 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, candidate_blo
     wanted = materialize(clean(queries).mapInArrow(_pack(query_block), packed), "queries")
     wanted = wanted.select("dims", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     # A grid: each block of queries lies in one row of cells and each block of candidates in one column, so each pair meets once.
-    side = lambda own: (F.pmod(F.xxhash64(own, "dims"), F.lit(GRID))).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))
-    wanted = wanted.withColumn("row", side("q_ids")).withColumn("column", every)
+    rows, columns = (min(n, max(GRID, n // CELL)) for n in (max(1, wanted.count()), max(1, blocks.count())))
+    side = lambda own, n: (F.pmod(F.xxhash64(own, "dims"), F.lit(n))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    wanted = wanted.withColumn("row", side("q_ids", rows)).withColumn("column", every(columns))
     blocks = blocks.select("dims", F.col("n").alias("c_n"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
-    blocks = blocks.withColumn("column", side("c_ids")).withColumn("row", every)
+    blocks = blocks.withColumn("column", side("c_ids", columns)).withColumn("row", every(rows))
     pairs = wanted.join(blocks, ["dims", "row", "column"])
     return _merge(pairs.mapInArrow(_search(top), "query_id long, vec_id long, score long"), top)
 

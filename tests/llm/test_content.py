@@ -164,6 +164,21 @@ def test_topk(spark, scale):
     assert topk_search.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_most_pairs_end_before_the_last_block():
+    import pandas as pd
+
+    table = pd.read_parquet(f"{DATA}/sf0.1/embeddings.parquet").dropna()
+    table = table[table.embedding.map(lambda v: np.isfinite(np.array(v, float)).all())]
+    vectors, ids = np.floor(64 * np.stack(table.embedding.to_numpy()).astype(np.float64)).T.copy(), table.vec_id.to_numpy()
+    own = np.flatnonzero(ids % 20 == 0)
+    reached, floors = [], np.full(len(own), -np.inf)
+    for half in np.array_split(np.arange(len(ids)), 2):
+        list(topk_search.best(ids[own], vectors[:, own], ids[half], vectors[:, half], floors=floors, reached=reached))
+    assert len(reached) == 2 * len(own) and sum(reached) < 0.3 * len(own) * len(ids)
+    full = vectors[:, own].T @ vectors
+    assert (floors <= np.sort(np.where(ids[own][:, None] == ids, -np.inf, full), axis=1)[:, -20]).all()
+
+
 def test_branch_and_bound_compacts_and_stays_exact():
     r = np.random.default_rng(1)
     c = np.floor(64 * r.normal(size=(48, 3000)) * np.geomspace(4, 0.01, 48)[:, None])
@@ -172,3 +187,10 @@ def test_branch_and_bound_compacts_and_stays_exact():
         full = c.T @ c[:, np.flatnonzero(ids == query)[0]]
         want = sorted((-int(s), int(i)) for s, i in zip(full, ids) if i != query)[:20]
         assert [(-int(s), int(i)) for s, i in zip(scores, own)] == want
+
+
+def test_topk_with_repeated_rows(spark):
+    rows = [(20, [1.0, 0.5]), (20, [1.0, 0.5]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (4, [0.1, 0.1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.search(vectors, vectors.where("vec_id % 20 = 0")).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [3, 3, 3, 3, 4, 4]
