@@ -81,7 +81,7 @@ def strip_comments(sql: Column) -> Column:
 
 
 def normalize_whitespace(sql: Column) -> Column:
-    """Comments and white space outside strings as single spaces, ends stripped."""
+    """Each comment and each run of white space outside strings as one space, span by span, so neighbours stay apart; ends stripped."""
     def one(t: Column) -> Column:
         return F.when(_kind(t) == "comment", F.lit(" ")).when(_kind(t) == "string", t).otherwise(F.regexp_replace(t, rf"(?U){_WS}+", " "))
 

@@ -172,3 +172,44 @@ def within_budget(blocks: DataFrame, most: int, keys: tuple[str, ...] = ("questi
     folded = lists.withColumn("f", F.aggregate("blocks", start, step))
     exceeded = (F.size("f.names") < F.col("n")) | (F.lit(most > 0) & (F.col("f.chars") > most))
     return folded.select(*keys, F.col("f.names").alias("names"), F.array_join("f.kept", "\n\n").alias("text"), F.col("f.chars").alias("chars"), exceeded.alias("exceeded"))
+
+
+def select_schema(examples: DataFrame, tables: DataFrame, columns: DataFrame, fks: DataFrame, mode: str = "full", min_tables: int = 3) -> DataFrame:
+    """(question_id, db_id, table, rank) of the tables that a prompt shows: all, those linked to the question, or those of its gold query.
+
+    Ranks of all tables and of the gold query's follow the catalog's order of names. examples: question_id,
+    db_id, question, evidence, gold_sql. The oracle mode raises for an example without a gold query, or whose
+    query names no table; an unknown mode raises at once.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
+    if mode == "linked":
+        return linked_tables(examples, tables, columns, fks, min_tables)
+    names = tables.select("db_id", "table")
+    rank = (F.row_number().over(Window.partitionBy("question_id", "db_id").orderBy("table")) - 1).alias("rank")
+    if mode == "full":
+        return examples.select("question_id", "db_id").join(names, "db_id").select("question_id", "db_id", "table", rank)
+    found = oracle_tables(examples, tables).withColumn("_found", F.lit(True))
+    every = examples.select("question_id", "db_id", "gold_sql").join(found, ["question_id", "db_id"], "left")
+    shown = F.col("question_id").cast("string")
+    why = F.when(F.coalesce("gold_sql", F.lit("")) == "", F.concat(F.lit("no gold SQL: question "), shown)).when(
+        F.col("_found").isNull(), F.concat(F.lit("gold SQL names no known table: question "), shown)
+    )
+    checked = every.withColumn("table", F.when(why.isNotNull(), F.raise_error(why)).otherwise(F.col("table")))
+    return checked.select("question_id", "db_id", "table", rank)
+
+
+def schema_texts(selected: DataFrame, blocks: DataFrame, most: int = 0) -> DataFrame:
+    """(question_id, names, schema_text, chars, exceeded): each question's table blocks (db_id, table, block) in rank order, whole ones within most characters."""
+    own = selected.join(blocks, ["db_id", "table"]).select("question_id", "rank", F.col("table").alias("name"), "block")
+    return within_budget(own, most).withColumnRenamed("text", "schema_text")
+
+
+def render_selected(examples: DataFrame, tables: DataFrame, columns: DataFrame, fks: DataFrame, blocks: DataFrame, mode: str = "full", most: int = 0) -> DataFrame:
+    """examples with schema_text, selected_tables, total_tables, chars and exceeded; the full mode shows all blocks and only tells whether they fit."""
+    picked = select_schema(examples, tables, columns, fks, mode)
+    texts = schema_texts(picked, blocks, 0 if mode == "full" else most)
+    exceeded = F.col("exceeded") | (F.lit(most > 0) & (F.col("chars") > most))
+    total = tables.groupBy("db_id").agg(F.count("*").alias("total_tables"))
+    told = texts.select("question_id", "schema_text", F.col("names").alias("selected_tables"), "chars", exceeded.alias("exceeded"))
+    return examples.join(told, "question_id").join(total, "db_id")

@@ -93,3 +93,78 @@ def over_budget(records: DataFrame, most: int) -> DataFrame:
 def suggested_budget(longest: Column) -> Column:
     """The next but one multiple of 512."""
     return (F.lit(512) * (F.floor(longest / 512) + 2)).cast("long")
+
+
+def of_split(log: DataFrame, split: str, column: str = "split") -> DataFrame:
+    """The log's records of one split."""
+    return log.where(F.col(column) == split)
+
+
+def first_n(df: DataFrame, n: int, position: str = "index") -> DataFrame:
+    """The first n rows by position; none for n <= 0."""
+    return df.orderBy(position).limit(max(0, n))
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str = "question_id", position: str = "pos") -> DataFrame:
+    """The rows of df that a list of ids (key, position) names, with their positions in the list."""
+    return df.join(ids.select(key, position), key)
+
+
+def shown_ids(failed: DataFrame, key: str = "question_id", most: int = 20) -> DataFrame:
+    """One row: ids, the first most of the failed ones in order as text, with how many more there are; and n.
+
+    At most most ids are gathered; the count is an aggregate.
+    """
+    first = failed.select(key).orderBy(key).limit(most).agg(F.array_join(F.sort_array(F.collect_list(key)).cast("array<string>"), ", ").alias("ids"))
+    n = failed.agg(F.count("*").alias("n"))
+    more = F.when(F.col("n") > most, F.concat(F.lit(" (+"), (F.col("n") - most).cast("string"), F.lit(" more)"))).otherwise("")
+    return first.crossJoin(n).select(F.concat("ids", more).alias("ids"), "n")  # one row each
+
+
+def percentile_at(ranked: str, points: dict[str, Column]) -> list[Column]:
+    """Aggregates of running counts: the least value whose running count passes each index."""
+    return [F.min(F.when(F.col("_upto") > index, F.col(ranked))).alias(name) for name, index in points.items()]
+
+
+def _counted(df: DataFrame, by: str, value: Column) -> DataFrame:
+    """(by, v, _upto, _n): distinct values with running counts in each group, and the group's size."""
+    counts = df.select(F.col(by), value.alias("v")).groupBy(by, "v").agg(F.count("*").alias("c"))
+    own = Window.partitionBy(by)
+    return counts.withColumn("_upto", F.sum("c").over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("c").over(own))
+
+
+def prompt_length_stats(rows: DataFrame, tag: str = "split", chars: str = "chars", database: str = "db_id") -> DataFrame:
+    """By tag: n, distinct databases, the middle, 99th percentile and longest of the prompts' characters, and its estimated tokens."""
+    marks = _counted(rows, tag, F.col(chars)).groupBy(tag).agg(
+        *percentile_at("v", {"prompt_chars_p50": F.floor(F.col("_n") / 2), "prompt_chars_p99": F.least(F.col("_n") - 1, F.floor(F.lit(0.99) * F.col("_n")))}),
+        F.max("v").alias("prompt_chars_max"),
+    )
+    sizes = rows.groupBy(tag).agg(F.count("*").alias("n"), F.countDistinct(database).alias("n_databases"))
+    return sizes.join(marks, tag).withColumn("est_prompt_tokens_max", F.floor(F.col("prompt_chars_max") / F.lit(CHARS_PER_TOKEN)).cast("long"))
+
+
+def diagnostic_summary(rows: DataFrame, most_tokens: int, by: str = "variant") -> DataFrame:
+    """By variant: prompt tokens' percentiles, rows over budget, and how well selected tables cover what is required.
+
+    rows: variant, prompt_tokens, n_selected_tables, all_required_tables_retained, required_table_recall,
+    fk_connectivity_checkable, fk_connectivity_retained, n_distractor_tables, distractor_table_rate. The rate of
+    retained connectivity counts checkable rows only and is null without any.
+    """
+    at = lambda p: F.least(F.col("_n") - 1, F.floor(F.lit(p) * F.col("_n")))
+    tokens = _counted(rows, by, F.col("prompt_tokens")).groupBy(by).agg(*percentile_at("v", {f"prompt_tokens_p{round(100 * p)}": at(p) for p in (0.5, 0.95, 0.99)}))
+    distracting = _counted(rows, by, F.col("n_distractor_tables")).groupBy(by).agg(*percentile_at("v", {"distractor_tables_p95": at(0.95)}))
+    mean = lambda c, digits: F.round(F.avg(F.col(c).cast("double")), digits)
+    over, checkable = (F.col("prompt_tokens") > most_tokens).cast("int"), F.col("fk_connectivity_checkable")
+    whole = rows.groupBy(by).agg(
+        F.count("*").alias("n"), F.max("prompt_tokens").alias("prompt_tokens_max"), F.sum(over).alias("n_over_budget"), F.round(F.avg(over), 4).alias("over_budget_rate"),
+        mean("n_selected_tables", 2).alias("mean_selected_tables"), mean("all_required_tables_retained", 4).alias("all_required_tables_retained_rate"),
+        mean("required_table_recall", 4).alias("mean_required_table_recall"), F.sum(checkable.cast("int")).alias("n_fk_connectivity_checkable"),
+        F.round(F.avg(F.when(checkable, F.col("fk_connectivity_retained").cast("double"))), 4).alias("fk_connectivity_retained_rate"),
+        mean("n_distractor_tables", 2).alias("mean_distractor_tables"), mean("distractor_table_rate", 4).alias("mean_distractor_rate"),
+    )
+    return whole.join(tokens, by).join(distracting, by)
+
+
+def distinct_databases(rows: DataFrame, database: str = "db_id") -> DataFrame:
+    """One row: how many databases rows have."""
+    return rows.agg(F.countDistinct(database).alias("n_databases"))

@@ -135,7 +135,8 @@ class SqlExecutor:
             self.stats["calls"] += 1
             if use_cache and sql in self._kept:
                 self.stats["cache_hits"] += 1
-                return self._kept[sql]
+                found = self._kept[sql] = self._kept.pop(sql)  # the last used stands last
+                return found
         found = self._run(sql, validate, checked)
         with self._lock:
             self.stats[found.status] += 1
@@ -205,5 +206,18 @@ class SqlExecutor:
         )
 
 
+def execute_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame], timeout_s: float = TIMEOUT_S, max_rows: int = MAX_ROWS, validate: bool = True) -> Execution:
+    """Run one query over the given frames in a session of its own that keeps nothing; what fails before it runs is an error's result."""
+    try:
+        own = spark.newSession()
+        for name, df in views.items():
+            # The frame's plan in the new session: views of the caller's session stay out of reach.
+            view = DataFrame(own._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), own)
+            view.createOrReplaceTempView(name)
+        return SqlExecutor(own, tuple(views), timeout_s, max_rows).execute(sql, validate=validate, use_cache=False)
+    except Exception as e:
+        return Execution(ERROR, error=_shown(e))
+
+
 def _shown(error: Exception) -> str:
     return f"{type(error).__name__}: {str(error).splitlines()[0][:300] if str(error) else ''}"

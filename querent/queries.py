@@ -7,6 +7,7 @@ completions.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -325,12 +326,18 @@ def suggested_budget(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_anti(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
+    from querent.sources.records import to_do
+
+    named = lambda t: table(spark, d, t).select(F.col("doc_id").alias("question_id"))
+    return to_do(named("documents"), named("labels")).select(F.col("question_id").alias("doc_id"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def only_predicted_semi(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_semi")
+    from querent.sources.records import only_predicted
+
+    named = lambda t: table(spark, d, t).select(F.col("doc_id").alias("question_id"))
+    return only_predicted(named("documents"), named("labels")).select(F.col("question_id").alias("doc_id"))
 
 
 @query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
@@ -381,9 +388,9 @@ def flatten_target(spark, d):
     return table(spark, d, "documents").select("doc_id", sqltext.format_target(F.col("text")).alias("target"))
 
 
-@query("SELECT doc_id, regexp_extract_all(replace(lower(regexp_replace(replace(text, '_', ' '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), 'ß', 'ss'), '[a-z0-9]+') AS words FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, regexp_extract_all(replace(lower(regexp_replace(replace(text, '_', ' '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), 'ß', 'ss'), '[a-z0-9]+') AS words FROM documents")
 def token_words(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", linking.name_tokens(F.col("text")).alias("words"))
+    return table(spark, d, "documents").select("doc_id", linking.name_tokens(F.col("text")).alias("words"))
 
 
 _CORPUS = (
@@ -586,33 +593,273 @@ surface("sql_values", "SELECT a, b FROM (VALUES (1, 'x'), (2, NULL)) AS t(a, b)"
 surface("sql_scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
 
 
+surface("sql_theta_join", "SELECT a.n_name AS one, b.n_name AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+surface("sql_grouping_sets", """
+SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS g, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())""")
+surface("sql_bag_operations", """
+(SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL (SELECT c_nationkey FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier)""")
+surface("sql_window_frames", """
+SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near,
+  count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW) AS quarter, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS part FROM orders""")
+surface("sql_dates", """
+SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(date_trunc('month', o_orderdate) AS DATE) AS first, date_add(CAST(o_orderdate AS DATE), 30) AS due, datediff(DATE'1999-01-01', CAST(o_orderdate AS DATE)) AS days FROM orders""", """
+SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(date_trunc('month', o_orderdate) AS DATE) AS first, CAST(o_orderdate AS DATE) + 30 AS due, CAST(DATE '1999-01-01' - CAST(o_orderdate AS DATE) AS INTEGER) AS days FROM orders""")
+surface("sql_strings_and_math", """
+SELECT p_partkey, upper(p_name) AS up, length(p_type) AS n, substr(p_brand, 1, 3) AS s, concat(p_brand, '/', p_type) AS b, trim(lower(p_name)) AS low, abs(p_size - 25) AS off, p_partkey % 7 AS r, coalesce(nullif(p_size, 1), 0) AS z FROM part""")
+surface("sql_arrays", """
+SELECT o_custkey, array_join(sort_array(collect_set(o_orderpriority)), ',') AS seen, size(collect_set(o_orderstatus)) AS kinds FROM orders GROUP BY o_custkey""", """
+SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS seen, CAST(count(DISTINCT o_orderstatus) AS INTEGER) AS kinds FROM orders GROUP BY o_custkey""")
+surface("sql_json_and_maps", """
+SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, element_at(map(event_type, user_id), event_type) AS u FROM events""", """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id AS u FROM events""")
+surface("sql_explode", "SELECT n_nationkey, w FROM nation LATERAL VIEW explode(split(n_name, '_')) x AS w", "SELECT n_nationkey, unnest(string_split(n_name, '_')) AS w FROM nation")
+
+
+@query("SELECT n_name, length(n_name) * 2 AS doubled, w FROM nation, (SELECT unnest([0, 1, 2]) AS w) WHERE w <= n_regionkey")
+def registered_functions(spark, d):
+    """An Arrow function and a table function, registered by name and called from SQL."""
+    from pyspark.sql.functions import pandas_udf, udtf
+
+    @pandas_udf("int")
+    def twice_as_long(names: pd.Series) -> pd.Series:
+        return names.str.len() * 2
+
+    @udtf(returnType="w int")
+    class UpTo:
+        def eval(self, most: int):
+            for w in range(min(most, 2) + 1):
+                yield (w,)
+
+    spark.udf.register("twice_as_long", twice_as_long)
+    spark.udtf.register("up_to", UpTo)
+    register(spark, d, ("nation",))
+    return spark.sql("SELECT n_name, twice_as_long(n_name) AS doubled, w FROM nation, LATERAL up_to(CAST(n_regionkey AS INT))")
+
+
 @query("""
-SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL
+SELECT e.event_id, s.s_suppkey FROM events e JOIN (SELECT s_suppkey, s_acctbal / 100 AS low FROM supplier) s ON e.value >= s.low AND e.value < s.low + 0.5
 """)
+def interval_join(spark, d):
+    """Events whose value lies in the half unit above a supplier's hundredth of a balance."""
+    from querent.operators.temporal import range_join
+
+    suppliers = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("low"))
+    events = table(spark, d, "events").select("event_id", "value")
+    return range_join(events, suppliers, F.col("value"), F.col("low"), F.col("low") + 0.5, 0.5).select("event_id", "s_suppkey")
+
+
+def _event_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    found = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d if "://" in d else f"{d}/")
+    return found.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(stream):
+    import uuid
+
+    from querent.streaming import rollouts as streaming
+
+    return streaming.run_to_end(stream, f"stream_{uuid.uuid4().hex}", "complete")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, d):
-    """The events table through a stream of hourly windows, run to its end in complete mode."""
+    """The events table through a stream of hourly windows, run to its end."""
     from querent.streaming import rollouts as streaming
 
-    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d if "://" in d else f"{d}/")
-    counted = events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    import uuid
+    return _run(streaming.windowed(_event_stream(spark, d))).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
-    found = streaming.run_to_end(counted, f"windows_{uuid.uuid4().hex}", "complete")
-    return found.select(F.col("window.start").alias("start"), "event_type", "n")
+
+@query("""
+SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts - INTERVAL 30 MINUTE) + INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY ALL
+""")
+def stream_sliding_windows(spark, d):
+    from querent.streaming import rollouts as streaming
+
+    return _run(streaming.windowed(_event_stream(spark, d), slide="30 minutes")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""
+WITH m AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k
+""")
+def stream_sessions(spark, d):
+    from querent.streaming import rollouts as streaming
+
+    return _run(streaming.sessions(_event_stream(spark, d))).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("""
 SELECT e.event_id, max(o.o_orderkey) AS last_order FROM events e ASOF LEFT JOIN (SELECT o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_orderdate) o ON e.ts >= o.o_orderdate GROUP BY e.event_id
 """)
 def as_of_join(spark, d):
-    """The latest order at or before each event: both sides stacked, last order carried forward over ranges of time."""
-    orders = table(spark, d, "orders").groupBy(F.col("o_orderdate").alias("t")).agg(F.max("o_orderkey").alias("o"))
-    events = table(spark, d, "events").select(F.col("ts").alias("t"), "event_id")
-    stacked = orders.select("t", "o", F.lit(None).cast("long").alias("event_id")).unionByName(events.select("t", F.lit(None).cast("long").alias("o"), "event_id"))
-    # Days are windows of their own; what a day starts from comes from a window over one row a day.
-    day = F.to_date("t")
-    ends = stacked.groupBy(day.alias("day")).agg(F.max_by("o", F.when(F.col("o").isNotNull(), F.col("t"))).alias("end"))
-    carried = ends.select("day", F.last("end", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("start"))
-    own = F.last("o", ignorenulls=True).over(Window.partitionBy("day").orderBy("t", F.col("o").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    joined = stacked.withColumn("day", day).withColumn("own", own).where("event_id is not null").join(carried, "day", "left")
-    return joined.select("event_id", F.coalesce("own", "start").alias("last_order"))
+    """The latest order at or before each event."""
+    from querent.operators.temporal import as_of_join as join
+
+    orders = table(spark, d, "orders").select(F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("last_order"))
+    return join(table(spark, d, "events").select("event_id", "ts"), orders, "ts", "last_order").select("event_id", "last_order")
+
+
+# --- building training data ------------------------------------------------------------------------
+
+
+def _examples(spark, d):
+    """Documents as examples: sources as databases, the star schema's tables in turn as gold queries."""
+    names = sorted(_SCHEMA)
+    gold = F.concat(F.lit("SELECT count(*) FROM "), F.element_at(F.array(*map(F.lit, names)), (F.pmod("doc_id", F.lit(len(names))) + 1).cast("int")))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.lit("star").alias("db_id"), F.col("text").alias("question"), F.lit("").alias("evidence"), gold.alias("gold_sql"), F.col("doc_id").alias("index"))
+
+
+_NAMES = "[" + ", ".join(f"'{t}'" for t in sorted(_SCHEMA)) + "]"
+
+
+@query(f"SELECT doc_id AS question_id, unnest({_NAMES}) AS \"table\", unnest(range({len(_SCHEMA)}))::INTEGER AS rank FROM documents")
+def schema_full(spark, d):
+    tables, columns, fks = _schema(spark)
+    return linking.select_schema(_examples(spark, d), tables, columns, fks, "full").select("question_id", "table", "rank")
+
+
+@query(f"SELECT doc_id AS question_id, {_NAMES}[doc_id % {len(_SCHEMA)} + 1] AS \"table\", 0 AS rank FROM documents")
+def schema_oracle(spark, d):
+    tables, columns, fks = _schema(spark)
+    return linking.select_schema(_examples(spark, d), tables, columns, fks, "oracle").select("question_id", "table", "rank")
+
+
+_COMPACT = {t: f"TABLE {t} {c}" for t, c in _SCHEMA.items()}
+
+
+def _blocks(spark):
+    return spark.createDataFrame([("star", t, b) for t, b in _COMPACT.items()], "db_id string, table string, block string")
+
+
+@query(f"""
+WITH b(t, block) AS (VALUES {_values(sorted(_COMPACT.items()))})
+SELECT doc_id AS question_id, length(block) AS chars, length(block) > 60 AS exceeded, [t] AS selected_tables, {len(_SCHEMA)} AS total_tables,
+  length(text) + length(block) + {len(prompts.SYSTEM_PROMPT) + len("Database schema:" + 4 * chr(10) + "Question: " + chr(10) * 2) + len(prompts.INSTRUCTIONS["v1"])} AS prompt_chars
+FROM documents JOIN b ON t = {_NAMES}[doc_id % {len(_SCHEMA)} + 1]
+""")
+def schema_joined_rows(spark, d):
+    """Training rows whose schema text comes from a join: selected, rendered within a budget, put into the prompt."""
+    tables, columns, fks = _schema(spark)
+    shown = linking.render_selected(_examples(spark, d), tables, columns, fks, _blocks(spark), "oracle", 60)
+    rows = shown.withColumn("prompt", prompts.messages(F.col("schema_text")))
+    return rows.select("question_id", "chars", "exceeded", "selected_tables", "total_tables", prompts.prompt_chars(F.col("prompt")).alias("prompt_chars"))
+
+
+@query("""
+WITH r AS (SELECT lang, source, length(text) AS c, row_number() OVER (PARTITION BY lang ORDER BY length(text)) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+SELECT lang, max(n) AS n, count(DISTINCT source) AS n_databases, max(c) FILTER (WHERE i = n // 2) AS prompt_chars_p50, max(c) FILTER (WHERE i = least(n - 1, CAST(floor(0.99::DOUBLE * n) AS BIGINT))) AS prompt_chars_p99,
+  max(c) AS prompt_chars_max, CAST(floor(max(c) / 3.6::DOUBLE) AS BIGINT) AS est_prompt_tokens_max FROM r GROUP BY lang
+""")
+def prompt_lengths_by_tag(spark, d):
+    rows = table(spark, d, "documents").select("lang", "source", F.length("text").alias("chars"))
+    return slices.prompt_length_stats(rows, "lang", "chars", "source")
+
+
+@query("""
+WITH r AS (SELECT source AS variant, n_chars AS tok, doc_id % 5 AS sel, doc_id % 3 > 0 AS kept, (doc_id % 4) / 4.0::DOUBLE AS rec, doc_id % 2 = 0 AS chk, doc_id % 6 = 0 AS con, doc_id % 9 AS dis,
+  row_number() OVER (PARTITION BY source ORDER BY n_chars) - 1 AS i, row_number() OVER (PARTITION BY source ORDER BY doc_id % 9) - 1 AS j, count(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT variant, max(n) AS n, max(tok) AS prompt_tokens_max, max(tok) FILTER (WHERE i = least(n - 1, CAST(floor(0.5 * n) AS BIGINT))) AS prompt_tokens_p50, max(tok) FILTER (WHERE i = least(n - 1, CAST(floor(0.95::DOUBLE * n) AS BIGINT))) AS prompt_tokens_p95,
+  max(tok) FILTER (WHERE i = least(n - 1, CAST(floor(0.99::DOUBLE * n) AS BIGINT))) AS prompt_tokens_p99, count(*) FILTER (WHERE tok > 2000) AS n_over_budget, round(avg((tok > 2000)::INT), 4) AS over_budget_rate, round(avg(sel), 2) AS mean_selected_tables,
+  round(avg(kept::INT), 4) AS all_required_tables_retained_rate, round(avg(rec), 4) AS mean_required_table_recall, count(*) FILTER (WHERE chk) AS n_fk_connectivity_checkable, round(avg(con::INT) FILTER (WHERE chk), 4) AS fk_connectivity_retained_rate,
+  round(avg(dis), 2) AS mean_distractor_tables, max(dis) FILTER (WHERE j = least(n - 1, CAST(floor(0.95::DOUBLE * n) AS BIGINT))) AS distractor_tables_p95, round(avg(dis / 10.0::DOUBLE), 4) AS mean_distractor_rate FROM r GROUP BY variant
+""")
+def diagnostic_summary(spark, d):
+    """Documents as diagnosed prompts of a variant each."""
+    own = table(spark, d, "documents").selectExpr(
+        "source AS variant", "n_chars AS prompt_tokens", "doc_id % 5 AS n_selected_tables", "doc_id % 3 > 0 AS all_required_tables_retained", "(doc_id % 4) / 4.0D AS required_table_recall",
+        "doc_id % 2 = 0 AS fk_connectivity_checkable", "doc_id % 6 = 0 AS fk_connectivity_retained", "doc_id % 9 AS n_distractor_tables", "(doc_id % 9) / 10.0D AS distractor_table_rate",
+    )
+    return slices.diagnostic_summary(own, 2000)
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 7")
+def first_questions(spark, d):
+    return slices.first_n(table(spark, d, "documents").select("doc_id"), 7, "doc_id")
+
+
+@query("""
+WITH f AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS n FROM labels WHERE quality = 0)
+SELECT string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY doc_id) FILTER (WHERE i <= 20) || CASE WHEN max(n) > 20 THEN ' (+' || max(n) - 20 || ' more)' ELSE '' END AS ids, max(n) AS n FROM f
+""")
+def failed_ids(spark, d):
+    return slices.shown_ids(table(spark, d, "labels").where("quality = 0"), "doc_id")
+
+
+@query("SELECT d.doc_id, d.lang, l.doc_id * 2 AS pos FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def rows_by_id_list(spark, d):
+    ids = table(spark, d, "labels").select("doc_id", (F.col("doc_id") * 2).alias("pos"))
+    return slices.by_ids(table(spark, d, "documents").select("doc_id", "lang"), ids, "doc_id").select("doc_id", "lang", "pos")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click'")
+def log_of_split(spark, d):
+    return slices.of_split(table(spark, d, "events"), "click", "event_type").select("event_id")
+
+
+@query("SELECT count(DISTINCT source) AS n_databases FROM documents")
+def distinct_databases(spark, d):
+    return slices.distinct_databases(table(spark, d, "documents"), "source")
+
+
+# --- files -----------------------------------------------------------------------------------------
+
+
+def _scratch(spark) -> str:
+    """A new folder that all executors share."""
+    import tempfile
+    import uuid
+
+    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="querent-files-")
+    return f"{found.rstrip('/')}/files-{uuid.uuid4().hex[:12]}"
+
+
+@query("SELECT item_id AS question_id, 'star' AS db_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS question, 'SELECT ' || item_id AS gold_sql FROM benchmark")
+def question_file(spark, d):
+    """The benchmark's items written as a question file and read again."""
+    from querent.sources import records
+
+    path = _scratch(spark)
+    items = table(spark, d, "benchmark").select(
+        F.col("item_id").alias("index"), F.col("item_id").alias("question_id"), F.lit("star").alias("db_id"), F.col("text").alias("question"), F.lit("").alias("evidence"),
+        F.concat(F.lit("SELECT "), F.col("item_id").cast("string")).alias("gold_sql"), F.lit("").alias("difficulty"),
+    )
+    records.write_questions(items, path)
+    return records.read_questions(spark, path).select("question_id", "db_id", "question", "gold_sql")
+
+
+@query("SELECT conv_id AS question_id, text AS completion FROM conversations WHERE turn = 0 AND text <> ''")
+def prediction_file(spark, d):
+    """First turns written as predictions, twice, and read again: the last record of an id counts."""
+    from querent.sources import records
+
+    path = _scratch(spark)
+    turns = table(spark, d, "conversations").where("turn = 0 and text <> ''").select(F.col("conv_id").alias("question_id"), F.col("text").alias("completion"))
+    records.write_records(turns.withColumn("completion", F.col("completion")), path)
+    records.write_records(turns, path, "append")
+    return records.read_predictions(spark, path)
+
+
+@query("SELECT count(*) FILTER (WHERE event_type <> 'error') AS n_usable, count(*) FILTER (WHERE event_type = 'error') AS n_errors FROM events")
+def rollout_file(spark, d):
+    """Events appended to a rollout log, errors among them, and scanned."""
+    from querent.sources import records
+
+    path = _scratch(spark)
+    events = table(spark, d, "events").select(F.col("event_id").alias("question_id"), F.col("value").alias("reward"), F.when(F.col("event_type") == "error", F.col("event_type")).alias("error"))
+    records.append_rollouts(events, path)
+    usable, errors = records.read_rollouts(spark, path)
+    return usable.agg(F.count("*").alias("n_usable")).crossJoin(errors)  # one row each
+
+
+@query("SELECT item_id AS question_id, 'train' AS split, 'SELECT 1' AS ground_truth, text AS question FROM benchmark")
+def rl_parquet(spark, d):
+    """Nested rows written as Parquet and read again."""
+    from querent.sources import records
+
+    path = _scratch(spark)
+    records.write_rl_rows(prompt_rows(spark, d), path)
+    rows = spark.read.parquet(path)
+    asked = F.regexp_extract(F.element_at("prompt.content", 2), r"(?s)\n\nQuestion: (.*)\n\n\Q" + prompts.INSTRUCTIONS["v1"] + r"\E", 1)
+    return rows.select("extra_info.question_id", "extra_info.split", "reward_model.ground_truth", asked.alias("question"))
