@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Deletes or splits on these characters only; bytes.split() without an argument splits on the same six.
 SPACE = "[\\x20\\x09-\\x0D]"
+#: The setting of how many rows a worker gets at once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 _KEPT: dict[Any, Any] = {}
@@ -24,6 +29,17 @@ def once(key: Any, build: Callable[[], Any]) -> Any:
     return _KEPT[key]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, giving the memory that it freed back to the system at its end: workers live on, and their executor's is bounded."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a system without it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,11 +53,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives a lost executor."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives a lost executor.
+
+    rows: how many rows workers get at once, where these are large.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/querent-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    if rows:
+        spark.conf.set(BATCH, str(rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     found = spark.read.schema(df.schema).parquet(path)
     found._querent_path = path
     return found

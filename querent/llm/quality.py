@@ -1,38 +1,46 @@
 """Quality classifier by co-training.
 
-Two views of a document: its text content (byte pairs and character-class triples) and its page metadata
-(language, source, length and layout). A logistic model a view is fitted on labelled rows; over several
-rounds each model labels the pool documents it is surest of for the other one, which then learns from them.
-Both are calibrated on labelled rows kept apart, and the calibrated views are combined into one score.
-
-Only fitting uses samples, of SAMPLE labelled rows and POOL unlabelled ones, taken in the order of a hash of
-the id; every document is scored. Features are made on the executors; the driver gets those of the samples.
+Two views of a document that share no evidence: its text content (byte pairs, character-class triples, kinds of
+characters and words) and its page metadata (language, source, length and layout of lines). A logistic model a
+view is fitted on labelled rows and calibrated on labelled rows kept apart. Over several rounds each view scores
+all unlabelled documents and labels the ones it is surest of for the other view, which then learns from them. In
+the end the calibrated views are combined into one score. A view that is never sure teaches nothing.
+
+Only the labelled rows are a sample, of SAMPLE rows in the order of a hash of the id; every unlabelled document
+competes in every round, and every document is scored. The surest are found task by task and merged, SHARE a
+view, class and round; features are made on the executors, and the driver gets those of the labelled sample and
+of the surest.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.common import materialize, once, text_of
+from querent.llm.common import materialize, once, text_of, tidy
 
-#: Labelled rows and unlabelled documents that fitting sees at most.
-SAMPLE, POOL = 4000, 6000
+#: Labelled rows that fitting sees at most.
+SAMPLE = 4000
 #: Rounds, documents a view labels for the other in a round and class, and how sure it must be.
-ROUNDS, SHARE, SURE = 5, 150, 0.97
+ROUNDS, SHARE, SURE = 2, 300, 0.97
+#: Parts in which the surest of a view and class are merged first.
+SALTS = 64
 #: Share of the sample kept apart for calibration.
 APART = 0.25
 #: A document is rejected below this probability of being good.
 THRESHOLD = 0.3
 
 PAIRS, KINDS = 512, 6
-N_CONTENT = PAIRS + KINDS**3 + 2
-LANGS, SOURCES = 8, 16
-N_META = 16 + LANGS + SOURCES
+N_CONTENT = PAIRS + KINDS**3 + 2 + KINDS + 5
+LAYOUT = 7
+#: Labelled rows that a language or source must have to be told apart; the others are one kind.
+LEAST = 5
+Known = tuple[dict[str, int], dict[str, int]]
 
 
 def _kinds() -> np.ndarray:
@@ -44,14 +52,8 @@ def _kinds() -> np.ndarray:
     return table
 
 
-def _bin(value: str | None, bins: int) -> int:
-    import xxhash
-
-    return 0 if value is None else 1 + xxhash.xxh32_intdigest(value.encode(), 7) % (bins - 1)
-
-
 def content_features(text: str) -> np.ndarray:
-    """The text view: roots of the shares of hashed byte pairs and of character-class triples, and their entropies."""
+    """The text view: roots of the shares of hashed byte pairs and of character-class triples, their entropies, kinds of characters and of words."""
     data = np.frombuffer(text.encode(), np.uint8)
     kinds = once("kinds", _kinds)[data].astype(np.int32)
     pairs = np.bincount((data[:-1].astype(np.int32) * 31 + data[1:]) % PAIRS, minlength=PAIRS) if len(data) > 1 else np.zeros(PAIRS)
@@ -61,35 +63,36 @@ def content_features(text: str) -> np.ndarray:
         share = counts / max(1, counts.sum())
         out.append(np.sqrt(share))
         entropy.append(-(share[share > 0] * np.log(share[share > 0])).sum())
-    return np.concatenate([*out, entropy]).astype(np.float32)
-
-
-def meta_features(text: str, lang: str | None, source: str | None) -> np.ndarray:
-    """The metadata view: length, lines, shares of characters and words by kind, repeats, language and source."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    shares = np.bincount(once("kinds", _kinds)[data], minlength=KINDS) / max(1, len(data))
-    lines, words = text.split("\n"), text.split()
+    words = text.split()
     n = max(1, len(words))
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
     ragged = sum(not w[-1].isalnum() for w in words) / n
     single = sum(len(w) == 1 for w in words) / n
-    sizes = [len(x) for x in lines]
-    dense = [
-        np.log1p(len(text)), np.log1p(len(lines)), np.log1p(max(sizes)), np.log1p(sum(sizes) / len(sizes)), *shares,
-        len(text) / n, len(set(words)) / n, repeats, ragged, single, len(set(lines)) / len(lines),
-    ]
-    out = np.zeros(N_META, np.float32)
-    out[: len(dense)] = dense
-    out[16 + _bin(lang, LANGS)] = 1
-    out[16 + LANGS + _bin(source, SOURCES)] = 1
+    return np.concatenate([*out, entropy, np.bincount(kinds, minlength=KINDS) / max(1, len(data)), [len(text) / n, len(set(words)) / n, repeats, ragged, single]]).astype(np.float32)
+
+
+def meta_features(text: str, lang: str | None, source: str | None, known: Known) -> np.ndarray:
+    """The metadata view: length and layout of lines, language and source (the last place of each: others and unknown ones)."""
+    lines = text.split("\n")
+    sizes = np.array([len(x) for x in lines])
+    blank = sum(not x.strip() for x in lines) / len(lines)
+    layout = [np.log1p(len(text)), np.log1p(len(lines)), np.log1p(sizes.max()), np.log1p(sizes.mean()), np.log1p(sizes.min()), blank, sizes.std() / (1 + sizes.mean())]
+    out = np.zeros(LAYOUT + sum(len(k) + 1 for k in known), np.float32)
+    out[:LAYOUT] = layout
+    at = LAYOUT
+    for value, places in zip((lang, source), known, strict=True):
+        out[at + places.get(value, len(places))] = 1
+        at += len(places) + 1
     return out
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True)
-        both = [np.concatenate([content_features(t), meta_features(t, g, s)]).tobytes() for t, g, s in rows]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("quality"), pa.array(both, pa.binary())], ["id", "quality", "x"])
+def _vectors(rows: list[tuple], known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """Features of both views of (text, lang, source)."""
+    return np.stack([content_features(t) for t, _, _ in rows]), np.stack([meta_features(*r, known) for r in rows])
+
+
+def _rows(batch: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True))
 
 
 class Logistic:
@@ -135,57 +138,108 @@ def _calibrate(columns: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class CoTrained:
-    """Two calibrated views and their combination."""
+    """Two calibrated views, what they know of languages and sources, and their combination."""
+
+    def __init__(self, known: Known, views: list[Logistic], scales: list[np.ndarray], both: np.ndarray):
+        self.known, self.views, self.scales, self.both = known, views, scales, both
 
-    def __init__(self, views: list[Logistic], scales: list[np.ndarray], both: np.ndarray):
-        self.views, self.scales, self.both = views, scales, both
+    def logits(self, *parts: np.ndarray) -> np.ndarray:
+        """Calibrated logits, a column a view."""
+        return np.c_[tuple(v.logit(x) * s[0] + s[1] for v, x, s in zip(self.views, parts, self.scales, strict=True))]
 
     def scores(self, content: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of good: by content, by metadata, by both."""
-        logits = [v.logit(x) * s[0] + s[1] for v, x, s in zip(self.views, (content, meta), self.scales, strict=True)]
-        return _sigmoid(logits[0]), _sigmoid(logits[1]), _sigmoid(np.c_[logits[0], logits[1]] @ self.both[:2] + self.both[2])
+        logits = self.logits(content, meta)
+        return _sigmoid(logits[:, 0]), _sigmoid(logits[:, 1]), _sigmoid(logits @ self.both[:2] + self.both[2])
+
+
+class Lessons:
+    """Both views' training rows: the labelled ones, and what the other view teaches."""
+
+    def __init__(self, known: Known, parts: tuple[np.ndarray, np.ndarray], y: np.ndarray):
+        """Rows in hash order; every fourth is kept apart for calibration."""
+        self.known, apart = known, np.arange(len(y)) % round(1 / APART) == 0
+        self.apart, self.truth = [x[apart] for x in parts], y[apart]
+        self.own = [[x[~apart], y[~apart]] for x in parts]
+        self.views = [Logistic(x.shape[1]) for x in parts]
+
+    def usable(self) -> bool:
+        """Whether both classes are there, apart and to learn from."""
+        return len({*self.truth}) == 2 and len({*self.own[0][1]}) == 2
+
+    def model(self, steps: int) -> CoTrained:
+        for view, part in zip(self.views, self.own, strict=True):
+            view.fit(*part, steps=steps)
+        found = CoTrained(self.known, self.views, [np.array([1.0, 0.0])] * 2, np.zeros(3))
+        found.scales = [_calibrate(v.logit(x)[:, None], self.truth) for v, x in zip(self.views, self.apart, strict=True)]
+        found.both = _calibrate(found.logits(*self.apart), self.truth)
+        return found
+
+    def teach(self, learner: int, label: int, x: np.ndarray) -> None:
+        self.own[learner][0] = np.concatenate([self.own[learner][0], x])
+        self.own[learner][1] = np.concatenate([self.own[learner][1], np.full(len(x), float(label))])
+
+
+#: (teacher, label) by number.
+GROUPS = ((0, 1), (0, 0), (1, 1), (1, 0))
+
+
+def surest(model: CoTrained, parts: tuple[np.ndarray, np.ndarray], share: int = SHARE, sure: float = SURE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each (teacher, label) the rows it is surest of, at least sure, and how sure it is."""
+    p = _sigmoid(model.logits(*parts))
+    out = []
+    for teacher, label in GROUPS:
+        own = p[:, teacher] if label else 1 - p[:, teacher]
+        best = np.argsort(-own, kind="stable")[:share]
+        best = best[own[best] >= sure]
+        out.append((best, own[best]))
+    return out
 
 
-def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray) -> CoTrained | None:
-    """Fit on labelled features (rows in hash order) and a pool; None unless both classes are there, apart and to learn from."""
-    apart = np.arange(len(y)) % round(1 / APART) == 0
-    if len({*y[apart]}) < 2 or len({*y[~apart]}) < 2:
-        return None
-    cut = (slice(None, N_CONTENT), slice(N_CONTENT, None))
-    own = [[x[~apart][:, c], y[~apart]] for c in cut]
-    views = [Logistic(part[0].shape[1]).fit(*part, steps=200) for part in own]
-    free = np.ones((2, len(pool)), bool)  # what each view may still be taught
-    for _ in range(ROUNDS if len(pool) else 0):
-        taught = False
-        for teacher, learner in ((0, 1), (1, 0)):
-            p = _sigmoid(views[teacher].logit(pool[:, cut[teacher]]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                order = np.argsort(-sure, kind="stable")
-                chosen = [i for i in order if sure[i] >= SURE and free[learner, i]][:SHARE]
-                if chosen:
-                    free[learner, chosen] = False
-                    own[learner][0] = np.concatenate([own[learner][0], pool[chosen][:, cut[learner]]])
-                    own[learner][1] = np.concatenate([own[learner][1], np.full(len(chosen), label)])
-                    taught = True
-        if not taught:
-            break
-        for view, part in zip(views, own, strict=True):
-            view.fit(*part, steps=60)
-    scales = [_calibrate(v.logit(x[apart][:, c])[:, None], y[apart]) for v, c in zip(views, cut, strict=True)]
-    logits = np.c_[tuple(v.logit(x[apart][:, c]) * s[0] + s[1] for v, c, s in zip(views, cut, scales, strict=True))]
-    return CoTrained(views, scales, _calibrate(logits, y[apart]))
+def _candidates(model: CoTrained, taught: list[frozenset], share: int):
+    """A task's surest documents for each (teacher, label), without those that the learner has been taught."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple]] = [[] for _ in GROUPS]
+        for batch in batches:
+            rows, keys = _rows(batch), list(zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist(), strict=True))
+            for at in range(0, len(rows), 1000):
+                parts = _vectors(rows[at : at + 1000], model.known)
+                own = keys[at : at + 1000]
+                for group, (teacher, _) in enumerate(GROUPS):
+                    free = np.array([k not in taught[1 - teacher] for k in own])
+                    chosen, how = surest(model, tuple(x[free] for x in parts), share)[group]
+                    place = np.flatnonzero(free)[chosen]
+                    held[group] += [(-float(p), *own[i], parts[1 - teacher][i].tobytes()) for i, p in zip(place.tolist(), how, strict=True)]
+                    held[group] = sorted(held[group], key=_least_first)[:share]
+        rows = [(group, *row) for group, own in enumerate(held) for row in own]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["which", "unsure", "id", "mark", "x"])
+
+    return tidy(run), "which int, unsure double, id long, mark long, x binary"
+
+
+def _least_first(row: tuple) -> tuple:
+    return row[0], row[1] is not None, row[1] or 0, row[2]
+
+
+def _chosen(docs: DataFrame, model: CoTrained, taught: list[frozenset], share: int) -> list:
+    """All documents' surest for each (teacher, label): share rows each at most reach the driver."""
+    run, schema = _candidates(model, taught, share)
+    found = docs.mapInArrow(run, schema).withColumn("salt", F.pmod("mark", F.lit(SALTS)))
+    order = ("unsure", "id", "mark")
+    for keys in (("which", "salt"), ("which",)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        found = found.withColumn("place", place).where(F.col("place") <= share).drop("place")
+    return sorted(found.collect(), key=lambda r: (r.which, *_least_first((r.unsure, r.id, r.mark))))
 
 
 def _score(model: CoTrained | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True))
+            rows = _rows(batch)
             found = [np.ones(len(rows))] * 3
             if model is not None and rows:
-                parts = []
-                for at in range(0, len(rows), 1000):
-                    some = rows[at : at + 1000]
-                    parts.append(model.scores(np.stack([content_features(t) for t, _, _ in some]), np.stack([meta_features(*r) for r in some])))
+                parts = [model.scores(*_vectors(rows[at : at + 1000], model.known)) for at in range(0, len(rows), 1000)]
                 found = [np.concatenate(p) for p in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, found)], ["id", "p_content", "p_meta", "score"])
 
@@ -200,26 +254,45 @@ def _views(docs: DataFrame, key: str) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> CoTrained | None:
-    """A model from at most sample labelled documents and pool others. Null labels count as none; several labels of one document as their mean."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, share: int = SHARE) -> CoTrained | None:
+    """A model from at most sample labelled documents and all unlabelled ones; None without labels of both classes.
+
+    Null labels count as none; several labels of one document as their mean. Of rows that share a labelled id,
+    the one whose text has the smallest hash is learned from. Rows without an id are unlabelled.
+    """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("quality"))
     order = F.xxhash64("doc_id", F.lit(11))
-    chosen = materialize(marks.orderBy(order, "doc_id").limit(sample), "labelled")
-    others = docs.where("doc_id is not null").select("doc_id").join(chosen, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(pool)
-    # At most sample + pool rows of an id and a label, so this side may be broadcast.
-    wanted = materialize(chosen.unionByName(others.withColumn("quality", F.lit(None).cast("double"))), "wanted")
-    views = _views(docs.join(F.broadcast(wanted), "doc_id"), "doc_id")
-    views = views.join(F.broadcast(wanted.withColumnRenamed("doc_id", "id")), "id").dropDuplicates(["id"])
-    rows = views.mapInArrow(_features, "id long, quality double, x binary").orderBy(F.xxhash64("id", F.lit(11)), "id").collect()
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, N_CONTENT + N_META).astype(np.float64)
-    y = np.array([np.nan if r.quality is None else r.quality for r in rows])
-    known = ~np.isnan(y)
-    return co_train(x[known], y[known], x[~known])
+    # At most sample rows of an id and a label, so this side may be broadcast.
+    wanted = materialize(marks.orderBy(order, "doc_id").limit(sample).withColumnRenamed("doc_id", "id"), "labelled")
+    every = _views(docs, "doc_id").withColumn("mark", F.xxhash64("text"))
+    row = F.min(F.struct("mark", "text", "lang", "source", "quality")).alias("r")
+    rows = every.join(F.broadcast(wanted), "id").groupBy("id").agg(row).select("id", "r.*").orderBy(F.xxhash64("id", F.lit(11)), "id").collect()
+    if not rows:
+        return None
+    counts = [Counter(r[c] for r in rows if r[c] is not None) for c in ("lang", "source")]
+    known = tuple({v: i for i, v in enumerate(sorted(v for v, n in c.items() if n >= LEAST))} for c in counts)
+    lessons = Lessons(known, _vectors([(r.text, r.lang, r.source) for r in rows], known), np.array([r.quality for r in rows]))
+    if not lessons.usable():
+        return None
+    model = lessons.model(200)
+    others = every.join(F.broadcast(wanted.select("id")), "id", "left_anti").select("id", "mark", "text", "lang", "source")
+    taught: list[frozenset] = [frozenset(), frozenset()]
+    for _ in range(rounds):
+        chosen = _chosen(others, model, taught, share)
+        if not chosen:
+            break
+        for group, (teacher, label) in enumerate(GROUPS):
+            own = [r for r in chosen if r.which == group]
+            if own:
+                lessons.teach(1 - teacher, label, np.stack([np.frombuffer(r.x, np.float32) for r in own]))
+                taught[1 - teacher] |= {(r.id, r.mark) for r in own}
+        model = lessons.model(60)
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained | None, key: str = "doc_id") -> DataFrame:
     """(id, p_content, p_meta, score) of every row: probabilities of being good. Without a model all are 1."""
-    return _views(docs, key).mapInArrow(_score(model), "id long, p_content double, p_meta double, score double")
+    return _views(docs, key).mapInArrow(tidy(_score(model)), "id long, p_content double, p_meta double, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -246,7 +319,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             for found in _score(model)(iter([part])):
                 yield batch.filter(pa.array(found.column("score").to_numpy() >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
