@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm.bpe import mix
-from querent.llm.common import materialize, once, release, text_of
+from querent.llm.common import materialize, once, release, text_of, tidy
 
 #: Bits of a bitmap (16 MiB), and of one of the blocks that tasks build.
 BITS, BLOCK = 1 << 27, 1 << 16
@@ -186,7 +186,7 @@ def _emit(slices: Sequences, window: int, k: int, kept, payload, kind: str):
                     columns["payload"] = pa.array(payload(symbols, texts, at, doc, bounds, first, last), pa.binary())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return run
+    return tidy(run)
 
 
 _SEED = "g long, name long, id long, mark long, start int, windows int"
@@ -285,7 +285,7 @@ def _compared(compare: Compare):
         if rows:
             yield from done(pa.Table.from_batches(held).combine_chunks())
 
-    return run, "g long, name long, id long, mark long, start int, shift int, windows int, later boolean"
+    return tidy(run), "g long, name long, id long, mark long, start int, shift int, windows int, later boolean"
 
 
 def _split(window: int, width: int, cut: Callable[[bytes, int, int], bytes]):

@@ -26,7 +26,7 @@ LETTER, NUMBER, WHITE, OTHER = range(4)
 #: Matches of more code points than this are encoded one by one.
 SHORT = 32
 #: Distinct matches kept by a coder before it starts anew.
-KEPT = 150_000
+KEPT = 50_000
 #: Code points that are cut at once.
 CHUNK = 1 << 20
 #: Bytes of a long match's leaf.

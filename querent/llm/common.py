@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Deletes or splits on these characters only; bytes.split() without an argument splits on the same six.
 SPACE = "[\\x20\\x09-\\x0D]"
+#: Rows with texts that a worker handles at once.
+TEXTS = 1000
 #: The setting of how many rows a worker gets at once.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -29,10 +31,19 @@ def once(key: Any, build: Callable[[], Any]) -> Any:
     return _KEPT[key]
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """run, giving the memory that it freed back to the system at its end: workers live on, and their executor's is bounded."""
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 0):
+    """run over batches of at most rows (0: as they come), giving the memory that it freed back to the system at its end.
+
+    Workers live on, and their executor's memory is bounded.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = rows or max(1, batch.num_rows)
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(cut(batches))
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # a system without it
             ctypes.CDLL("libc.so.6").malloc_trim(0)

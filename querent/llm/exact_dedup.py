@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import SPACE, free_name, materialize, text_of
+from querent.llm.common import SPACE, free_name, materialize, text_of, tidy
 
 #: Bytes in a block.
 BLOCK = 4096
@@ -64,7 +64,7 @@ def name_sorted(df: DataFrame, label: str) -> DataFrame:
     marked = df.withColumn("mark", F.concat(F.substring("key", 1, 16), F.unhex(F.sha2("key", 256))))
     dealt = marked.repartitionByRange("mark", "rid", "pos").sortWithinPartitions("mark", "key", "rid", "pos")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
-    runs = materialize(dealt.mapInArrow(_number_runs, f"{schema}, task long, run long, edge binary"), label)
+    runs = materialize(dealt.mapInArrow(tidy(_number_runs), f"{schema}, task long, run long, edge binary"), label, 2000)
     edges: dict[int, list] = {}
     for x in runs.where("edge is not null").select("task", "run", "edge").distinct().collect():
         edges.setdefault(x.task, []).append((x.run, bytes(x.edge)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from querent.llm.bpe import coder
-from querent.llm.common import materialize, text_of
+from querent.llm.common import TEXTS, materialize, text_of, tidy
 
 CAPACITY = 2048
 #: The id that ends each document.
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: s
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
     base = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = materialize(rows.mapInArrow(_tokenise(tokenizer, capacity), base), "pieces")
+    pieces = materialize(rows.mapInArrow(tidy(_tokenise(tokenizer, capacity), TEXTS), base), "pieces")
     # One row a length, capacity rows at most.
     histogram = {x.length: x.n for x in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(local_search(best_fit(histogram, capacity), capacity))
@@ -220,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column: s
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("rid", "piece"))
     ranked = salted.withColumn("own", own).join(shift, ["length", "salt"]).withColumn("rank", F.col("shift") + F.col("own") - 1)
     return ranked.select("rid", "doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(
-        _place(table), base + ", sequence_id long, offset long"
+        tidy(_place(table)), base + ", sequence_id long, offset long"
     )
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querent.llm.common import materialize, once, text_of, tidy
+from querent.llm.common import TEXTS, materialize, once, text_of, tidy
 
 #: Labelled rows that fitting sees at most.
 SAMPLE = 4000
@@ -215,7 +215,7 @@ def _candidates(model: CoTrained, taught: list[frozenset], share: int):
         columns = list(zip(*rows, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["which", "unsure", "id", "mark", "x"])
 
-    return tidy(run), "which int, unsure double, id long, mark long, x binary"
+    return tidy(run, TEXTS), "which int, unsure double, id long, mark long, x binary"
 
 
 def _least_first(row: tuple) -> tuple:
@@ -292,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
 
 def score(docs: DataFrame, model: CoTrained | None, key: str = "doc_id") -> DataFrame:
     """(id, p_content, p_meta, score) of every row: probabilities of being good. Without a model all are 1."""
-    return _views(docs, key).mapInArrow(tidy(_score(model)), "id long, p_content double, p_meta double, score double")
+    return _views(docs, key).mapInArrow(tidy(_score(model), TEXTS), "id long, p_content double, p_meta double, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -319,7 +319,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             for found in _score(model)(iter([part])):
                 yield batch.filter(pa.array(found.column("score").to_numpy() >= threshold))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(tidy(run, TEXTS), docs.schema)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querent.llm.common import once
+from querent.llm.common import TEXTS, once, tidy
 
 #: The rules in listed order: kind, pattern, group whose length counts, least length, whether it is a base rule.
 #: In the assign rule the letters of the key match in either case.
@@ -208,12 +208,12 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row; null text has no spans, ids may be null or repeat."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(_report, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(_report, TEXTS), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """docs with the secrets in text masked, and n_chars set anew where a text changed. Null texts stay null."""
-    return docs.mapInArrow(_mask, docs.schema)
+    return docs.mapInArrow(tidy(_mask, TEXTS), docs.schema)
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
