@@ -78,13 +78,22 @@ def _divide(names: np.ndarray, words: np.ndarray, spot: np.ndarray, there: np.nd
 def extend(window: int, k: int):
     """anchored.Compare by extension of the anchors' matches."""
     def run(strings: list[bytes], doc, start, groups, windows, reaches):
+        # A member alone has no other to agree with; its later occurrences are as long as it is.
+        edge = np.r_[True, groups[1:] != groups[:-1], True]
+        alone = edge[1:] & edge[:-1]
+        lone, part = np.flatnonzero(alone), np.flatnonzero(~alone)
+        none = np.empty(0, np.int64)
+        whole = (lone, np.zeros(len(lone), np.int64), windows[lone])
+        if not len(part):
+            return (none, none, none), whole
         known: dict[bytes, int] = {}
-        split = [s.split() for s in strings]
+        doc, start, groups, reaches = doc[part], start[part], groups[part], reaches[part]
+        split = [strings[i].split() for i in part.tolist()]
         words = np.array([known.setdefault(w, len(known)) for s in split for w in s], np.int64)
         sizes = np.array([len(s) for s in split], np.int64)
         anchor = np.cumsum(sizes) - sizes + reaches
-        order = np.empty(len(strings), np.int64)
-        order[np.lexsort((start + reaches, doc))] = np.arange(len(strings))
+        order = np.empty(len(part), np.int64)
+        order[np.lexsort((start + reaches, doc))] = np.arange(len(part))
         names = np.unique(groups, return_inverse=True)[1].astype(np.int64)
         for i in range(k):
             names = _divide(names, words, anchor + i, np.ones(len(names), bool))
@@ -101,7 +110,8 @@ def extend(window: int, k: int):
             own, match = own[rank], match[rank]
             every.append(np.stack([own, reaches[own] - step]))
             later.append(every[-1][:, np.flatnonzero(match[1:] == match[:-1]) + 1])
-        return anchored.stretches(*np.concatenate(later, axis=1)), anchored.stretches(*np.concatenate(every, axis=1))
+        found, there = (anchored.stretches(*np.concatenate(x, axis=1)) for x in (later, every))
+        return (part[found[0]], *found[1:]), tuple(np.concatenate(x) for x in zip((part[there[0]], *there[1:]), whole, strict=True))
 
     return run
 
