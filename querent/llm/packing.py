@@ -10,6 +10,7 @@ executors rank the pieces of each length and look their places up in it. No docu
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,10 +25,10 @@ from querent.llm.common import TEXTS, materialize, text_of, tidy
 CAPACITY = 2048
 #: The id that ends each document.
 END_ID = 0
+#: Most steps of the local search for each kind of bin that it starts with, and 100 more kinds.
+STEPS = 40
 #: Parts into which the ranking of one length is dealt.
 SALTS = 512
-#: The emptiest kinds of bins that the local search tries to empty at a time, and its most steps.
-DONORS, STEPS = 12, 4000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
@@ -75,62 +76,123 @@ def _with(pattern: Pattern, out: tuple[int, ...], into: tuple[int, ...]) -> Patt
     return tuple(sorted(((a, b) for a, b in items.items() if b > 0), reverse=True))
 
 
-def _best_move(low: Pattern, high: Pattern, capacity: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-    """The gain in high's fill, what goes from low to high, and what comes back: the largest gain that fits and grows the squared fill."""
-    room, lead = capacity - _fill(high), _fill(high) - _fill(low)
-    ones, back = [a for a, _ in low], [a for a, _ in high]
-    twos = [(a, b) for i, (a, n) in enumerate(low) for b in ([a] if n > 1 else []) + ones[i + 1 :]][:400]
-    back_twos = [(a, b) for i, (a, n) in enumerate(high) for b in ([a] if n > 1 else []) + back[i + 1 :]][:400]
-    best = None
-    for out, into in (
-        *(((a,), ()) for a in ones),
-        *(((a,), (b,)) for a in ones for b in back),
-        *(((a,), b) for a in ones for b in back_twos),
-        *((a, (b,)) for a in twos for b in back),
-    ):
-        gain = sum(out) - sum(into)
-        if 0 < gain <= room and lead + gain > 0 and (best is None or gain > best[0]):
-            best = (gain, out, into)
-            if gain == room:
-                break
-    return best
-
-
-def local_search(packed: Counter[Pattern], capacity: int = CAPACITY, steps: int = STEPS) -> Counter[Pattern]:
+def least_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Bins that any packing needs: by size in all, and by items too long to share a bin with those of some length or more."""
+    length = np.array(sorted(histogram), np.int64)
+    count = np.array([histogram[x] for x in length.tolist()], np.int64)
+    need = -(-int((length * count).sum()) // capacity)
+    half = length > capacity // 2
+    for small in {0, *length[~half].tolist()}:
+        alone, paired = length > capacity - small, half & (length <= capacity - small)
+        rest = ~half & (length >= small)
+        room = int((count * (capacity - length))[paired].sum())
+        more = -(-max(0, int((length * count)[rest].sum()) - room) // capacity)
+        need = max(need, int(count[alone].sum()) + int(count[paired].sum()) + more)
+    return need
+
+
+class _Sums:
+    """Lengths of a pattern's items, and of its pairs of items."""
+
+    def __init__(self, pattern: Pattern):
+        self.fill = _fill(pattern)
+        self.ones = np.array([a for a, _ in reversed(pattern)], np.int64)
+        often = np.array([n for _, n in reversed(pattern)], np.int64)
+        i, j = np.triu_indices(len(self.ones))
+        keep = (i != j) | (often[i] > 1)
+        i, j = i[keep], j[keep]
+        twos = self.ones[i] + self.ones[j]
+        order = np.argsort(twos, kind="stable")
+        self.twos = twos[order]
+        self.pairs = np.stack([self.ones[i[order]], self.ones[j[order]]], axis=1)
+        # What can come back: nothing, one item, two items.
+        self.back = np.concatenate([[0], self.ones, self.twos])
+        self.kind = np.repeat([0, 1, 2], [1, len(self.ones), len(self.twos)])
+
+    def returned(self, at: int) -> tuple[int, ...]:
+        if at == 0:
+            return ()
+        at -= 1
+        return (int(self.ones[at]),) if at < len(self.ones) else tuple(self.pairs[at - len(self.ones)].tolist())
+
+
+def _best_move(low: _Sums, highs: list[_Sums], capacity: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+    """The move out of low that grows the squared fill most: which of highs takes part, what goes there, what comes back.
+
+    One item goes for none, one or two, or two for one. For each item or pair that may come back, the longest that
+    then fits is looked up among low's sorted sums: all moves are considered.
+    """
+    size = [len(h.back) for h in highs]
+    back, kind = np.concatenate([h.back for h in highs]), np.concatenate([h.kind for h in highs])
+    fill = np.repeat([h.fill for h in highs], size)
+    best = (0, 0, 0, False)
+    for sums, may, two in ((low.ones, np.ones(len(back), bool), False), (low.twos, kind == 1, True)):
+        if not len(sums):
+            continue
+        at = np.searchsorted(sums, back + capacity - fill, side="right") - 1
+        gain = sums[at] - back
+        growth = np.where(may & (at >= 0) & (gain > 0), 2 * gain * (fill - low.fill + gain), 0)
+        k = int(growth.argmax())
+        if growth[k] > best[0]:
+            best = (int(growth[k]), k, int(at[k]), two)
+    growth, k, at, two = best
+    if not growth:
+        return None
+    first = np.cumsum([0, *size])
+    who = int(np.searchsorted(first, k, side="right")) - 1
+    out = tuple(low.pairs[at].tolist()) if two else (int(low.ones[at]),)
+    return who, out, highs[who].returned(k - int(first[who]))
+
+
+def local_search(packed: Counter[Pattern], capacity: int = CAPACITY) -> Counter[Pattern]:
     """packed with fewer bins where moves between underfull bins can empty some.
 
-    Equally packed bins move together. Each step grows the sum of squared fills, so the search ends; it also
-    ends when no fewer bins can hold the items, or after so many steps. Items are never lost.
+    Equally packed bins move together. Each step grows the sum of squared fills, so the search ends: when no
+    packing has fewer bins, when no pair of bins has a move left, or after STEPS steps for each pattern of packed
+    and 100 more. Items are never lost.
     """
     packed = Counter(packed)
-    need = -(-sum(_fill(p) * n for p, n in packed.items()) // capacity)
-    dead: set[tuple[Pattern, Pattern]] = set()  # pairs without a move; a pattern never changes, so they stay so
-    for _ in range(steps):
-        if sum(packed.values()) <= need:
-            break
-        open_bins = sorted((p for p in packed if 0 < _fill(p) < capacity), key=lambda p: (_fill(p), p))
+    histogram: Counter[int] = Counter()
+    for pattern, bins in packed.items():
+        for length, k in pattern:
+            histogram[length] += k * bins
+    need, total = least_bins(histogram, capacity), sum(packed.values())
+    known = {p: _Sums(p) for p in packed if 0 < _fill(p) < capacity}
+    added = list(known)  # patterns in the order in which bins of theirs were added
+    seen = dict.fromkeys(known, 0)  # of added, how many the pattern has been tried with as the emptier one
+    order = sorted((known[p].fill, p) for p in known)
+    steps = STEPS * (len(packed) + 100)
+    while total > need and steps:
+        steps -= 1
         found = None
-        for low in open_bins[:DONORS]:
-            for high in reversed(open_bins):
-                if (low, high) in dead or (low == high and packed[low] < 2) or _fill(high) < _fill(low):
-                    continue
-                move = _best_move(low, high, capacity)
-                if move:
-                    found = (*move, low, high)
-                    break
-                dead.add((low, high))
-            if found:
+        for fill, low in order:
+            fresh = dict.fromkeys(added[seen[low] :])
+            peers = [p for p in fresh if p in known and known[p].fill >= fill and (p != low or packed[low] > 1)]
+            move = _best_move(known[low], [known[p] for p in peers], capacity) if peers else None
+            if move:
+                who, out, into = move
+                found = (low, peers[who], out, into)
                 break
+            seen[low] = len(added)
         if not found:
             break
-        _, out, into, low, high = found
+        low, high, out, into = found
         bins = packed[low] // 2 if low == high else min(packed[low], packed[high])
         for old, new in ((low, _with(low, out, into)), (high, _with(high, into, out))):
             packed[old] -= bins
             if not packed[old]:
                 del packed[old]
-            if new:
-                packed[new] += bins
+                del known[old], order[bisect_left(order, (_fill(old), old))]
+            if not new:
+                total -= bins
+                continue
+            packed[new] += bins
+            if _fill(new) < capacity:
+                if new not in known:
+                    known[new] = _Sums(new)
+                    seen[new] = 0
+                    insort(order, (known[new].fill, new))
+                added.append(new)
     return packed
 
 

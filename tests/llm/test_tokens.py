@@ -3,8 +3,11 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -93,6 +96,59 @@ def test_packing_keeps_all_items(seed):
     assert got == histogram and sum(better.values()) < sum(best.values())
 
 
+def packed_items(packed):
+    items = Counter()
+    for pattern, bins in packed.items():
+        for a, k in pattern:
+            items[a] += k * bins
+    return items
+
+
+def next_fit(lengths, capacity):
+    packed, own = Counter(), Counter()
+    for n in lengths:
+        if own.total() and sum(a * k for a, k in own.items()) + n > capacity:
+            packed[tuple(sorted(own.items(), reverse=True))] += 1
+            own = Counter()
+        own[n] += 1
+    packed[tuple(sorted(own.items(), reverse=True))] += 1
+    return packed
+
+
+def test_local_search_from_next_fit_reaches_the_bound_on_documents():
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no documents")
+    texts = [t or "" for t in pq.read_table(path, columns=["text"])["text"].to_pylist()]
+    bounds = bpe.Coder(packing.default_tokenizer()).encode_added(texts)[1]
+    lengths = [n for k in range(len(texts)) for own in [int(bounds[k + 1] - bounds[k]) + 1] for n in [*[2048] * ((own - 1) // 2048), (own - 1) % 2048 + 1]]
+    random.Random(1).shuffle(lengths)
+    poor = next_fit(lengths, 2048)
+    better = packing.local_search(poor, 2048)
+    assert sum(poor.values()) > 600 > sum(better.values()) == packing.least_bins(Counter(lengths), 2048)
+    assert packed_items(better) == Counter(lengths) and max(sum(a * k for a, k in p) for p in better) <= 2048
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_least_bins_and_search_on_small_histograms(seed):
+    draw = random.Random(seed)
+    lengths = [draw.randint(1, 20) for _ in range(9)]
+
+    def fewest(left, rooms):
+        if not left:
+            return len(rooms)
+        options = [fewest(left[1:], [*rooms[:i], r - left[0], *rooms[i + 1 :]]) for i, r in enumerate(rooms) if r >= left[0]]
+        return min([*options, fewest(left[1:], [*rooms, 20 - left[0]])])
+
+    best = fewest(sorted(lengths, reverse=True)[:7], [])
+    own = Counter(sorted(lengths, reverse=True)[:7])
+    poor = next_fit(list(own.elements()), 20)
+    better = packing.local_search(poor, 20)
+    assert packing.least_bins(own, 20) <= best <= sum(better.values()) <= sum(poor.values())
+    assert packed_items(better) == own and all(sum(a * k for a, k in p) <= 20 for p in better)
+    assert packing.least_bins({1025: 7}, 2048) == 7 and packing.least_bins({}, 2048) == 0
+
+
 def test_packing_query(spark):
     tokenizers = pytest.importorskip("tokenizers")
     rows = [(i, t) for i, t in enumerate(texts(8, 60, 300))] + [(90, None), (91, ""), (92, "some words here " * 3000), (93, "same"), (93, "same"), (None, "null id")]
