@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from querent.llm import bpe_codec, exact_dedup, html_extract, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, topk_search
+from querent.llm import bpe_codec, collocations, exact_dedup, html_extract, packing, periodic_runs, quality, secret_scan, simhash, substring_dedup, suffix_dedup, topk_search
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_exact_topk_search": topk_search.op8_exact_topk_search,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_phrase_collocations": collocations.op11_phrase_collocations,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 
 ORACLES = {
