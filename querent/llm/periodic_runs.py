@@ -47,10 +47,8 @@ def levels(ids: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> list[np.ndarra
     while len(live):
         if size > 1:
             half = size // 2
-            ahead = live + half
-            live = live[(live + size <= ends[live])]
-            ahead = live + half
-            live = live[names[ahead] >= 0]
+            live = live[live + size <= ends[live]]
+            live = live[names[live + half] >= 0]
             first, second = names[live], names[live + half]
         else:
             first, second = doc.astype(np.int64), names
@@ -134,9 +132,9 @@ def runs(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         start = here - _backward(names, here, here + period, bounds[owner])
         keep = end - start >= max(LEAST, TIMES * period)
         found.append(np.unique(np.stack([start[keep], end[keep], np.full(int(keep.sum()), period)]), axis=1))
-    if not found:
-        return (np.empty(0, np.int64),) * 3
-    start, end, period = np.concatenate(found, axis=1)
+    start, end, period = np.concatenate([np.empty((3, 0), np.int64), *found], axis=1)
+    if not len(start):
+        return start, end, period
     order = np.lexsort((period, end, start))
     start, end, period = start[order], end[order], period[order]
     first = np.r_[True, (start[1:] != start[:-1]) | (end[1:] != end[:-1])]
