@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from querent.llm import bpe_codec, collocations, exact_dedup, html_extract, packing, periodic_runs, quality, secret_scan, simhash, substring_dedup, suffix_dedup, topk_search
+from querent.llm import bpe_codec, collocations, exact_dedup, html_extract, language, packing, periodic_runs, quality, secret_scan, simhash, substring_dedup, suffix_dedup, topk_search
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_phrase_collocations": collocations.op11_phrase_collocations,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_language_id": language.op13_language_id,
 }
 
 ORACLES = {
