@@ -1,9 +1,10 @@
 """SQL text as column expressions: scanning, splitting, extraction from prose, read-only validation.
 
-The scanner is one regular expression whose matches, in order, tile the text: quoted spans, comments,
-semicolons and runs of code. Everything else is arrays of those matches under higher-order functions, so it
-all stays in generated JVM code; no Python runs per row. Every function takes and returns columns, null text
-counts as empty, and every text is read whole.
+The scanner is one regular expression whose matches, in order, tile the text: quoted spans, comments and runs of
+code. Everything else is arrays of those matches under higher-order functions, so it all stays in the JVM; no Python
+runs per row. Places and depths are prefix sums by doubling, and no array grows element by element, so the work is
+about linear in the text. Every function takes and returns columns, null text counts as empty, and every text is read
+whole.
 """
 
 from __future__ import annotations
@@ -13,16 +14,17 @@ from pyspark.sql import functions as F
 
 #: White space as in Unicode, and the separators that Python also strips.
 _WS = r"[\s\x1c-\x1f]"
-_TOKEN = (
+_QUOTED = (
     r"'(?:[^']++|'')*+'?"
     r'|"(?:[^"]++|"")*+"?'
     r"|`(?:[^`]++|``)*+`?"
     r"|\[[^\]]*+\]?"
     r"|--[^\n]*+\n?"
     r"|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?"
-    r"|;"
-    r"|(?:[^'\"`\[;\-/]++|-(?!-)|/(?!\*))++"
 )
+#: Spans; and spans with each semicolon of code by itself.
+_SPAN = _QUOTED + r"|(?:[^'\"`\[\-/]++|-(?!-)|/(?!\*))++"
+_TOKEN = _QUOTED + r"|;|(?:[^'\"`\[;\-/]++|-(?!-)|/(?!\*))++"
 _WORD = r"([A-Za-z_][A-Za-z_0-9$]*|[()])(?=(?U:[\s\x1c-\x1f]*)(?s:(.?)))"
 
 #: What a read-only statement starts with, words it may not hold, and those allowed as functions.
@@ -43,8 +45,23 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)\A{_WS}+|{_WS}+\z", "")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _running(values: Column, combine) -> Column:
+    """Of each place of an array what combine makes of all values up to it, by doubling: after round j a place has combined 2^j values."""
+    def twice(done: Column, j: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), j)
+        return F.transform(done, lambda x, i: F.when(i >= back, combine(x, F.get(done, i - back))).otherwise(x))
+
+    rounds = lambda v: F.sequence(F.lit(0), F.ceil(F.log2(F.size(v) + 1)).cast("int"))
+    return _let(values, lambda v: F.aggregate(rounds(v), v, twice))
+
+
 def tokens(sql: Column) -> Column:
-    """array<string>: the spans of the text in order; concatenated they are the text."""
+    """array<string>: the spans of the text and the semicolons of its code in order; concatenated they are the text."""
     return F.regexp_extract_all(_text(sql), F.lit(_TOKEN), F.lit(0))
 
 
@@ -58,21 +75,18 @@ def _kind(token: Column) -> Column:
     )
 
 
+def spans(sql: Column) -> Column:
+    """array<string>: the spans of the text in order; what lies between quoted spans and comments is one span of code."""
+    return F.regexp_extract_all(_text(sql), F.lit(_SPAN), F.lit(0))
+
+
 def scan(sql: Column) -> Column:
     """array<struct<kind, text, start, end>>: spans of code, string, ident and comment; lossless, neighbouring code joined."""
-    empty = F.expr("cast(array() as array<struct<kind:string,text:string,start:int,end:int>>)")
-
-    def step(done: Column, token: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        kind = _kind(token)
-        begin = F.coalesce(last["end"], F.lit(0))
-        stop = begin + F.length(token)
-        grown = F.struct(kind.alias("kind"), F.concat(last["text"], token).alias("text"), last["start"].alias("start"), stop.alias("end"))
-        fresh = F.struct(kind.alias("kind"), token.alias("text"), begin.alias("start"), stop.alias("end"))
-        joins = (kind == "code") & (last["kind"] == "code")
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+    def placed(found: Column) -> Column:
+        ends = _running(F.transform(found, F.length), lambda x, y: x + y)
+        return _let(ends, lambda e: F.transform(found, lambda t, i: F.struct(_kind(t).alias("kind"), t.alias("text"), (F.get(e, i) - F.length(t)).alias("start"), F.get(e, i).alias("end"))))
 
-    return F.aggregate(tokens(sql), empty, step)
+    return _let(spans(sql), placed)
 
 
 def strip_comments(sql: Column) -> Column:
@@ -90,14 +104,9 @@ def normalize_whitespace(sql: Column) -> Column:
 
 def split_statements(sql: Column) -> Column:
     """array<string>: statements between semicolons of code, stripped; blank and comment-only ones are left out."""
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("now"))
-    folded = F.aggregate(
-        tokens(sql), start,
-        lambda s, t: F.when(t == ";", F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), F.lit("").alias("now"))).otherwise(
-            F.struct(s["done"].alias("done"), F.concat(s["now"], t).alias("now"))
-        ),
-    )
-    pieces = F.transform(F.concat(folded["done"], F.array(folded["now"])), strip)
+    # Semicolons of code become SOH b and the text's own SOH becomes SOH a, so the split finds the former only.
+    marked = F.array_join(F.transform(tokens(sql), lambda t: F.when(t == ";", F.lit("\x01b")).otherwise(F.replace(t, F.lit("\x01"), F.lit("\x01a")))), "")
+    pieces = F.transform(F.split(marked, "\x01b", -1), lambda p: strip(F.replace(p, F.lit("\x01a"), F.lit("\x01"))))
     return F.filter(pieces, lambda p: strip(strip_comments(p)) != "")
 
 
@@ -108,20 +117,18 @@ def code_words(sql: Column) -> Column:
             F.regexp_extract_all(t, F.lit(_WORD), F.lit(1)).alias("word"), F.regexp_extract_all(t, F.lit(_WORD), F.lit(2)).alias("next")
         )
 
-    # A span of code ends at quotes and comments, but a semicolon is part of it; so is what follows one.
-    spans = F.filter(scan(sql), lambda s: s["kind"] == "code")
-    flat = F.flatten(F.transform(spans, lambda s: words(s["text"])))
-    start = F.struct(F.lit(0).alias("depth"), F.expr("cast(array() as array<struct<word:string,depth:int,next:string>>)").alias("out"))
-
-    def step(s: Column, w: Column) -> Column:
-        out = F.struct(F.upper(w["word"]).alias("word"), s["depth"].alias("depth"), w["next"].alias("next"))
-        return (
-            F.when(w["word"] == "(", F.struct((s["depth"] + 1).alias("depth"), s["out"].alias("out")))
-            .when(w["word"] == ")", F.struct(F.greatest(s["depth"] - 1, F.lit(0)).alias("depth"), s["out"].alias("out")))
-            .otherwise(F.struct(s["depth"].alias("depth"), F.concat(s["out"], F.array(out)).alias("out")))
-        )
+    def deep(found: Column) -> Column:
+        # The depth is the sum of steps, raised by how far it has been below zero: a closing one too many counts for nothing.
+        step = lambda w: F.when(w["word"] == "(", 1).when(w["word"] == ")", -1).otherwise(0)
+        sums = _running(F.transform(found, step), lambda x, y: x + y)
+        return _let(sums, lambda s: _let(_running(s, F.least), lambda low: F.filter(
+            F.transform(found, lambda w, i: F.struct(F.upper(w["word"]).alias("word"), (F.get(s, i) - F.least(F.get(low, i), F.lit(0))).alias("depth"), w["next"].alias("next"))),
+            lambda w: ~w["word"].isin("(", ")"),
+        )))
 
-    return F.aggregate(flat, start, step)["out"]
+    # A span of code ends at quotes and comments, but a semicolon is part of it; so is what follows one.
+    code = F.filter(spans(sql), lambda t: _kind(t) == "code")
+    return _let(F.flatten(F.transform(code, words)), deep)
 
 
 def leading_keyword(sql: Column) -> Column:
@@ -136,10 +143,9 @@ def has_from_clause(sql: Column) -> Column:
 
 def has_top_level_order_by(sql: Column) -> Column:
     """Whether ORDER is followed by a BY outside parentheses."""
-    words = code_words(sql)
     start = F.struct(F.lit("").alias("before"), F.lit(False).alias("found"))
     return F.aggregate(
-        words, start,
+        code_words(sql), start,
         lambda s, w: F.struct(w["word"].alias("before"), (s["found"] | ((s["before"] == "ORDER") & (w["word"] == "BY") & (w["depth"] == 0))).alias("found")),
     )["found"]
 
@@ -176,10 +182,12 @@ def validate_read_only(sql: Column) -> Column:
     text = strip(_text(sql))
     statements = split_statements(text)
     statement = F.coalesce(F.try_element_at(statements, F.lit(1)), F.lit(""))
-    words = code_words(statement)
-    keyword = F.coalesce(F.try_element_at(words, F.lit(1))["word"], F.lit(""))
-    bad = F.filter(words, lambda w: w["word"].isin(*FORBIDDEN_WORDS) & ~(w["word"].isin(*FUNCTION_FORMS) & (w["next"] == "(")))
-    first_bad = F.try_element_at(bad, F.lit(1))["word"]
+    # The first word and the first forbidden one, from one look at the words.
+    bad = lambda w: w["word"].isin(*FORBIDDEN_WORDS) & ~(w["word"].isin(*FUNCTION_FORMS) & (w["next"] == "("))
+    told = _let(code_words(statement), lambda words: F.struct(
+        F.coalesce(F.try_element_at(words, F.lit(1))["word"], F.lit("")).alias("keyword"), F.try_element_at(F.filter(words, bad), F.lit(1))["word"].alias("bad"),
+    ))
+    keyword, first_bad = told["keyword"], told["bad"]
     reason = (
         F.when(text == "", "empty query")
         .when(F.size(statements) == 0, "no executable statement")

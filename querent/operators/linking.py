@@ -1,11 +1,18 @@
 """Schema linking: lexical table scores, ranks, foreign-key neighbours and reachability, budgeted rendering.
 
+Questions meet the tables they share something with, not all tables of their database: words through an inverted
+index of the schema's words, phrases through an automaton of a database's phrases. Connection by foreign keys is
+asked of bit sets. Where a database is needed as a whole, its questions are dealt in parts of at most PART.
+
 Schemas are metadata frames: tables(db_id, table, ddl), columns(db_id, table, pos, name, type, notnull, pk,
 description, value_description), fks(db_id, table, from_column, to_table, to_column).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +24,8 @@ STOP_WORDS = (
     "many", "of", "on", "or", "show", "that", "the", "their", "there", "to", "what", "when", "where", "which", "who", "with", "id",
 )
 MODES = ("full", "linked", "oracle")
+#: Questions of a database that a task takes at once.
+PART = 20_000
 
 
 def fold(text: Column) -> Column:
@@ -39,22 +48,56 @@ def phrase(text: Column) -> Column:
     return F.array_join(name_tokens(text), " ")
 
 
-def table_scores(questions: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """(question_id, db_id, table, score): 12 for the table's phrase in the question, 4 a shared word, 5 and 1 for columns.
+def _by_database(asked: DataFrame, schema: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], shape: str) -> DataFrame:
+    """run(questions of a database, at most about PART; its whole schema) for all; databases with many questions are divided by question."""
+    sizes = asked.groupBy("db_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
+    dealt = asked.join(sizes, "db_id").withColumn("_part", F.pmod(F.xxhash64(F.col("question_id").cast("string")), F.col("_parts")).cast("int"))
+    copied = schema.join(sizes, "db_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    left, right = dealt.drop("_parts").groupBy("db_id", "_part"), copied.drop("_parts").groupBy("db_id", "_part")
+    return left.cogroup(right).applyInPandas(lambda q, s: run(q, s), shape)
 
-    The schema side is reduced to one row a table with its columns' phrases and words before it meets the
-    questions of its database.
-    """
-    own = columns.groupBy("db_id", "table").agg(F.collect_list(F.struct(phrase(F.col("name")).alias("phrase"), name_words(F.col("name")).alias("words"))).alias("columns"))
-    schema = tables.select("db_id", "table", phrase(F.col("table")).alias("t_phrase"), name_words(F.col("table")).alias("t_words")).join(own, ["db_id", "table"], "left")
+
+def schema_index(tables: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words, phrases): (db_id, word or phrase, table, weight): what a table scores for a question that has the word or holds the phrase."""
+    named = tables.select("db_id", "table", F.col("table").alias("name"), F.lit(4).alias("word_weight"), F.lit(12).alias("phrase_weight"))
+    named = named.unionByName(columns.join(tables.select("db_id", "table"), ["db_id", "table"], "left_semi").select("db_id", "table", "name", F.lit(1).alias("word_weight"), F.lit(5).alias("phrase_weight")))
+    words = named.select("db_id", "table", F.explode(name_words(F.col("name"))).alias("word"), "word_weight").groupBy("db_id", "word", "table").agg(F.sum("word_weight").alias("weight"))
+    phrases = named.select("db_id", "table", phrase(F.col("name")).alias("phrase"), "phrase_weight").where("phrase <> ''").groupBy("db_id", "phrase", "table").agg(F.sum("phrase_weight").alias("weight"))
+    return words, phrases
+
+
+def _held(asked: pd.DataFrame, phrases: pd.DataFrame) -> pd.DataFrame:
+    """(question_id, db_id, phrase): the phrases that each question's text holds anywhere."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for p in phrases["phrase"]:
+        automaton.add_word(p, p)
+    rows = []
+    if len(automaton):
+        automaton.make_automaton()
+        for question, db_id, text in zip(asked["question_id"], asked["db_id"], asked["q_phrase"], strict=True):
+            rows += [(question, db_id, p) for p in {p for _, p in automaton.iter(text)}]
+    return pd.DataFrame(rows, columns=["question_id", "db_id", "phrase"])
+
+
+def positive_scores(questions: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(question_id, db_id, table, score) of the tables that score above 0: 12 for the table's phrase in the question, 4 a shared word, 5 and 1 for columns."""
+    words, phrases = schema_index(tables, columns)
     text = fold(F.concat_ws(" ", F.coalesce("question", F.lit("")), F.coalesce("evidence", F.lit(""))))
     asked = questions.select("question_id", "db_id", phrase(text).alias("q_phrase"), name_words(text).alias("q_words"))
-    both = asked.join(schema, "db_id")
-    has = lambda p: (p != "") & F.contains(F.col("q_phrase"), p)
-    shared = lambda w: F.size(F.array_intersect(F.col("q_words"), w))
-    by_column = F.aggregate(F.coalesce("columns", F.expr("cast(array() as array<struct<phrase:string,words:array<string>>>)")), F.lit(0), lambda s, c: s + F.when(has(c["phrase"]), 5).otherwise(0) + shared(c["words"]))
-    score = F.when(has(F.col("t_phrase")), 12).otherwise(0) + 4 * shared(F.col("t_words")) + by_column
-    return both.select("question_id", "db_id", "table", score.cast("int").alias("score"))
+    by_word = asked.select("question_id", "db_id", F.explode("q_words").alias("word")).join(words, ["db_id", "word"]).select("question_id", "db_id", "table", "weight")
+    kind = asked.schema["question_id"].dataType.simpleString()
+    held = _by_database(asked.select("question_id", "db_id", "q_phrase"), phrases.select("db_id", "phrase").distinct(), _held, f"question_id {kind}, db_id string, phrase string")
+    by_phrase = held.join(phrases, ["db_id", "phrase"]).select("question_id", "db_id", "table", "weight")
+    return by_word.union(by_phrase).groupBy("question_id", "db_id", "table").agg(F.sum("weight").cast("int").alias("score"))
+
+
+def table_scores(questions: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(question_id, db_id, table, score) of every table of a question's database; positive_scores leaves those without a score out."""
+    every = questions.select("question_id", "db_id").join(tables.select("db_id", "table"), "db_id")
+    found = positive_scores(questions, tables, columns)
+    return every.join(found, ["question_id", "db_id", "table"], "left").select("question_id", "db_id", "table", F.coalesce("score", F.lit(0)).alias("score"))
 
 
 def ranked(scores: DataFrame) -> DataFrame:
@@ -71,17 +114,34 @@ def fk_edges(tables: DataFrame, fks: DataFrame) -> DataFrame:
 
 
 def linked_tables(questions: DataFrame, tables: DataFrame, columns: DataFrame, fks: DataFrame, min_tables: int = 3) -> DataFrame:
-    """(question_id, db_id, table, rank): tables that score, or else the first few, their neighbours, padded to min_tables."""
-    order = ranked(table_scores(questions, tables, columns))
+    """(question_id, db_id, table, rank): tables that score, or else the first few, their neighbours, padded to min_tables.
+
+    rank is a table's place from 0 among all tables of its database, by score, then folded name. Tables without a
+    score come in by name, so only the chosen ones and the first names of a database are looked at: a table's rank
+    follows from its name's place and from how many scoring tables have an earlier one.
+    """
+    name_order = Window.partitionBy("db_id").orderBy(fold(F.col("table")), "table")
+    placed = tables.select("db_id", "table", (F.row_number().over(name_order) - 1).alias("place"), F.count("*").over(Window.partitionBy("db_id")).alias("total"))
+    asked = questions.select("question_id", "db_id")
+    scoring = positive_scores(questions, tables, columns)
+    none = asked.join(scoring.select("question_id", "db_id").distinct(), ["question_id", "db_id"], "left_anti")
+    first = none.join(placed.where(F.col("place") < min_tables), "db_id").select("question_id", "db_id", "table")
+    direct = scoring.select("question_id", "db_id", "table").union(first)
+    near = direct.join(fk_edges(tables, fks), ["db_id", "table"]).select("question_id", "db_id", F.col("neighbour").alias("table"))
+    chosen = direct.union(near).distinct().withColumn("chosen", F.lit(True))
+    # Fewer than min_tables are chosen where places are left, so as many names more hold all that can fill them.
+    spare = asked.join(placed.where(F.col("place") < 2 * min_tables).select("db_id", "table"), "db_id").select("question_id", "db_id", "table").withColumn("chosen", F.lit(False))
+    keys = ["question_id", "db_id", "table"]
+    looked = chosen.union(spare).groupBy(*keys).agg(F.max("chosen").alias("chosen")).join(scoring, keys, "left").join(placed, ["db_id", "table"])
     whole = Window.partitionBy("question_id", "db_id")
-    direct = order.withColumn("any", F.max("score").over(whole) > 0).where(F.when(F.col("any"), F.col("score") > 0).otherwise(F.col("rank") < min_tables))
-    near = direct.select("question_id", "db_id", "table").join(fk_edges(tables, fks), ["db_id", "table"]).select("question_id", "db_id", F.col("neighbour").alias("table"))
-    chosen = direct.select("question_id", "db_id", "table").union(near).distinct().withColumn("chosen", F.lit(True))
-    marked = order.join(chosen, ["question_id", "db_id", "table"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
-    # Places of what isn't chosen fill up to min_tables in rank order.
-    missing = F.greatest(F.least(F.lit(min_tables), F.count("*").over(whole)) - F.sum(F.col("chosen").cast("int")).over(whole), F.lit(0))
-    spare = F.row_number().over(Window.partitionBy("question_id", "db_id", "chosen").orderBy("rank"))
-    return marked.withColumn("missing", missing).withColumn("spare", spare).where("chosen or spare <= missing").select("question_id", "db_id", "table", "rank")
+    scored = F.col("score").isNotNull().cast("int")
+    earlier = F.coalesce(F.sum(scored).over(whole.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_score = F.row_number().over(whole.orderBy(F.desc_nulls_last("score"), "place")) - 1
+    rank = F.when(F.col("score").isNotNull(), by_score).otherwise(F.sum(scored).over(whole) + F.col("place") - earlier)
+    missing = F.greatest(F.least(F.lit(min_tables), F.col("total")) - F.sum(F.col("chosen").cast("int")).over(whole), F.lit(0))
+    told = looked.withColumn("rank", rank).withColumn("missing", missing)
+    turn = F.row_number().over(Window.partitionBy("question_id", "db_id", "chosen").orderBy("rank"))
+    return told.withColumn("turn", turn).where("chosen or turn <= missing").select("question_id", "db_id", "table", F.col("rank").cast("int").alias("rank"))
 
 
 def oracle_tables(examples: DataFrame, tables: DataFrame) -> DataFrame:
@@ -92,35 +152,75 @@ def oracle_tables(examples: DataFrame, tables: DataFrame) -> DataFrame:
     return cleaned.join(tables.select("db_id", "table"), "db_id").where(F.regexp(F.col("sql"), pattern)).select("question_id", "db_id", "table")
 
 
+def _connected(asked: pd.DataFrame, schema: pd.DataFrame) -> pd.DataFrame:
+    """(question_id, connected): bit sets over a database's tables, a bit a table.
+
+    The transitive closure of all keys is made once; where a question retains only some tables, the set reached
+    grows within their mask.
+    """
+    links: dict[str, set] = {}
+    for t, u in zip(schema["t"], schema["u"], strict=True):
+        links.setdefault(t, set())
+        if u is not None:
+            links[t].add(u)
+            links.setdefault(u, set()).add(t)
+    place = {t: i for i, t in enumerate(sorted(links))}
+    near = [sum(1 << place[u] for u in links[t]) for t in sorted(links)]
+
+    def grown(start: int, within: int) -> int:
+        reached = fresh = start & within
+        while fresh:
+            step = 0
+            while fresh:
+                low = fresh & -fresh
+                step |= near[low.bit_length() - 1]
+                fresh ^= low
+            fresh = step & within & ~reached
+            reached |= fresh
+        return reached
+
+    whole, closure = (1 << len(place)) - 1, [0] * len(place)
+    for i in range(len(place)):
+        if not closure[i]:
+            own = rest = grown(1 << i, whole)
+            while rest:
+                low = rest & -rest
+                closure[low.bit_length() - 1] = own
+                rest ^= low
+    out = []
+    for question, need, retained in zip(asked["question_id"], asked["need"], asked["retained"], strict=True):
+        known = all(t in place for t in need)
+        fine = known
+        if known and len(need) > 1:
+            mask = sum(1 << place[t] for t in need)
+            if retained is None:
+                reached = closure[place[need[0]]]
+            else:
+                reached = grown(1 << place[need[0]], sum(1 << place[t] for t in set(retained) if t in place))
+            fine = mask & ~reached == 0
+        out.append((question, fine))
+    return pd.DataFrame(out, columns=["question_id", "connected"])
+
+
 def fk_connected(required: DataFrame, tables: DataFrame, fks: DataFrame, retained: DataFrame | None = None) -> DataFrame:
     """(question_id, connected): whether foreign keys join all required tables over retained ones.
 
     required and retained: question_id, db_id, table. Unknown or dropped required tables make it false, one
-    table or none true. Reachability grows from one required table a question, one join a step, until nothing
-    is added; graphs are schemas, so steps are few.
+    table or none true. A question's required and retained tables are gathered in its row.
     """
-    known = tables.select("db_id", fold(F.col("table")).alias("t")).distinct()
-    need = required.select("question_id", "db_id", fold(F.col("table")).alias("t")).distinct()
-    allowed = (retained.select("question_id", "db_id", fold(F.col("table")).alias("t")).distinct() if retained is not None else need.select("question_id", "db_id").distinct().join(known, "db_id")).join(known, ["db_id", "t"], "left_semi")
+    gather = lambda df, name: df.groupBy("question_id", "db_id").agg(F.sort_array(F.collect_set(fold(F.col("table")))).alias(name))
+    asked = gather(required, "need")
+    if retained is None:
+        asked = asked.withColumn("retained", F.lit(None).cast("array<string>"))
+    else:
+        asked = asked.join(gather(retained, "retained"), ["question_id", "db_id"], "left").withColumn("retained", F.coalesce("retained", F.array().cast("array<string>")))
+    # A row a table, so that tables without keys are known, and a row a key.
+    known = tables.select("db_id", fold(F.col("table")).alias("t"))
     edges = fk_edges(tables, fks).select("db_id", fold(F.col("table")).alias("t"), fold(F.col("neighbour")).alias("u"))
-    links = allowed.join(edges, ["db_id", "t"]).join(allowed.select("question_id", "db_id", F.col("t").alias("u")), ["question_id", "db_id", "u"], "left_semi").select("question_id", "t", "u").persist()
-    reached = need.groupBy("question_id").agg(F.min("t").alias("t")).persist()
-    size = reached.count()
-    while True:
-        grown = reached.union(reached.join(links, ["question_id", "t"]).select("question_id", F.col("u").alias("t"))).distinct().persist()
-        now = grown.count()
-        reached.unpersist()
-        reached = grown
-        if now == size:
-            break
-        size = now
-    present = allowed.select("question_id", "t", F.lit(True).alias("present"))
-    seen = reached.select("question_id", "t", F.lit(True).alias("seen"))
-    joined = need.join(known.withColumn("known", F.lit(True)), ["db_id", "t"], "left").join(present, ["question_id", "t"], "left").join(seen, ["question_id", "t"], "left")
-    yes = lambda c: F.min(F.coalesce(c, F.lit(False)))
-    return joined.groupBy("question_id").agg(
-        (yes("known") & ((F.count("*") <= 1) | (yes("present") & yes("seen")))).alias("connected")
-    )
+    schema = known.select("db_id", "t", F.lit(None).cast("string").alias("u")).union(edges)
+    kind = asked.schema["question_id"].dataType.simpleString()
+    told = _by_database(asked, schema, _connected, f"question_id {kind}, connected boolean")
+    return told.groupBy("question_id").agg(F.min("connected").alias("connected"))
 
 
 def coverage(required: DataFrame, selected: DataFrame, tables: DataFrame, fks: DataFrame) -> DataFrame:

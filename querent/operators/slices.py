@@ -1,6 +1,7 @@
 """Ordered slices of a growing log, floor-index percentiles and running reward figures.
 
-Ranks over a whole log are dealt by range and counted task by task, so no single task holds the log.
+Ranks over a whole log come from one sort in ranges of the whole key and counts a range, percentiles from histograms
+of ever narrower ranges, so no single task holds the log.
 """
 
 from __future__ import annotations
@@ -8,32 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from querent import storage
 
-def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank", parts: int = 64) -> DataFrame:
+
+def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
     """df with a rank from 0 in the order given, which must be total.
 
-    Ranks inside ranges of the leading column come from windows over one range each, the ranges' offsets from
-    a window over the few counts. Ranges are cut at approximate quantiles; a leading value that fills many
-    ranges stays in one, so lead with a column of many values.
+    A sample sort: splitters are sampled from the whole order tuple, of any types, so a leading value that fills many
+    ranges is divided by the others. The sorted rows are written once; ranges are as many as shuffle partitions are
+    worth for the input, and only a count a range goes through a window.
     """
-    lead = order[0] if isinstance(order[0], Column) else F.col(order[0])
-    keyed = df.withColumn("_lead", lead.cast("double"))
-    cuts = keyed.stat.approxQuantile("_lead", [i / parts for i in range(1, parts)], 1 / (4 * parts))
-    bounds = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("_lead"))) if bounds else F.lit(0)
-    dealt = keyed.withColumn("_part", part)
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    keys = [o if isinstance(o, Column) else F.col(o) for o in order]
+    ordered = storage.materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    counts = ordered.groupBy(part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))  # parts rows at most
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_own")).drop("_lead", "_part", "_own", "_offset")
+    offsets = counts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))  # a row a range
+    return ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_at")).drop("_at", "_part", "_offset")
 
 
 def in_slices(df: DataFrame, order: list[Column | str], buckets: int) -> DataFrame:
     """df with slice from 1: equal slices of max(1, n // buckets) rows; rows beyond the last whole bucket are left out."""
-    n = df.count()
-    size = max(1, n // buckets)
     ranked = global_rank(df, order)
+    size = max(1, ranked.count() // buckets)
     return ranked.withColumn("slice", (F.floor(F.col("rank") / size) + 1).cast("int")).where(F.col("slice") <= buckets).drop("rank")
 
 
@@ -59,17 +57,49 @@ def degenerate(rollouts: DataFrame) -> DataFrame:
     return rollouts.where(F.col("no_from_clause") | ((F.col("reward") > 0) & ~F.col("correct")))
 
 
-def floor_percentiles(df: DataFrame, value: Column, points: tuple[float, ...], names: tuple[str, ...]) -> DataFrame:
-    """One row: for each point p the value at index min(n - 1, int(p n)) of the sorted values.
+#: Ranges of a histogram pass.
+BINS = 1000
+
+
+def select_at(df: DataFrame, value: Column, indices: list[int]) -> list:
+    """The values at places, from 0, of the sorted values, null ones left out; None beyond the end.
 
-    Values are counted first, then a running sum over the distinct ones finds the indices.
+    Each pass counts the ranges that the wanted places lie in by BINS bins, of which count, least and greatest value
+    reach the driver, and goes on with the bins that hold them until a bin is one value. Bins of a range's two ends
+    differ, so every pass narrows; integers and lengths take two or three.
     """
-    counts = df.select(value.alias("v")).groupBy("v").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.agg(F.sum("c").alias("total"))
-    placed = upto.crossJoin(total)  # one row
-    index = lambda p: F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total")))
-    return placed.agg(*[F.min(F.when(F.col("upto") > index(p), F.col("v"))).alias(n) for p, n in zip(points, names, strict=True)])
+    rows = df.select(value.alias("v")).where("v is not null and not isnan(v)")
+    ends = rows.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).first()
+    # Of each place: the range it lies in, and how many values are below that.
+    places = {i: (ends.low, ends.high, 0) for i in indices if 0 <= i < ends.n}
+    while open_ := sorted({(low, high) for low, high, _ in places.values() if low != high}):
+        bin_, own = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for k, (low, high) in enumerate(open_):
+            inside = F.col("v").between(F.lit(low), F.lit(high))
+            share = F.try_divide(F.col("v").cast("double") / 2 - F.lit(float(low)) / 2, F.lit(float(high)) / 2 - F.lit(float(low)) / 2)
+            place = F.when(F.col("v") == F.lit(high), BINS).when(F.col("v") == F.lit(low), -1).otherwise(F.coalesce(F.least(F.floor(share * BINS), F.lit(BINS - 1)), F.lit(0)))
+            own, bin_ = F.when(inside, k).otherwise(own), F.when(inside, place.cast("int")).otherwise(bin_)
+        counted = rows.select("v", own.alias("own"), bin_.alias("bin")).where("own is not null").groupBy("own", "bin").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        bins: dict[int, list] = {}
+        for r in counted.collect():
+            bins.setdefault(r.own, []).append(r)
+        for i, (low, high, below) in places.items():
+            if low != high:
+                for r in sorted(bins[open_.index((low, high))], key=lambda r: r.bin):
+                    if below + r.n > i:
+                        places[i] = (r.low, r.high, below)
+                        break
+                    below += r.n
+    return [places[i][0] if i in places else None for i in indices]
+
+
+def floor_percentiles(df: DataFrame, value: Column, points: tuple[float, ...], names: tuple[str, ...]) -> DataFrame:
+    """One row: for each point p the value at index min(n - 1, int(p n)) of the sorted values, which are numbers; null ones are left out."""
+    kind = df.select(value.alias("v")).where("v is not null and not isnan(v)")
+    n = kind.count()
+    found = select_at(df, value, [min(n - 1, int(p * n)) for p in points])
+    shape = ", ".join(f"{name} {kind.schema['v'].dataType.simpleString()}" for name in names)
+    return df.sparkSession.createDataFrame([tuple(found)], shape)
 
 
 #: Characters a token is taken to have when lengths are turned into tokens.

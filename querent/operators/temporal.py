@@ -15,12 +15,13 @@ def as_of_join(left: DataFrame, right: DataFrame, on: str, carried: str, keys: t
 
     Both sides are stacked and dealt by keys and buckets of width (seconds for times); inside a bucket the last
     value is carried forward. What a bucket starts from comes from a window over one row a bucket, so no task
-    holds all rows of a key. Of right's rows at one point the greatest carried counts.
+    holds all rows of a key. Of right's rows at one point the greatest carried counts. Rows of left without a time or
+    a key stay, with null; those of right match nothing.
     """
     point = F.unix_micros(F.col(on).cast("timestamp")) / 1e6 if dict(left.dtypes)[on].startswith("timestamp") else F.col(on).cast("double")
     own = F.struct(*left.columns)
     shape = left.select(own.alias("row")).schema["row"].dataType
-    one = right.groupBy(*keys, on).agg(F.max(carried).alias(carried))
+    one = right.dropna(subset=[*keys, on]).groupBy(*keys, on).agg(F.max(carried).alias(carried))
     stacked = left.select(*keys, point.alias("_t"), own.alias("_row"), F.lit(None).cast(dict(right.dtypes)[carried]).alias("_v")).unionByName(
         one.select(*keys, point.alias("_t"), F.lit(None).cast(shape).alias("_row"), F.col(carried).alias("_v"))
     )
@@ -30,7 +31,7 @@ def as_of_join(left: DataFrame, right: DataFrame, on: str, carried: str, keys: t
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select(*keys, "_b", F.last("_end", ignorenulls=True).over(before).alias("_start"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_t", F.col("_v").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = dealt.withColumn("_own", F.last("_v", ignorenulls=True).over(inside)).where("_row is not null").join(starts, [*keys, "_b"])
+    found = dealt.withColumn("_own", F.last("_v", ignorenulls=True).over(inside)).where("_row is not null").join(starts, [*keys, "_b"], "left")
     return found.select("_row.*", F.coalesce("_own", "_start").alias(carried))
 
 

@@ -1,10 +1,16 @@
-"""Guarded execution of untrusted read-only SQL: text check, plan allow-list, row cap, deadline, one run a distinct query."""
+"""Guarded execution of untrusted read-only SQL: text check, plan allow-list, row cap, deadline, one run a distinct query.
+
+A query's rows are written by the executors, keyed, as Parquet under a digest of the query and of what its views hold;
+the driver keeps one status a query.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import threading
 import time
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -13,6 +19,7 @@ from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querent import storage
 from querent.functions.canonical import with_keys
 from querent.functions.sqltext import validate_read_only
 
@@ -37,21 +44,82 @@ def _seq(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
+#: Rows of a stored result.
+STORED = "exec_id string, row_idx int, canon array<string>, exact array<string>"
+
+
+class ResultStore:
+    """Results as Parquet, a folder each, under one folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, folder or storage.scratch(spark, "results")
+
+    def write(self, digest: str, name: str, df: DataFrame, most: int) -> int:
+        """Store the first most + 1 rows of df, keyed and numbered in their order; how many these are."""
+        keyed = with_keys(df.limit(most + 1)).coalesce(1)  # a result is capped
+        rows = keyed.select(F.lit(name).alias("exec_id"), F.monotonically_increasing_id().cast("int").alias("row_idx"), "canon", "exact")
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{digest}")
+        return self.rows([digest]).count()
+
+    def rows(self, digests: Iterable[str]) -> DataFrame:
+        """STORED rows of results."""
+        paths = [f"{self.folder}/{d}" for d in dict.fromkeys(digests)]
+        return self.spark.read.schema(STORED).parquet(*paths) if paths else self.spark.createDataFrame([], STORED)
+
+    def drop(self, digest: str) -> None:
+        storage.delete(self.spark, f"{self.folder}/{digest}")
+
+
 @dataclass(frozen=True)
 class Execution:
-    """What one query gave: rows are (canonical, exact) keys in result order."""
+    """How one query ended; its rows lie in a store under digest."""
 
     status: str
-    rows: tuple = ()
+    n_rows: int = 0
     columns: tuple[str, ...] = ()
     error: str | None = None
     elapsed_s: float = 0.0
     truncated: bool = False
+    digest: str | None = None
+    store: ResultStore | None = field(default=None, repr=False, compare=False)
 
     @property
     def ok(self) -> bool:
         return self.status == OK
 
+    @property
+    def rows(self) -> tuple:
+        """(canonical, exact) keys in result order, read from the store: for looking at one result."""
+        if not self.ok or self.store is None:
+            return ()
+        found = self.store.rows([self.digest]).where(F.col("row_idx") < self.n_rows).orderBy("row_idx")
+        return tuple((tuple(r.canon), tuple(r.exact)) for r in found.collect())
+
+
+def fingerprint(spark: SparkSession, relations: Iterable[str]) -> str:
+    """A digest of what views hold: their plans, and the files behind them with sizes and times of change."""
+    parts = []
+    for name in sorted(relations):
+        try:
+            frame = spark.table(name)
+        except Exception:  # a view that isn't there is told by the query that names it
+            parts.append((name, None))
+            continue
+        own = frame._jdf.queryExecution().optimizedPlan()
+        files = []
+        for leaf in _seq(own.collectLeaves()):
+            if hasattr(leaf, "relation") and leaf.getClass().getSimpleName() == "LogicalRelation":
+                relation = leaf.relation()
+                if relation.getClass().getSimpleName() == "HadoopFsRelation":
+                    index = relation.location()
+                    if index.getClass().getSimpleName() == "InMemoryFileIndex":
+                        files.append(index.allFiles().hashCode())  # of their paths
+                    for root in _seq(index.rootPaths()):
+                        status = root.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(root)
+                        files.append((root.toString(), status.getLen(), status.getModificationTime()))
+        parts.append((name, frame.schema.json(), frame.semanticHash(), str(own.stats().sizeInBytes()), files))
+    return hashlib.sha256(repr(parts).encode()).hexdigest()
+
 
 def refusal(spark: SparkSession, sql: str, relations: Iterable[str]) -> str | None:
     """Why a plan isn't allowed, or None; independent of any look at the text.
@@ -106,10 +174,11 @@ def refusal(spark: SparkSession, sql: str, relations: Iterable[str]) -> str | No
 
 @dataclass
 class SqlExecutor:
-    """Runs queries over the named temporary views of one session; equal queries run once unless they timed out.
+    """Runs queries over the named temporary views of one session; equal queries over equal views run once unless they timed out.
 
-    A deadline cancels the query's jobs; a task ends when it next looks at its interruption, so one deep in a
-    nested loop can hold its core a while longer.
+    Results stay in the store, the KEPT last used ones; older ones are deleted before the next queries run, so frames
+    that were given out stay readable until then. A deadline cancels the query's jobs; a task ends when it next looks
+    at its interruption, so one deep in a nested loop can hold its core a while longer.
     """
 
     spark: SparkSession
@@ -117,9 +186,11 @@ class SqlExecutor:
     timeout_s: float = TIMEOUT_S
     max_rows: int = MAX_ROWS
     stats: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("calls", "cache_hits", OK, REJECTED, ERROR, TIMEOUT), 0))
+    store: ResultStore | None = None
 
     def __post_init__(self):
-        self._kept: dict[str, Execution] = {}
+        self.store = self.store or ResultStore(self.spark)
+        self._kept: OrderedDict[str, tuple[str, Execution]] = OrderedDict()
         self._lock = threading.Lock()
 
     def validate(self, queries: list[str]) -> dict[str, tuple[bool, str, str | None]]:
@@ -129,35 +200,48 @@ class SqlExecutor:
         frame = self.spark.createDataFrame([(q,) for q in queries], "sql string")
         return {r.sql: tuple(r.v) for r in frame.select("sql", validate_read_only(F.col("sql")).alias("v")).collect()}
 
-    def execute(self, sql: str, validate: bool = True, use_cache: bool = True, checked: tuple | None = None) -> Execution:
-        """Run one query, or give what it gave before; checked is what validate() said of it, if known."""
+    def execute(self, sql: str, validate: bool = True, use_cache: bool = True, checked: tuple | None = None, views: str | None = None) -> Execution:
+        """Run one query, or give what it gave before; checked is what validate() said of it and views the fingerprint of the relations, if known."""
+        if views is None:
+            self._forget()
+        digest = hashlib.sha256("\0".join((sql, views or fingerprint(self.spark, self.relations), str(self.max_rows))).encode()).hexdigest()[:32]
         with self._lock:
             self.stats["calls"] += 1
-            if use_cache and sql in self._kept:
+            if use_cache and digest in self._kept:
                 self.stats["cache_hits"] += 1
-                found = self._kept[sql] = self._kept.pop(sql)  # the last used stands last
-                return found
-        found = self._run(sql, validate, checked)
+                self._kept.move_to_end(digest)
+                return self._kept[digest][1]
+        found = self._run(sql, digest if use_cache else uuid.uuid4().hex, validate, checked)
         with self._lock:
             self.stats[found.status] += 1
             if use_cache and found.status != TIMEOUT:
-                if len(self._kept) >= KEPT:
-                    self._kept.pop(next(iter(self._kept)))
-                self._kept[sql] = found
+                self._kept[digest] = sql, found
         return found
 
-    def clear_cache(self) -> None:
+    def kept(self) -> list[str]:
+        """The queries whose results are kept, the last used at the end."""
+        return [sql for sql, _ in self._kept.values()]
+
+    def _forget(self, most: int | None = None) -> None:
+        """Delete the least recently used results beyond most."""
         with self._lock:
-            self._kept.clear()
+            while len(self._kept) > (KEPT if most is None else most):
+                _, (_, old) = self._kept.popitem(last=False)
+                if old.ok:
+                    self.store.drop(old.digest)
+
+    def clear_cache(self) -> None:
+        self._forget(0)
 
     def execute_many(self, queries: Iterable[str], workers: int = 4) -> dict[str, Execution]:
         """Each distinct query once, several at a time on the session's scheduler."""
         distinct = list(dict.fromkeys(q for q in queries if q))
-        checked = self.validate(distinct)
+        self._forget()
+        checked, views = self.validate(distinct), fingerprint(self.spark, self.relations)
         with ThreadPoolExecutor(workers) as pool:
-            return dict(zip(distinct, pool.map(lambda q: self.execute(q, checked=checked[q]), distinct), strict=True))
+            return dict(zip(distinct, pool.map(lambda q: self.execute(q, checked=checked[q], views=views), distinct), strict=True))
 
-    def _run(self, sql: str, validate: bool, checked: tuple | None) -> Execution:
+    def _run(self, sql: str, digest: str, validate: bool, checked: tuple | None) -> Execution:
         began = time.monotonic()
         statement = sql
         if validate:
@@ -177,7 +261,7 @@ class SqlExecutor:
             try:
                 df = self.spark.sql(statement)
                 out["columns"] = tuple(df.columns)
-                out["rows"] = [(tuple(r.canon), tuple(r.exact)) for r in with_keys(df.limit(self.max_rows + 1)).collect()]
+                out["n"] = self.store.write(digest, sql, df, self.max_rows)
             except Exception as e:
                 out["error"] = _shown(e)
 
@@ -193,27 +277,26 @@ class SqlExecutor:
             return Execution(TIMEOUT, error=f"stopped after {self.timeout_s:g} s", elapsed_s=elapsed)
         if "error" in out:
             return Execution(ERROR, error=out["error"], elapsed_s=elapsed, columns=out.get("columns", ()))
-        rows = out["rows"]
-        return Execution(OK, tuple(rows[: self.max_rows]), out["columns"], None, elapsed, len(rows) > self.max_rows)
+        return Execution(OK, min(out["n"], self.max_rows), out["columns"], None, elapsed, out["n"] > self.max_rows, digest, self.store)
 
     def frames(self, executions: dict[str, Execution]) -> tuple[DataFrame, DataFrame]:
-        """(results, rows) of executions as frames for verify.compare_runs; exec_id is the query text."""
-        results = [(q, e.status, len(e.rows), len(e.columns), e.truncated, e.error, float(e.elapsed_s)) for q, e in executions.items()]
-        rows = [(q, i, list(c), list(x)) for q, e in executions.items() for i, (c, x) in enumerate(e.rows)]
-        return (
-            self.spark.createDataFrame(results, "exec_id string, status string, n_rows int, n_cols int, truncated boolean, error string, elapsed_s double"),
-            self.spark.createDataFrame(rows, "exec_id string, row_idx int, canon array<string>, exact array<string>"),
-        )
+        """(results, rows) of executions as frames for verify.compare_runs; exec_id is the query text. Rows are read where they lie."""
+        results = [(q, e.status, e.n_rows, len(e.columns), e.truncated, e.error, float(e.elapsed_s)) for q, e in executions.items()]
+        rows = self.store.rows(e.digest for e in executions.values() if e.ok).where(F.col("row_idx") < self.max_rows)
+        return self.spark.createDataFrame(results, "exec_id string, status string, n_rows int, n_cols int, truncated boolean, error string, elapsed_s double"), rows
 
 
 def execute_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame], timeout_s: float = TIMEOUT_S, max_rows: int = MAX_ROWS, validate: bool = True) -> Execution:
-    """Run one query over the given frames in a session of its own that keeps nothing; what fails before it runs is an error's result."""
+    """Run one query over the given frames in a session of its own that keeps nothing but the result; what fails before it runs is an error's result.
+
+    Views are the frames' resolved plans, so filters and columns reach their sources, and the caller's own views stay
+    out of reach.
+    """
     try:
         own = spark.newSession()
+        dataset = getattr(spark._jvm.org.apache.spark.sql.classic, "Dataset")
         for name, df in views.items():
-            # The frame's plan in the new session: views of the caller's session stay out of reach.
-            view = DataFrame(own._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), own)
-            view.createOrReplaceTempView(name)
+            DataFrame(dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed()), own).createOrReplaceTempView(name)
         return SqlExecutor(own, tuple(views), timeout_s, max_rows).execute(sql, validate=validate, use_cache=False)
     except Exception as e:
         return Execution(ERROR, error=_shown(e))

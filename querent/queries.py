@@ -651,46 +651,89 @@ def interval_join(spark, d):
     return range_join(events, suppliers, F.col("value"), F.col("low"), F.col("low") + 0.5, 0.5).select("event_id", "s_suppkey")
 
 
-def _event_stream(spark, d):
-    schema = table(spark, d, "events").schema
-    found = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d if "://" in d else f"{d}/")
-    return found.withColumn("ts", F.col("ts").cast("timestamp"))
+def _two_batches(spark, d, make):
+    """The events through make's stream in two runs: rows of the later half of the time and one in 50 of the earlier half come in the second."""
+    from querent import storage
+    from querent.streaming import rollouts as streaming
 
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = events.agg(((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2).cast("long")).first()[0]
+    late = (F.unix_micros("ts") >= middle) | (F.col("event_id") % 50 == 7)
+    folder = storage.scratch(spark, "stream")
+    found = None
+    for n, own in enumerate((~late, late)):
+        events.where(own).write.mode("append").parquet(f"{folder}/in")
+        stream = make(streaming.event_stream(spark, f"{folder}/in", events.schema))
+        found = streaming.run_to_files(stream, f"{folder}/out", f"{folder}/state")
+    return found
+
+
+#: Both runs' rows, the watermarks behind them, and what is late in the second.
+_BATCHES = """
+spread AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events),
+runs AS (SELECT e.*, (2 * epoch_us(ts) >= low + high - (low + high) % 2) OR event_id % 50 = 7 AS second FROM events e, spread),
+marks AS (SELECT date_trunc('milliseconds', max(ts) FILTER (WHERE NOT second)) - INTERVAL 10 MINUTE AS before, date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS after FROM runs)
+"""
 
-def _run(stream):
-    import uuid
 
+@query(f"""
+WITH {_BATCHES}, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, value, second FROM runs)
+SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w, marks
+WHERE NOT (second AND start + INTERVAL 1 HOUR <= before) AND start + INTERVAL 1 HOUR <= after GROUP BY start, event_type
+""")
+def stream_windows(spark, d):
+    """Hourly windows of the events in append mode, in two runs; late rows are dropped, windows still open don't come."""
     from querent.streaming import rollouts as streaming
 
-    return streaming.run_to_end(stream, f"stream_{uuid.uuid4().hex}", "complete")
+    found = _two_batches(spark, d, streaming.windowed)
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
-def stream_windows(spark, d):
-    """The events table through a stream of hourly windows, run to its end."""
+@query(f"""
+WITH {_BATCHES}, w AS (SELECT event_type, second, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts - INTERVAL 30 MINUTE) + INTERVAL 30 MINUTE]) AS start FROM runs)
+SELECT start, event_type, count(*) AS n FROM w, marks WHERE NOT (second AND start + INTERVAL 1 HOUR <= before) AND start + INTERVAL 1 HOUR <= after GROUP BY start, event_type
+""")
+def stream_sliding_windows(spark, d):
     from querent.streaming import rollouts as streaming
 
-    return _run(streaming.windowed(_event_stream(spark, d))).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    found = _two_batches(spark, d, lambda events: streaming.windowed(events, slide="30 minutes"))
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("""
-SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts - INTERVAL 30 MINUTE) + INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY ALL
+@query(f"""
+WITH {_BATCHES},
+k1 AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, sum(value) AS v, count(*) FILTER (WHERE event_type = 'click') AS c FROM runs WHERE NOT second GROUP BY user_id),
+gone AS (SELECT k1.* FROM k1, marks WHERE last + INTERVAL 6 HOUR <= before),
+kept AS (SELECT k1.* FROM k1, marks WHERE last + INTERVAL 6 HOUR > before),
+k2 AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, sum(value) AS v, count(*) FILTER (WHERE event_type = 'click') AS c FROM runs, marks WHERE second AND ts > before GROUP BY user_id),
+met AS (SELECT user_id, min(first) AS first, max(last) AS last, sum(n) AS n, sum(v) AS v, sum(c) AS c FROM (SELECT * FROM kept UNION ALL SELECT * FROM k2) GROUP BY user_id)
+SELECT user_id, first, last, CAST(n AS BIGINT) AS n, round(v / n, 6) AS reward_mean, round(c / CAST(n AS DOUBLE), 6) AS correct_mean
+FROM (SELECT * FROM gone UNION ALL SELECT met.* FROM met, marks WHERE last + INTERVAL 6 HOUR <= after)
 """)
-def stream_sliding_windows(spark, d):
+def stream_reward_periods(spark, d):
+    """Running figures of each user's events as rollouts, kept as state and given out after a pause of six hours."""
     from querent.streaming import rollouts as streaming
 
-    return _run(streaming.windowed(_event_stream(spark, d), slide="30 minutes")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    def make(events):
+        own = events.select("user_id", "ts", F.col("value").alias("reward"), (F.col("event_type") == "click").alias("correct"), (F.col("event_type") == "view").alias("official"))
+        return streaming.reward_periods(own, "user_id", 6 * 3600.0)
 
+    found = _two_batches(spark, d, make)
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return found.select(F.col("key").alias("user_id"), ntz("first"), ntz("last"), "n", F.round("reward_mean", 6).alias("reward_mean"), F.round("correct_mean", 6).alias("correct_mean"))
 
-@query("""
-WITH m AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events),
+
+@query(f"""
+WITH {_BATCHES}, r AS (SELECT runs.* FROM runs, marks WHERE NOT (second AND ts + INTERVAL 30 MINUTE <= before)),
+m AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM r),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
-SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s, marks GROUP BY user_id, k, after HAVING max(ts) + INTERVAL 30 MINUTE <= after
 """)
 def stream_sessions(spark, d):
     from querent.streaming import rollouts as streaming
 
-    return _run(streaming.sessions(_event_stream(spark, d))).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+    found = _two_batches(spark, d, streaming.sessions)
+    return found.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("""
@@ -707,7 +750,7 @@ def as_of_join(spark, d):
 # --- building training data ------------------------------------------------------------------------
 
 
-def _examples(spark, d):
+def _star_examples(spark, d):
     """Documents as examples: sources as databases, the star schema's tables in turn as gold queries."""
     names = sorted(_SCHEMA)
     gold = F.concat(F.lit("SELECT count(*) FROM "), F.element_at(F.array(*map(F.lit, names)), (F.pmod("doc_id", F.lit(len(names))) + 1).cast("int")))
@@ -720,13 +763,13 @@ _NAMES = "[" + ", ".join(f"'{t}'" for t in sorted(_SCHEMA)) + "]"
 @query(f"SELECT doc_id AS question_id, unnest({_NAMES}) AS \"table\", unnest(range({len(_SCHEMA)}))::INTEGER AS rank FROM documents")
 def schema_full(spark, d):
     tables, columns, fks = _schema(spark)
-    return linking.select_schema(_examples(spark, d), tables, columns, fks, "full").select("question_id", "table", "rank")
+    return linking.select_schema(_star_examples(spark, d), tables, columns, fks, "full").select("question_id", "table", "rank")
 
 
 @query(f"SELECT doc_id AS question_id, {_NAMES}[doc_id % {len(_SCHEMA)} + 1] AS \"table\", 0 AS rank FROM documents")
 def schema_oracle(spark, d):
     tables, columns, fks = _schema(spark)
-    return linking.select_schema(_examples(spark, d), tables, columns, fks, "oracle").select("question_id", "table", "rank")
+    return linking.select_schema(_star_examples(spark, d), tables, columns, fks, "oracle").select("question_id", "table", "rank")
 
 
 _COMPACT = {t: f"TABLE {t} {c}" for t, c in _SCHEMA.items()}
@@ -745,7 +788,7 @@ FROM documents JOIN b ON t = {_NAMES}[doc_id % {len(_SCHEMA)} + 1]
 def schema_joined_rows(spark, d):
     """Training rows whose schema text comes from a join: selected, rendered within a budget, put into the prompt."""
     tables, columns, fks = _schema(spark)
-    shown = linking.render_selected(_examples(spark, d), tables, columns, fks, _blocks(spark), "oracle", 60)
+    shown = linking.render_selected(_star_examples(spark, d), tables, columns, fks, _blocks(spark), "oracle", 60)
     rows = shown.withColumn("prompt", prompts.messages(F.col("schema_text")))
     return rows.select("question_id", "chars", "exceeded", "selected_tables", "total_tables", prompts.prompt_chars(F.col("prompt")).alias("prompt_chars"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import platform
 import subprocess
 import uuid
@@ -13,7 +14,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from querent import storage
 from querent.functions.sqltext import strip
+from querent.sources import log
 
 FACTS = "question_id long, db_id string, difficulty string, status string, n_rows int, n_cols int, n_duplicate_rows int, has_top_level_order_by boolean, elapsed_s double"
 PREDICTION = "question_id long, db_id string, completion string, sql string, finish_reason string, latency_s double, error string"
@@ -31,26 +34,43 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """index, question_id, db_id, question, evidence, gold_sql, difficulty of a JSON array of questions.
 
     The first filled of the gold keys counts, texts are stripped, a missing id is the question's place. A
-    question without db_id or question raises when it is read.
+    question without db_id or question raises when it is read, and so does a file that isn't an array. The array is
+    read element by element; a folder of such files counts on from file to file, in the order of their names.
     """
-    whole = spark.read.text(path, wholetext=True)
-    parsed = whole.select(F.from_json("value", "array<map<string,string>>").alias("items"))
-    filled = F.when(F.col("items").isNull(), F.raise_error(F.lit(f"{path} is not a JSON array"))).otherwise(F.col("items"))
-    rows = parsed.select(F.posexplode(filled).alias("index", "q"))
-    text = lambda k: strip(F.coalesce(F.col("q").getItem(k), F.lit("")))
+    head = spark.read.text(path).where("value rlike '\\\\S'").limit(1).collect()
+    if not head or not head[0].value.lstrip("\ufeff \t").startswith("["):
+        raise ValueError(f"{path} is not a JSON array of questions")
+    # SQL and sql are two keys, which one schema can't hold: their case is told by a second look at the elements.
+    fields = ("question_id", "db_id", "question", "evidence", "difficulty", *GOLD_KEYS)
+
+    def look(names: list[str]) -> DataFrame:
+        schema = ", ".join(f"{n} string" for n in names)
+        rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+        return rows.select(*[F.col(n).alias(f"q_{fields.index(n)}") for n in names], F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+
+    placed = look([f for f in fields if f != "sql"]).join(look(["sql"]), ["file", "at"])
+    starts = placed.groupBy("file").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    starts = starts.select("file", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = placed.join(F.broadcast(starts), "file").withColumn("index", (F.col("at") - F.col("first") + F.col("before")).cast("int"))
+    text = lambda k: strip(F.coalesce(F.col(f"q_{fields.index(k)}"), F.lit("")))
     gold = F.coalesce(*[F.nullif(text(k), F.lit("")) for k in GOLD_KEYS], F.lit(""))
     need = lambda k: F.when(text(k) == "", F.raise_error(F.concat(F.lit(f"{k} is missing in question "), F.col("index").cast("string")))).otherwise(text(k))
     return rows.select(
-        "index", F.coalesce(F.col("q").getItem("question_id").cast("long"), F.col("index").cast("long")).alias("question_id"), need("db_id").alias("db_id"), need("question").alias("question"),
+        "index", F.coalesce(F.expr("try_cast(q_0 AS long)"), F.col("index").cast("long")).alias("question_id"), need("db_id").alias("db_id"), need("question").alias("question"),
         text("evidence").alias("evidence"), gold.alias("gold_sql"), F.nullif(text("difficulty"), F.lit("")).alias("difficulty"),
     )
 
 
 def write_questions(examples: DataFrame, path: str) -> None:
-    """Questions as one JSON array in a text file, ids stamped, in order of index; the file is one text by its format."""
+    """Questions as one JSON array in a text file, ids stamped, in order of index: an element a line, streamed through one task as the format is one file."""
     record = F.to_json(F.struct("question_id", "db_id", "question", "evidence", F.col("gold_sql").alias("SQL"), "difficulty"))
-    listed = examples.agg(F.sort_array(F.collect_list(F.struct("index", record.alias("j")))).alias("all"))
-    listed.select(F.concat(F.lit("["), F.array_join("all.j", ",\n"), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    lines = examples.select(F.lit(1).alias("_k"), F.col("index").cast("long").alias("_i"), record.alias("value"))
+    first = examples.agg(F.min("index")).first()[0]
+    lines = lines.withColumn("value", F.when(F.col("_i") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(","), F.col("value"))))
+    ends = examples.sparkSession.createDataFrame([(0, 0, "["), (2, 0, "]")], "_k int, _i long, value string")
+    ordered = lines.union(ends).repartitionByRange("_k", "_i").sortWithinPartitions("_k", "_i")
+    ordered.select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -60,16 +80,36 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return best.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records with their place (line): of an ordered log, or of plain files in the order of their names."""
+    if log.is_log(spark, path):
+        return log.read(spark, path, schema)
+    lines = spark.read.schema(schema).json(path)
+    return lines.withColumn("line", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """question_id, completion: JSON lines, completion or else sql or else empty; the last record of an id counts."""
-    lines = spark.read.schema(PREDICTION).json(path).withColumn("line", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+    """question_id, completion: JSON lines, completion or else sql or else empty; the last record of an id counts, in the order of appends."""
     text = F.coalesce(F.nullif(F.col("completion"), F.lit("")), F.nullif(F.col("sql"), F.lit("")), F.lit(""))
-    return last_wins(lines.select("question_id", text.alias("completion"), "line"), "question_id", "line").drop("line")
+    return last_wins(_lines(spark, path, PREDICTION).select("question_id", text.alias("completion"), "line"), "question_id", "line").drop("line")
+
+
+def append_predictions(predictions: DataFrame, path: str, position: str = "index", key: str | None = None) -> int | None:
+    """Append predictions to an ordered log in the order of their questions' positions, which isn't kept."""
+    kept = [c.split()[0] for c in PREDICTION.split(", ") if c.split()[0] in predictions.columns]
+    return log.append(predictions.orderBy(position).select(*kept), path, key)
 
 
 def finished(spark: SparkSession, path: str) -> DataFrame:
-    """Ids that have a record, failed ones too, so a resumed run doesn't repeat them."""
-    return spark.read.schema(PREDICTION).json(path).select("question_id").distinct()
+    """Ids that have a record, failed ones too, so a resumed run doesn't repeat them; none where there is no log."""
+    if not storage.exists(spark, path):
+        return spark.createDataFrame([], "question_id long")
+    return _lines(spark, path, PREDICTION).select("question_id").distinct()
+
+
+def resume(examples: DataFrame, path: str, position: str = "index") -> DataFrame:
+    """Examples without a record in the log of predictions, in the order of their positions."""
+    return to_do(examples, finished(examples.sparkSession, path)).orderBy(position)
 
 
 def to_do(examples: DataFrame, done: DataFrame) -> DataFrame:
@@ -87,8 +127,8 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rollouts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(usable, errors): rollout records in file order (line), and how many carry an error."""
-    lines = spark.read.schema(ROLLOUT).json(path).withColumn("line", F.monotonically_increasing_id())
+    """(usable, errors): rollout records that sort by line into the order they were appended in, and how many carry an error."""
+    lines = _lines(spark, path, ROLLOUT)
     return lines.where("error is null"), lines.where("error is not null").agg(F.count("*").alias("n_errors"))
 
 
@@ -114,60 +154,72 @@ def sha256_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def git_state(folder: str = ".", ignore: tuple[str, ...] = ()) -> tuple[str, bool]:
-    """(commit, whether there are changes outside the ignored paths); without git ("", True)."""
-    def git(*words: str) -> str:
-        return subprocess.run(["git", "-C", folder, *words], capture_output=True, text=True, check=True).stdout.strip()
-
+    """(commit, whether anything but the ignored paths has changed); without git ("", True)."""
     try:
-        top = Path(git("rev-parse", "--show-toplevel")).resolve()
-        inside = [p.relative_to(top).as_posix() for p in (Path(i).resolve() for i in ignore) if p.is_relative_to(top)]
-        return git("rev-parse", "HEAD"), bool(git("status", "--porcelain", "--", ":/", *(f":(top,exclude){p}" for p in inside)))
+        ask = lambda *words: subprocess.check_output(["git", *words], cwd=folder, text=True, stderr=subprocess.DEVNULL)
+        commit, root = ask("rev-parse", "HEAD", "--show-toplevel").split("\n")[:2]
+        changes = iter(ask("status", "--porcelain", "-z", "-uall").split("\0"))
     except (OSError, subprocess.CalledProcessError):
         return "", True
-
-
-#: A run's record: field, whether it must be given, and its value where it isn't (from the record and the log's path).
-_RUN = (
-    ("run_id", False, lambda record, path: uuid.uuid4().hex[:12]),
-    ("timestamp", False, lambda record, path: datetime.now(UTC).isoformat(timespec="seconds")),
-    *((field, True, None) for field in RUN_FIELDS),
-    ("git", False, lambda record, path: dict(zip(("git_sha", "git_dirty"), git_state(ignore=(path.removeprefix("file://"),)), strict=True))),
-    ("hardware", False, lambda record, path: platform.platform()),
-    ("config_sha256", False, lambda record, path: file_sha256(record.get("config_path"))),
+    passed = [os.path.realpath(i) for i in ignore]
+    dirty = False
+    for entry in changes:
+        if entry:
+            own = os.path.join(os.path.realpath(root), entry[3:])
+            if entry[0] in "RC":  # the name before follows by itself
+                next(changes, None)
+            dirty |= not any(own == p or own.startswith(p + os.sep) for p in passed)
+    return commit, dirty
+
+
+def hardware() -> str:
+    """Platform, cores and memory of the driver's machine, and the accelerators that QUERENT_HARDWARE, or else CUDA_VISIBLE_DEVICES, names."""
+    memory = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") >> 30 if hasattr(os, "sysconf") else 0
+    devices = os.environ.get("QUERENT_HARDWARE") or os.environ.get("CUDA_VISIBLE_DEVICES")
+    return f"{platform.platform()}, {os.cpu_count()} cores, {memory} GiB" + (f", devices {devices}" if devices else "")
+
+
+#: A run as it stands in the log. What a caller adds beside these fields goes to extra.
+RUN = (
+    "run_id string, timestamp string, stage string, split string, n_samples long, metrics map<string,double>, git_sha string, git_dirty boolean, hardware string, "
+    "config_path string, config_sha256 string, extra string"
 )
 
 
 def append_run(spark: SparkSession, record: dict, path: str) -> dict:
-    """Append a run to a log of JSON lines and give what was written: record, filled up by what the fields' table derives.
+    """Append a run to a log of JSON lines, and give what was written.
 
-    Each append is a file of its own, so writers don't meet; the log itself doesn't make the tree dirty. A record
-    without a needed field or with an unknown stage raises.
+    record holds RUN_FIELDS and may hold any other of RUN's; what it leaves out is derived: an id, the time, the git
+    state (in which the log itself doesn't count), the hardware and the configuration's digest. Each append is a
+    file of its own, so writers don't meet. Without a needed field or with an unknown stage it raises.
     """
-    lacking = sorted(field for field, needed, _ in _RUN if needed and field not in record)
-    if lacking:
-        raise ValueError("a run needs " + ", ".join(lacking))
-    if record["stage"] not in STAGES:
-        raise ValueError(f"unknown stage {record['stage']!r}, known are {', '.join(STAGES)}")
-    derived: dict = {}
-    for field, needed, make in _RUN:
-        if not needed:
-            value = make(record, path)
-            derived |= value if isinstance(value, dict) else {field: value}
-    entry = {**derived, **record}
-    line = json.dumps(entry, sort_keys=True, ensure_ascii=False)
-    spark.range(1).select(F.lit(line).alias("value")).coalesce(1).write.mode("append").text(path)
-    return entry
-
-
-def append_rollouts(records: DataFrame, path: str | None) -> None:
-    """Append rollout records, error records too, to a log of JSON lines; nothing happens without a path."""
-    if path:
-        records.write.mode("append").json(path)
+    needed = {f: record.get(f) for f in RUN_FIELDS}
+    if None in needed.values() or record["stage"] not in STAGES:
+        raise ValueError(f"a run needs {', '.join(RUN_FIELDS)} and one of the stages {', '.join(STAGES)}; it has {needed}")
+    schema = spark.createDataFrame([], RUN).schema
+    sha, dirty = git_state(ignore=(path.removeprefix("file://"),))
+    filled = {"run_id": uuid.uuid4().hex[:12], "timestamp": datetime.now(UTC).isoformat(timespec="seconds"), "git_sha": sha, "git_dirty": dirty, "hardware": hardware(), "config_sha256": file_sha256(record.get("config_path"))}
+    filled |= {k: v for k, v in record.items() if k in schema.names}
+    filled["metrics"] = {k: float(v) for k, v in record["metrics"].items() if isinstance(v, int | float)}
+    more = {k: v for k, v in record.items() if k not in schema.names} | {k: v for k, v in record["metrics"].items() if k not in filled["metrics"]}
+    filled["extra"] = json.dumps(more, ensure_ascii=False, sort_keys=True) if more else None
+    row = tuple(filled.get(n) for n in schema.names)
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(path)
+    return {**filled, **more}
+
+
+def append_rollouts(records: DataFrame, path: str | None, key: str | None = None) -> int | None:
+    """Append rollout records, error records too, to an ordered log; a key's batch once. Nothing happens without a path."""
+    return log.append(records, path, key) if path else None
 
 
 def rollout_log(stream: DataFrame, path: str, checkpoint: str):
-    """A streaming query that appends each batch of records to the log; the checkpoint keeps batches from being written twice."""
-    return stream.writeStream.foreachBatch(lambda batch, _: append_rollouts(batch, path)).option("checkpointLocation", checkpoint)
+    """A streaming query that appends each batch of records to the log exactly once.
+
+    A batch's key is the checkpoint and the batch's number, so a batch that is run again, after a crash between
+    its write and the checkpoint's commit, writes the same folder anew or finds itself committed.
+    """
+    return stream.writeStream.foreachBatch(lambda batch, n: append_rollouts(batch, path, f"{checkpoint}#{n}")).option("checkpointLocation", checkpoint)
 
 
 def write_rl_rows(rows: DataFrame, path: str) -> None:
@@ -176,8 +228,7 @@ def write_rl_rows(rows: DataFrame, path: str) -> None:
 
 
 def _one_file(spark: SparkSession, path: str) -> str | None:
-    own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own):
+    if not storage.exists(spark, path):
         return None
     return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
 
@@ -209,10 +260,15 @@ def write_manifest(spark: SparkSession, path: str, sources: dict[str, str], comm
     return manifest
 
 
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    """All runs appended so far as rows of RUN; none where there is no log."""
+    return spark.read.schema(RUN).json(path) if storage.exists(spark, path) else spark.createDataFrame([], RUN)
+
+
 def read_runs(spark: SparkSession, path: str) -> list[dict]:
-    """All runs appended so far, oldest first; none where there is no log."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return []
-    runs = [json.loads(r.value) for r in spark.read.text(path).toLocalIterator() if r.value.strip()]
-    return sorted(runs, key=lambda r: r.get("timestamp", ""))
+    """The runs of a log, oldest first, without the fields that a run has no value for."""
+    found = []
+    for row in run_log(spark, path).orderBy("timestamp").toLocalIterator():
+        own = {k: v for k, v in row.asDict().items() if v is not None}
+        found.append(own | json.loads(own.pop("extra", "{}")))
+    return found

@@ -1,9 +1,18 @@
-"""Growing logs as streams: running reward figures, new ids only, windowed events with late data."""
+"""Growing logs as streams: running reward figures with expiring state, new ids only, windowed events with late data.
+
+Streams end in file sinks: what a stream has finished is on disk, exactly once, and no table grows in the driver.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
 
 from querent.sources.records import ROLLOUT
 
@@ -22,29 +31,93 @@ def running_stats(rollouts: DataFrame) -> DataFrame:
     )
 
 
+_SUMS = ("n", "reward", "correct", "official", "hack")
+_STATE = StructType([StructField("first", TimestampType()), StructField("last", TimestampType()), StructField("n", LongType()), *[StructField(c, DoubleType()) for c in _SUMS[1:]]])
+
+
+class RewardFigures(StatefulProcessor):
+    """Sums of a key's rollouts, given out and forgotten once the watermark is idle seconds past its last rollout."""
+
+    def __init__(self, idle: float):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", _STATE)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        old = self.sums.get() if self.sums.exists() else None
+        first, last, sums = (old[0], old[1], [float(x) for x in old[2:]]) if old else (None, None, [0.0] * len(_SUMS))
+        for part in rows:
+            correct, official = part["correct"].astype(bool), part["official"].astype(bool)
+            more = (len(part), part["reward"].sum(), correct.sum(), official.sum(), ((part["reward"] > 0) & ~correct).sum())
+            sums = [a + float(b) for a, b in zip(sums, more, strict=True)]
+            low, high = part["ts"].min().to_pydatetime(), part["ts"].max().to_pydatetime()
+            first, last = (low if first is None else min(first, low)), (high if last is None else max(last, high))
+        self.sums.update((first, last, int(sums[0]), *sums[1:]))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(round(pd.Timestamp(last).timestamp() * 1000 + 1000 * self.idle)))
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first, last, n, *sums = self.sums.get()
+        self.sums.clear()
+        means = {f"{c}_mean": [s / n] for c, s in zip(_SUMS[1:], sums, strict=True)}
+        yield pd.DataFrame({"key": [key[0]], "first": [first], "last": [last], "n": [n], **means})
+
+    def close(self) -> None:
+        pass
+
+
+def reward_periods(rollouts: DataFrame, key: str, idle: float = 3600.0, delay: str = "10 minutes") -> DataFrame:
+    """key, first, last, n and means of a key's rollouts (ts, reward, correct, official) up to a pause of idle seconds: append mode.
+
+    State is a row a key and goes with its timer; rollouts before the watermark are dropped. It needs the state
+    store that keep_state sets.
+    """
+    keep_state(rollouts.sparkSession)
+    kind = rollouts.schema[key].dataType.simpleString()
+    shape = f"key {kind}, first timestamp, last timestamp, n long, " + ", ".join(f"{c}_mean double" for c in _SUMS[1:])
+    own = rollouts.select(F.col(key).alias("key"), "ts", "reward", "correct", "official").withWatermark("ts", delay)
+    return own.groupBy("key").transformWithStateInPandas(statefulProcessor=RewardFigures(idle), outputStructType=shape, outputMode="Append", timeMode="EventTime")
+
+
+def keep_state(spark: SparkSession) -> None:
+    """State stores on disk, as arbitrary state needs them."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def first_seen(records: DataFrame, key: str, time: str, delay: str = "1 day") -> DataFrame:
     """Records whose key wasn't seen before; the state forgets keys older than the watermark."""
     return records.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The events table as a stream of files."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """A folder of Parquet files of events as a stream."""
+    return spark.readStream.schema(schema or spark.read.parquet(path).schema).parquet(path)
 
 
 def windowed(events: DataFrame, length: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Counts and sums by type in tumbling or sliding event-time windows; rows later than the delay are left out."""
+    """Counts and sums by type in tumbling or sliding event-time windows; in append mode a window comes once, when the watermark has passed its end, and rows of windows that have are dropped."""
     own = F.window("ts", length, slide) if slide else F.window("ts", length)
     return events.withWatermark("ts", delay).groupBy(own, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Sessions of each user, apart by gaps."""
+    """Sessions of each user, apart by gaps; in append mode each once it can't grow any more."""
     return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All available input through the stream into a table in memory: for tests and small streams."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All input that is there through the stream, in append mode, into Parquet files under path, and these read; the checkpoint goes on where the run before ended."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def keep_latest(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All input that is there through an aggregate in complete mode; the newest result stands under path as Parquet."""
+    query = stream.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -232,5 +232,5 @@ def test_streams(spark, tmp_path):
     (tmp_path / "a.json").write_text("\n".join(json.dumps(x) for x in [row, row | {"correct": False}, {"error": "x"}]))
     usable, errors = records.read_rollouts(spark, str(tmp_path / "a.json"))
     assert usable.count() == 2 and errors.first().n_errors == 1
-    found = streaming.run_to_end(streaming.running_stats(streaming.rollout_stream(spark, str(tmp_path))), "stats_test", "complete").collect()
+    found = streaming.keep_latest(streaming.running_stats(streaming.rollout_stream(spark, str(tmp_path))), str(tmp_path / "out"), str(tmp_path / "state")).collect()
     assert [(r.split, r.n, r.strict_acc, r.hack_rate) for r in found] == [("train", 2, 0.5, 0.5)]

@@ -71,7 +71,7 @@ def test_rollouts_append_from_batches_and_streams(spark, tmp_path):
 def test_scores_never_raise(spark):
     class Broken:
         def frames(self, executions):
-            return executions
+            raise RuntimeError("no workers")
 
         def execute_many(self, queries):
             raise RuntimeError("no workers")
@@ -97,7 +97,7 @@ def test_the_least_recently_used_result_goes_first(spark, monkeypatch):
     run = guard.SqlExecutor(spark, ())
     for sql in ("SELECT 1", "SELECT 2", "SELECT 1", "SELECT 3", "SELECT 1"):
         run.execute(sql)
-    assert run.stats["calls"] == 5 and run.stats["cache_hits"] == 2 and list(run._kept) == ["SELECT 3", "SELECT 1"]
+    assert run.stats["calls"] == 5 and run.stats["cache_hits"] == 2 and run.kept() == ["SELECT 3", "SELECT 1"]
 
 
 def test_schema_selection_modes(spark):
