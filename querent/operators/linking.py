@@ -53,7 +53,9 @@ def _by_database(asked: DataFrame, schema: DataFrame, run: Callable[[pd.DataFram
     sizes = asked.groupBy("db_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
     dealt = asked.join(sizes, "db_id").withColumn("_part", F.pmod(F.xxhash64(F.col("question_id").cast("string")), F.col("_parts")).cast("int"))
     copied = schema.join(sizes, "db_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    left, right = dealt.drop("_parts").groupBy("db_id", "_part"), copied.drop("_parts").groupBy("db_id", "_part")
+    # Names anew on one side: both may come from one frame, whose columns a cogroup couldn't tell apart.
+    right = copied.select(*[F.col(c).alias(c) for c in copied.columns if c != "_parts"]).groupBy("db_id", "_part")
+    left = dealt.drop("_parts").groupBy("db_id", "_part")
     return left.cogroup(right).applyInPandas(lambda q, s: run(q, s), shape)
 
 
@@ -108,8 +110,8 @@ def ranked(scores: DataFrame) -> DataFrame:
 
 def fk_edges(tables: DataFrame, fks: DataFrame) -> DataFrame:
     """(db_id, table, neighbour): foreign keys in both directions between known tables, names matched without case."""
-    known = tables.select("db_id", F.col("table").alias("known"))
-    resolved = fks.join(known, (fks["db_id"] == known["db_id"]) & (fold(F.col("to_table")) == fold(F.col("known")))).select(fks["db_id"], "table", F.col("known").alias("neighbour"))
+    known = tables.select("db_id", F.col("table").alias("known"), fold(F.col("table")).alias("folded"))
+    resolved = fks.withColumn("folded", fold(F.col("to_table"))).join(known, ["db_id", "folded"]).select("db_id", "table", F.col("known").alias("neighbour"))
     return resolved.union(resolved.select("db_id", F.col("neighbour").alias("table"), F.col("table").alias("neighbour"))).distinct()
 
 

@@ -74,24 +74,47 @@ def exact_keys(spark, d):
     return rows.select(exact_key(F.col("l_quantity"), rows.schema["l_quantity"].dataType).alias("key")).distinct()
 
 
+_POLICIES = ("ignore", "gold_order_by", "always")
+
+
 @query("""
-WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS i FROM orders), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders)
-SELECT count(*) AS n, count(*) FILTER (WHERE a.o_orderkey <> b.o_orderkey) AS moved FROM a JOIN b USING (i)
+WITH runs AS (SELECT p_brand AS brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i,
+  row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_brand LIKE '%1' THEN p_partkey ELSE -p_partkey END) AS j FROM part),
+moved AS (SELECT brand, count(*) FILTER (WHERE i <> j) > 0 AS moved FROM runs GROUP BY brand)
+SELECT brand, policy, true AS official, NOT (moved AND (policy = 'always' OR policy = 'gold_order_by' AND brand NOT LIKE '%2')) AS strict,
+  CASE WHEN moved AND (policy = 'always' OR policy = 'gold_order_by' AND brand NOT LIKE '%2') THEN 'row_order' END AS reason, NOT moved AS order_matches
+FROM moved, (VALUES ('ignore'), ('gold_order_by'), ('always')) p(policy)
 """)
 def order_policy_check(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    a = slices.global_rank(orders.withColumn("_o", -F.col("o_totalprice")), ["_o", "o_orderkey"])
-    b = slices.global_rank(orders, ["o_orderkey"]).select(F.col("o_orderkey").alias("other"), "rank")
-    return a.join(b, "rank").agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("o_orderkey") != F.col("other")).cast("long")), F.lit(0)).alias("moved"))
+    """Each brand's parts as a gold result in order and as a predicted one, most of them the other way round, under each policy."""
+    parts = table(spark, d, "part").select("p_brand", "p_partkey")
+    place = lambda by: F.row_number().over(Window.partitionBy("p_brand").orderBy(by)).cast("int") - 1
+    keys = F.array(F.concat(F.lit("i:"), F.col("p_partkey").cast("string")))
+    run = lambda side, by: parts.select(F.concat("p_brand", F.lit(side)).alias("exec_id"), place(by).alias("row_idx"), keys.alias("canon"), keys.alias("exact"))
+    rows = run(" gold", F.col("p_partkey")).union(run(" pred", F.when(F.col("p_brand").endswith("1"), F.col("p_partkey")).otherwise(-F.col("p_partkey"))))
+    results = rows.groupBy("exec_id").agg(F.count("*").cast("int").alias("n_rows")).select("exec_id", F.lit("ok").alias("status"), "n_rows", F.lit(1).alias("n_cols"), F.lit(False).alias("truncated"))
+    gold = F.when(F.col("p_brand").endswith("2"), "SELECT p FROM part").otherwise("SELECT p FROM part ORDER BY p")
+    pairs = parts.select("p_brand").distinct().select(F.col("p_brand").alias("pair_id"), F.concat("p_brand", F.lit(" pred")).alias("pred_id"), F.concat("p_brand", F.lit(" gold")).alias("gold_id"), gold.alias("gold_sql"))
+    found = None
+    for policy in _POLICIES:
+        own = verify.compare_runs(pairs, results, rows, policy).select(F.col("pair_id").alias("brand"), F.lit(policy).alias("policy"), "official", "strict", "reason", "order_matches")
+        found = own if found is None else found.union(own)
+    return found
 
 
 @query("""
-SELECT p_brand, count(*) - count(DISTINCT (p_type, p_size)) AS n_duplicate_rows, count(*) AS n_rows FROM part GROUP BY p_brand
+SELECT p_brand AS db_id, 'ok' AS status, CAST(count(*) AS INTEGER) AS n_rows, 2 AS n_cols, count(*) - count(DISTINCT (p_type, p_size)) AS n_duplicate_rows, p_brand LIKE '%3' AS has_top_level_order_by
+FROM part GROUP BY p_brand
 """)
 def gold_facts_duplicates(spark, d):
+    """Each brand's types and sizes as a gold result."""
     part = table(spark, d, "part")
     key = F.array(canonical_key(F.col("p_type"), part.schema["p_type"].dataType), canonical_key(F.col("p_size"), part.schema["p_size"].dataType))
-    return part.select("p_brand", key.alias("canon")).groupBy("p_brand").agg((F.count("*") - F.count_distinct("canon")).alias("n_duplicate_rows"), F.count("*").alias("n_rows"))
+    gold = F.concat(F.lit("SELECT t, s FROM part WHERE b = '"), F.col("p_brand"), F.when(F.col("p_brand").endswith("3"), "' ORDER BY 1").otherwise("'"))
+    rows = part.select(gold.alias("exec_id"), key.alias("canon"))
+    results = rows.groupBy("exec_id").agg(F.count("*").cast("int").alias("n_rows")).select("exec_id", F.lit("ok").alias("status"), "n_rows", F.lit(2).alias("n_cols"), F.lit(0.0).alias("elapsed_s"))
+    examples = part.select(F.col("p_brand").alias("db_id"), gold.alias("gold_sql")).distinct().select(F.col("db_id").alias("question_id"), "db_id", F.lit("").alias("difficulty"), "gold_sql")
+    return evaluation.gold_facts(examples, results, rows).select("db_id", "status", "n_rows", "n_cols", "n_duplicate_rows", "has_top_level_order_by")
 
 
 def _facts(spark, d):
@@ -347,13 +370,21 @@ def last_wins(spark, d):
     return keep_last(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "text")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE l.doc_id IS NULL) AS n_missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("""
+SELECT count(*) AS n, count(*) FILTER (WHERE l.doc_id IS NULL) AS n_missing_predictions, count(*) FILTER (WHERE l.quality = 0) AS n_unparsed FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+""")
 def missing_count(spark, d):
-    joined = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", F.lit(True).alias("there")), "doc_id", "left")
-    return joined.agg(F.count("*").alias("n"), evaluation.count_if(F.col("there").isNull()).alias("n_missing"))
+    """Documents as examples, labels as predictions, of which the bad ones hold no query."""
+    predictions = table(spark, d, "labels").select(F.col("doc_id").alias("question_id"), F.when(F.col("quality") == 0, "I don't know.").otherwise("```sql\nSELECT 1\n```").alias("completion"))
+    joined = evaluation.with_predictions(table(spark, d, "documents").select(F.col("doc_id").alias("question_id")), predictions)
+    outcomes = joined.select("*", *[F.lit(False).alias(c) for c in ("official", "strict", "gold_empty")])
+    return evaluation.report(outcomes).select("n", "n_missing_predictions", "n_unparsed")
 
 
-@query("SELECT status, n_rows, truncated FROM (VALUES ('ok', 100, true), ('ok', 25, false), ('rejected', 0, false)) t(status, n_rows, truncated)")
+@query("""
+SELECT 'ok' AS status, CAST(least(100, count(*)) AS INTEGER) AS n_rows, count(*) > 100 AS truncated FROM lineitem UNION ALL
+SELECT 'ok', CAST(least(100, count(*)) AS INTEGER), count(*) > 100 FROM nation UNION ALL SELECT 'rejected', 0, false
+""")
 def limit_cap(spark, d):
     """Row cap and its flag, for a long, a short and a refused query."""
     register(spark, d, ("lineitem", "nation"))
@@ -393,29 +424,37 @@ def token_words(spark, d):
     return table(spark, d, "documents").select("doc_id", linking.name_tokens(F.col("text")).alias("words"))
 
 
-_CORPUS = (
-    "SELECT ';' AS a; -- x;y", "SELECT `a;b`, [c;d] FROM t /* ; */", "/* open", "SELECT a FROM t ORDER BY a", "SELECT (SELECT b FROM u ORDER BY b) FROM t",
-    "WITH c AS (SELECT 1) DELETE FROM t", "SELECT replace(a, 'x', 'y') FROM t", "REPLACE INTO t VALUES (1)", "VALUES (1), (2)", "SELECT 1; SELECT 2", "", "EXPLAIN SELECT 1",
-)
-
-
-def _corpus(spark):
-    return spark.createDataFrame(list(enumerate(_CORPUS)), "i int, sql string")
+def _statements(spark, d):
+    """A statement a document, its text inside a string or a comment of one of twelve kinds of statement."""
+    plain = F.translate("text", "\n\r*/", "    ")
+    quoted = F.concat(F.lit("'"), F.replace("text", F.lit("'"), F.lit("''")), F.lit("'"))
+    kinds = (
+        F.concat(F.lit("SELECT "), quoted, F.lit(" AS a; -- "), plain), F.concat(F.lit("SELECT `a;b`, [c;d] FROM t /* "), plain, F.lit(" ; */")), F.concat(F.lit("/* "), plain),
+        F.concat(F.lit("SELECT a FROM t WHERE b = "), quoted, F.lit(" ORDER BY a")), F.concat(F.lit("SELECT (SELECT b FROM u ORDER BY b) FROM t WHERE c = "), quoted),
+        F.concat(F.lit("WITH c AS (SELECT "), quoted, F.lit(") DELETE FROM t")), F.concat(F.lit("SELECT replace(a, "), quoted, F.lit(", 'y') FROM t")), F.concat(F.lit("REPLACE INTO t VALUES ("), quoted, F.lit(")")),
+        F.concat(F.lit("VALUES ("), quoted, F.lit("), (2)")), F.concat(F.lit("SELECT "), quoted, F.lit("; SELECT 2")), F.lit(" \n"), F.concat(F.lit("EXPLAIN SELECT "), quoted),
+    )
+    return table(spark, d, "documents").select("doc_id", F.element_at(F.array(*kinds), (F.col("doc_id") % len(kinds) + 1).cast("int")).alias("sql"))
 
 
 @query()
 def statement_scan(spark, d):
-    return _corpus(spark).select("i", F.explode(sqltext.scan(F.col("sql"))).alias("s")).select("i", "s.*")
+    """The spans of every statement; tests compare them with a scan character by character."""
+    return _statements(spark, d).select("doc_id", F.explode(sqltext.scan(F.col("sql"))).alias("s")).select("doc_id", "s.*")
 
 
-@query("""
-SELECT i, ok, reason, ordered FROM (VALUES (0, true, NULL, false), (1, true, NULL, false), (2, false, 'no executable statement', false), (3, true, NULL, true), (4, true, NULL, false),
-  (5, false, 'forbidden keyword DELETE', false), (6, true, NULL, false), (7, false, 'statement starts with REPLACE', false), (8, true, NULL, false), (9, false, 'expected 1 statement, found 2', false),
-  (10, false, 'empty query', false), (11, false, 'statement starts with EXPLAIN', false)) t(i, ok, reason, ordered)
+_VERDICTS = (
+    (0, None, False), (1, None, False), (2, "no executable statement", False), (3, None, True), (4, None, False), (5, "forbidden keyword DELETE", False), (6, None, False), (7, "statement starts with REPLACE", False),
+    (8, None, False), (9, "expected 1 statement, found 2", False), (10, "empty query", False), (11, "statement starts with EXPLAIN", False),
+)
+
+
+@query("WITH v(kind, reason, ordered) AS (VALUES " + ", ".join(f"({k}, {'NULL' if r is None else repr(r)}, {o})" for k, r, o in _VERDICTS) + """)
+SELECT doc_id, reason IS NULL AS ok, reason, ordered FROM documents JOIN v ON kind = doc_id % 12
 """)
 def validate_and_order(spark, d):
-    checked = _corpus(spark).select("i", sqltext.validate_read_only(F.col("sql")).alias("v"), sqltext.has_top_level_order_by(F.col("sql")).alias("ordered"))
-    return checked.select("i", "v.ok", "v.reason", "ordered")
+    checked = _statements(spark, d).select("doc_id", sqltext.validate_read_only(F.col("sql")).alias("v"), sqltext.has_top_level_order_by(F.col("sql")).alias("ordered"))
+    return checked.select("doc_id", "v.ok", "v.reason", "ordered")
 
 
 # --- linking ---------------------------------------------------------------------------------------
@@ -487,35 +526,70 @@ def linked_tables(spark, d):
     return linking.linked_tables(_questions(spark, d), tables, columns, fks).select("question_id", "table", F.col("rank").cast("int").alias("rank"))
 
 
-@query(f'WITH keys(a, b) AS (VALUES {_values([(k[0], k[2]) for k in _KEYS])}) SELECT a AS "table", b AS neighbour FROM keys UNION SELECT b, a FROM keys')
+#: Documents as tables: 20 databases, the k-th document of each refers to the (k - 3)rd unless 5 divides k, in upper case.
+_GRAPH = """
+t AS (SELECT doc_id % 20 AS db, doc_id // 20 AS k FROM documents),
+e AS (SELECT a.db, a.k AS x, b.k AS y FROM t a JOIN t b ON a.db = b.db AND b.k = a.k - 3 AND a.k % 5 <> 0), links AS (SELECT * FROM e UNION SELECT db, y, x FROM e),
+sizes AS (SELECT db, max(k) + 1 AS n FROM t GROUP BY db), need AS (SELECT t.db, t.k AS q, unnest([k, k * 7 % n]) AS k FROM t JOIN sizes USING (db))
+"""
+
+
+def _graph(spark, d):
+    """(tables, fks, required, selected) of documents as tables and as questions."""
+    own = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("db"), F.expr("doc_id div 20").alias("k"), F.col("doc_id").alias("question_id")).withColumn("db_id", F.concat(F.lit("d"), F.col("db").cast("string")))
+    name = lambda k: F.concat(F.lit("t"), k.cast("string"))
+    tables = own.select("db_id", name(F.col("k")).alias("table"), F.lit(None).cast("string").alias("ddl"))
+    fks = own.where("k % 5 <> 0 AND k >= 3").select("db_id", name(F.col("k")).alias("table"), F.lit("a").alias("from_column"), F.upper(name(F.col("k") - 3)).alias("to_table"), F.lit("b").alias("to_column"))
+    sizes = own.groupBy("db_id").agg((F.max("k") + 1).alias("n"))
+    required = own.join(sizes, "db_id").select("question_id", "db_id", F.explode(F.array("k", F.col("k") * 7 % F.col("n"))).alias("t")).select("question_id", "db_id", name(F.col("t")).alias("table"))
+    selected = own.join(sizes, "db_id").select("question_id", "db_id", F.explode(F.array("k", (F.col("k") + 1) % F.col("n"), F.greatest(F.col("k") - 3, F.lit(0)))).alias("t"))
+    return tables, fks, required, selected.select("question_id", "db_id", name(F.col("t")).alias("table"))
+
+
+@query(f"WITH {_GRAPH} SELECT 'd' || db AS db_id, 't' || x AS \"table\", 't' || y AS neighbour FROM links")
 def fk_neighbours(spark, d):
-    tables, _, fks = _schema(spark)
-    return linking.fk_edges(tables, fks).select("table", "neighbour")
+    tables, fks, _, _ = _graph(spark, d)
+    return linking.fk_edges(tables, fks).select("db_id", "table", "neighbour")
 
 
-_REQUIRED = ((0, "region"), (0, "lineitem"), (1, "part"), (1, "events"), (2, "orders"), (3, "customer"), (3, "missing"))
+#: Chains of references run in steps of 3 and break at multiples of 5, so what connects two tables is that no multiple of 5 lies above the lower one.
+_CONNECTED = f"""
+{_GRAPH}, ends AS (SELECT db, q, min(k) AS low, max(k) AS high, count(DISTINCT k) AS n FROM need GROUP BY db, q),
+whole AS (SELECT e.*, n < 2 OR ((high - low) % 3 = 0 AND NOT EXISTS (SELECT 1 FROM range(low + 3, high + 3, 3) r(k) WHERE r.k % 5 = 0)) AS connected FROM ends e)
+"""
 
 
-@query("SELECT question_id, connected FROM (VALUES (0, true), (1, false), (2, true), (3, false)) t(question_id, connected)")
+@query(f"WITH {_CONNECTED} SELECT q * 20 + db AS question_id, connected FROM whole")
 def fk_reachability(spark, d):
-    tables, _, fks = _schema(spark)
-    need = spark.createDataFrame([(i, "star", t) for i, t in _REQUIRED], "question_id int, db_id string, table string")
-    return linking.fk_connected(need, tables, fks)
+    tables, fks, required, _ = _graph(spark, d)
+    return linking.fk_connected(required, tables, fks)
 
 
-@query("SELECT question_id, recall, missing, n_distractors, fk_retained FROM (VALUES (0, 1.0::DOUBLE, []::VARCHAR[], 1, false), (1, 0.5::DOUBLE, ['events'], 0, NULL)) t(question_id, recall, missing, n_distractors, fk_retained)")
+@query(f"""
+WITH {_CONNECTED}, n AS (SELECT db, q, list_sort(list(DISTINCT k)) AS need FROM need GROUP BY db, q),
+h AS (SELECT t.db, k AS q, list_distinct([k, (k + 1) % s.n, greatest(k - 3, 0)]) AS have FROM t JOIN sizes s USING (db)),
+j AS (SELECT *, list_intersect(need, have) AS hit FROM n JOIN h USING (db, q) JOIN whole USING (db, q))
+SELECT q * 20 + db AS question_id, len(hit) / CAST(len(need) AS DOUBLE) AS recall, list_sort(list_transform(list_filter(need, lambda x: NOT list_contains(have, x)), lambda x: 't' || x)) AS missing,
+  CAST(len(have) - len(hit) AS INTEGER) AS n_distractors, CASE WHEN len(need) >= 2 AND connected THEN len(hit) = len(need) END AS fk_retained FROM j
+""")
 def link_coverage(spark, d):
-    tables, _, fks = _schema(spark)
-    need = spark.createDataFrame([(0, "star", "region"), (0, "star", "lineitem"), (1, "star", "part"), (1, "star", "events")], "question_id int, db_id string, table string")
-    have = spark.createDataFrame([(0, "star", "region"), (0, "star", "lineitem"), (0, "star", "part"), (1, "star", "part")], "question_id int, db_id string, table string")
-    return linking.coverage(need, have, tables, fks)
+    """Each document needs itself and another; itself, the next and the one it refers to are selected, so what is needed and selected is connected if it is at all."""
+    tables, fks, required, selected = _graph(spark, d)
+    return linking.coverage(required, selected, tables, fks)
 
 
-@query("SELECT i AS question_id, t AS \"table\" FROM (VALUES (0, 'orders'), (0, 'customer'), (1, 'part')) x(i, t)")
+@query("""
+SELECT doc_id AS question_id, unnest(CASE doc_id % 3 WHEN 0 THEN ['orders', 'customer'] WHEN 1 THEN ['part'] ELSE ['lineitem', 'supplier'] END) AS "table" FROM documents
+""")
 def oracle_tables(spark, d):
+    """Gold queries that name tables in code, and others in strings and comments, beside each document's text as a string."""
     tables, _, _ = _schema(spark)
-    gold = [(0, "star", "SELECT 'nation' FROM `orders` o JOIN Customer -- region\n ON 1 = 1"), (1, "star", "SELECT events_x FROM part")]
-    return linking.oracle_tables(spark.createDataFrame(gold, "question_id int, db_id string, gold_sql string"), tables).select("question_id", "table")
+    text = F.concat(F.lit("'"), F.replace("text", F.lit("'"), F.lit("''")), F.lit("'"))
+    gold = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("SELECT 'nation' FROM `orders` o JOIN Customer -- region\n ON 1 = "), text)).when(
+        F.col("doc_id") % 3 == 1, F.concat(F.lit("SELECT events_x, "), text, F.lit(" FROM part"))
+    ).otherwise(F.concat(F.lit('SELECT * FROM [lineitem], "supplier" /* nation */ WHERE a = '), text))
+    gold = table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.lit("star").alias("db_id"), gold.alias("gold_sql"))
+    return linking.oracle_tables(gold, tables).select("question_id", "table")
 
 
 @query()
@@ -526,21 +600,48 @@ def budgeted_blocks(spark, d):
     return linking.within_budget(blocks, 2000, ("source", "lang"))
 
 
-@query()
+@query("""
+WITH t AS (SELECT source, doc_id, lang, doc_id % 2 = 0 AS filled FROM documents),
+c AS (SELECT source, doc_id, unnest([0, 1, 2]) AS pos, unnest(['id', 'a "b"', lang]) AS name, unnest(['INTEGER', '', 'TEXT']) AS type, filled FROM t),
+l AS (SELECT source, doc_id, string_agg('  "' || replace(name, '"', '""') || '"' || CASE WHEN type = '' THEN '' ELSE ' ' || type END || CASE WHEN pos = 0 THEN ' PRIMARY KEY' WHEN pos = 2 AND filled THEN ' NOT NULL' ELSE '' END, ',' || chr(10) ORDER BY pos) AS ddl,
+  string_agg('#   ' || name || ' (' || CASE WHEN type = '' THEN 'ANY' ELSE type END || ')' || CASE WHEN pos = 0 THEN ' [primary key]' WHEN pos = 2 AND filled THEN ' [not null]' ELSE '' END || CASE WHEN pos = 2 THEN ' -- n' || doc_id ELSE '' END, chr(10) ORDER BY pos) AS compact FROM c GROUP BY source, doc_id)
+SELECT source AS db_id, 't' || doc_id AS "table", 'CREATE TABLE "t' || doc_id || '" (' || chr(10) || ddl || ',' || chr(10) || '  FOREIGN KEY ("id") REFERENCES "other"("x")' || chr(10) || ');' AS block FROM l
+UNION ALL SELECT source, 't' || doc_id, '# Table: t' || doc_id || chr(10) || compact || chr(10) || '#   id -> other.x' FROM l
+""")
 def schema_blocks(spark, d):
-    tables, columns, fks = _schema(spark)
-    return prompts.table_blocks(tables, columns, fks).unionByName(prompts.table_blocks(tables, columns, fks, "compact"))
+    """Documents as tables of three columns and a key, as DDL and compact with notes."""
+    t = table(spark, d, "documents").select(F.col("source").alias("db_id"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("table"), F.lit(None).cast("string").alias("ddl"), "doc_id", "lang")
+    column = lambda pos, name, type_: F.struct(F.lit(pos).alias("pos"), name.alias("name"), F.lit(type_).alias("type"))
+    own = t.select("db_id", "table", "doc_id", F.explode(F.array(column(0, F.lit("id"), "INTEGER"), column(1, F.lit('a "b"'), ""), column(2, F.col("lang"), "TEXT"))).alias("c")).select("db_id", "table", "doc_id", "c.*")
+    columns = own.select("db_id", "table", "pos", "name", "type", ((F.col("pos") == 2) & (F.col("doc_id") % 2 == 0)).alias("notnull"), (F.col("pos") == 0).alias("pk"),
+                         F.when(F.col("pos") == 2, F.concat(F.lit("n"), F.col("doc_id").cast("string"))).alias("description"), F.lit("").alias("value_description"))
+    fks = t.select("db_id", "table", F.lit("id").alias("from_column"), F.lit("other").alias("to_table"), F.lit("x").alias("to_column"))
+    return prompts.table_blocks(t, columns, fks).unionByName(prompts.table_blocks(t, columns, fks, "compact", descriptions=True))
 
 
-@query("SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS messages FROM conversations GROUP BY conv_id")
+@query("""
+SELECT conv_id AS question_id, ['system', 'user', 'assistant'] AS roles, text AS question, '```sql' || chr(10) || 'SELECT ' || conv_id || chr(10) || '```' AS answer FROM conversations WHERE turn = 0
+""")
 def chat_messages(spark, d):
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("t"))
-    return turns.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))
+    """First turns as questions in training chats."""
+    first = table(spark, d, "conversations").where("turn = 0")
+    asked = first.select(F.col("conv_id").alias("question_id"), F.lit("star").alias("db_id"), F.col("text").alias("question"), F.lit("").alias("evidence"), F.concat(F.lit("SELECT "), F.col("conv_id").cast("string"), F.lit(" ;")).alias("gold_sql"))
+    chats = prompts.sft_records(asked, F.lit("CREATE TABLE t (a INTEGER);"))
+    question = F.regexp_extract(F.col("messages")[1]["content"], r"(?s)\n\nQuestion: (.*)\n\n\Q" + prompts.INSTRUCTIONS["v1"] + r"\E", 1)
+    return chats.select("question_id", F.col("messages.role").alias("roles"), question.alias("question"), F.col("messages")[2]["content"].alias("answer"))
 
 
-@query()
+@query(f"""
+SELECT item_id AS question_id, 'train' AS split, 'SELECT 1' AS ground_truth, ['orders'] AS selected_tables,
+  {len(prompts.SYSTEM_PROMPT)} + length('Database schema:' || repeat(chr(10), 2) || 'CREATE TABLE orders (o_orderkey INTEGER);' || repeat(chr(10), 2) || 'Question: ' || text || repeat(chr(10), 2)) + {len(prompts.INSTRUCTIONS["v1"])} AS prompt_chars FROM benchmark
+""")
 def prompt_rows(spark, d):
     """Nested training rows over the benchmark's texts as questions."""
+    rows = _prompt_rows(spark, d)
+    return rows.select("extra_info.question_id", "extra_info.split", "reward_model.ground_truth", "extra_info.selected_tables", prompts.prompt_chars(F.col("prompt")).cast("long").alias("prompt_chars"))
+
+
+def _prompt_rows(spark, d):
     asked = table(spark, d, "benchmark").select(
         F.col("item_id").alias("question_id"), F.lit("star").alias("db_id"), F.col("text").alias("question"), F.lit("").alias("evidence"), F.lit("SELECT 1").alias("gold_sql"),
         F.col("item_id").alias("index"), F.array(F.lit("orders")).alias("selected_tables"),
@@ -548,16 +649,31 @@ def prompt_rows(spark, d):
     return prompts.rl_rows(asked, F.lit("CREATE TABLE orders (o_orderkey INTEGER);"), "train", "bench")
 
 
-@query()
+#: Kinds of completions: text, predicted and gold query.
+_KINDS = (
+    ("```sql\nSELECT DISTINCT n_regionkey FROM nation\n```", "SELECT n_regionkey FROM nation"), ("```sql\nSELECT n_name FROM nation ORDER BY n_name\n```", "SELECT n_name FROM nation"), ("no idea", "SELECT 1"),
+    ("```sql\nDROP TABLE nation\n```", "SELECT 1"), ("```sql\nSELECT nope FROM nation\n```", "SELECT n_name FROM nation"), ("```sql\nSELECT 25\n```", "SELECT count(*) FROM region"),
+    ("```sql\nSELECT count(*) FROM nation\n```", "SELECT 25"), ("```sql\nSELECT n_name FROM nation WHERE 1 = 0\n```", "SELECT n_name, n_regionkey FROM nation"),
+)
+
+
+@query("""
+WITH p(kind, n, official, strict, why) AS (
+  SELECT 0, count(DISTINCT n_regionkey), true, count(*) = count(DISTINCT n_regionkey), 'row_count' FROM nation UNION ALL SELECT 1, count(*), true, true, NULL FROM nation UNION ALL SELECT 2, 0, false, false, 'no_sql_in_completion'
+  UNION ALL SELECT 3, 0, false, false, 'statement starts with DROP' UNION ALL SELECT 4, 0, false, false, 'pred_failed' UNION ALL SELECT 5, 1, count(*) = 25, count(*) = 25, 'row_values' FROM region
+  UNION ALL SELECT 6, 1, count(*) = 25, count(*) = 25, 'row_values' FROM nation UNION ALL SELECT 7, 0, count(*) = 0, false, 'column_count' FROM nation)
+SELECT doc_id AS rollout_id, kind NOT IN (2, 3) AS parsed, kind NOT IN (2, 3, 4) AS executed, official, strict AS correct, CASE WHEN NOT strict THEN why END AS reason, n AS pred_n_rows, kind = 5 AS no_from_clause, kind = 7 AS empty_result,
+  CASE WHEN kind IN (2, 3) THEN 0 ELSE 0.1::DOUBLE + CASE WHEN kind <> 4 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN official THEN 1.0::DOUBLE ELSE 0 END END AS reward FROM documents JOIN p ON kind = doc_id % 8
+""")
 def guarded_rewards(spark, d):
-    """Rollouts over the star schema scored from completion to reward."""
-    register(spark, d, ("orders", "nation", "region"))
-    rows = [
-        (0, "```sql\nSELECT DISTINCT o_orderpriority FROM orders\n```", "SELECT o_orderpriority FROM orders WHERE o_orderkey < 200"), (1, "```sql\nSELECT n_name FROM nation\n```", "SELECT n_name FROM nation"),
-        (2, "no idea", "SELECT 1"), (3, "```sql\nDROP TABLE nation\n```", "SELECT 1"), (4, "```sql\nSELECT nope FROM nation\n```", "SELECT n_name FROM nation"), (5, "```sql\nSELECT 1\n```", "SELECT count(*) FROM region"),
-    ]
-    rollouts = spark.createDataFrame(rows, "rollout_id int, completion string, gold_sql string")
-    return rewards.score(rollouts, SqlExecutor(spark, ("orders", "nation", "region"), timeout_s=120))
+    """Documents as rollouts of eight kinds over the star schema, scored from completion to reward."""
+    register(spark, d, ("nation", "region"))
+    pick = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in _KINDS]), (F.col("doc_id") % len(_KINDS) + 1).cast("int"))
+    rollouts = table(spark, d, "documents").select(F.col("doc_id").alias("rollout_id"), pick(0).alias("completion"), pick(1).alias("gold_sql"))
+    config = rewards.RewardConfig(format_bonus=0.1, execution_bonus=0.2)
+    found = rewards.score(rollouts, SqlExecutor(spark, ("nation", "region"), timeout_s=120), config)
+    shown = F.when(F.col("parsed") | (F.col("sql") != ""), F.col("no_from_clause")).otherwise(False) & F.col("parsed")
+    return found.select("rollout_id", "parsed", "executed", "official", "correct", "reason", F.col("pred_n_rows").cast("long").alias("pred_n_rows"), shown.alias("no_from_clause"), "empty_result", "reward")
 
 
 # --- the SQL surface -------------------------------------------------------------------------------
@@ -588,11 +704,13 @@ surface("sql_window", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITIO
 surface("sql_set_operations", "(SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)")
 surface("sql_semi_anti", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 surface("sql_outer_join", "SELECT n_name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name")
-surface("sql_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t")
+surface("sql_recursive", """
+WITH RECURSIVE t(k, n) AS (SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT k, n div 2 FROM t WHERE n > 1) SELECT k, n FROM t""", """
+WITH RECURSIVE t(k, n) AS (SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT k, n // 2 FROM t WHERE n > 1) SELECT k, n FROM t""")
 surface("sql_case_replace", "SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'high' ELSE 'low' END AS level, replace(o_orderpriority, '-', ' ') AS priority FROM orders")
 surface("sql_top_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25")
 surface("sql_distinct", "SELECT DISTINCT p_brand, p_type FROM part WHERE p_size BETWEEN 5 AND 30")
-surface("sql_values", "SELECT a, b FROM (VALUES (1, 'x'), (2, NULL)) AS t(a, b)")
+surface("sql_values", "SELECT o_orderkey, b FROM orders LEFT JOIN (VALUES ('O', 'open'), ('F', NULL)) AS t(a, b) ON o_orderstatus = a")
 surface("sql_scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
 
 
@@ -853,12 +971,10 @@ def distinct_databases(spark, d):
 
 
 def _scratch(spark) -> str:
-    """A new folder that all executors share."""
-    import tempfile
-    import uuid
+    """A new folder that all executors share, deleted when the process ends."""
+    from querent import storage
 
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="querent-files-")
-    return f"{found.rstrip('/')}/files-{uuid.uuid4().hex[:12]}"
+    return storage.scratch(spark, "files")
 
 
 @query("SELECT item_id AS question_id, 'star' AS db_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS question, 'SELECT ' || item_id AS gold_sql FROM benchmark")
@@ -875,18 +991,45 @@ def question_file(spark, d):
     return records.read_questions(spark, path).select("question_id", "db_id", "question", "gold_sql")
 
 
-@query("SELECT conv_id AS question_id, text AS completion FROM conversations WHERE turn = 0 AND text <> ''")
+@query("""
+SELECT conv_id AS question_id, CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN 'SELECT ' || conv_id ELSE '' END AS completion FROM conversations WHERE turn = 0
+""")
 def prediction_file(spark, d):
-    """First turns written as predictions, twice, and read again: the last record of an id counts."""
+    """First turns appended as predictions, then two thirds of them again with other texts: the last record of an id counts."""
     from querent.sources import records
 
     path = _scratch(spark)
-    turns = table(spark, d, "conversations").where("turn = 0 and text <> ''").select(F.col("conv_id").alias("question_id"), F.col("text").alias("completion"))
-    records.write_records(turns.withColumn("completion", F.col("completion")), path)
-    records.write_records(turns, path, "append")
+    turns = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("question_id"), F.col("conv_id").alias("index"), F.col("text").alias("completion"))
+    records.append_predictions(turns, path)
+    again = turns.where("question_id % 3 <> 0").withColumn("completion", F.lit("")).withColumn("sql", F.when(F.col("question_id") % 3 == 1, F.concat(F.lit("SELECT "), F.col("question_id").cast("string"))))
+    records.append_predictions(again, path)
     return records.read_predictions(spark, path)
 
 
+@query("SELECT doc_id AS question_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 1 END, doc_id) - 1 AS place FROM documents")
+def resumed_log(spark, d):
+    """Predictions of a third of the documents, then of those still to do: the log keeps the order of appends and of questions."""
+    from querent.sources import log, records
+
+    path = _scratch(spark)
+    examples = table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.col("doc_id").alias("index"))
+    records.append_predictions(examples.where("question_id % 3 = 1").withColumn("completion", F.lit("a")), path)
+    records.append_predictions(records.resume(examples, path).withColumn("completion", F.lit("b")), path)
+    return slices.global_rank(log.read(spark, path, records.PREDICTION).select("question_id", "line"), ["line"], "place").select("question_id", "place")
+
+
+@query("SELECT event_type AS split, count(*) AS n, count(DISTINCT event_id) AS n_distinct FROM events GROUP BY event_type")
+def rollout_log_once(spark, d):
+    """Events appended in keyed batches, each twice as after a crash: none is there twice."""
+    from querent.sources import records
+
+    path = _scratch(spark)
+    events = table(spark, d, "events").select(F.col("event_id").alias("question_id"), F.col("value").alias("reward"), F.col("event_type").alias("split"))
+    for n in (0, 1, 0, 2, 2, 1):
+        records.append_rollouts(events.where(F.col("question_id") % 3 == n), path, f"events#{n}")
+    return records.read_rollouts(spark, path)[0].groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("question_id").alias("n_distinct"))
+
+
 @query("SELECT count(*) FILTER (WHERE event_type <> 'error') AS n_usable, count(*) FILTER (WHERE event_type = 'error') AS n_errors FROM events")
 def rollout_file(spark, d):
     """Events appended to a rollout log, errors among them, and scanned."""
@@ -899,13 +1042,39 @@ def rollout_file(spark, d):
     return usable.agg(F.count("*").alias("n_usable")).crossJoin(errors)  # one row each
 
 
+@query("SELECT doc_id AS rollout_id, CASE WHEN doc_id % 997 = 5 THEN 0.0::DOUBLE ELSE CAST(n_chars % 2 AS DOUBLE) END AS reward, doc_id % 997 = 5 AS failed FROM documents")
+def failing_rollouts(spark, d):
+    """Documents as rollouts under a scorer that raises for one in 997: these alone are without a reward."""
+    def scorer(part, executor, config):
+        broken = F.raise_error(F.concat(F.lit("can't score "), F.col("rollout_id").cast("string")))
+        return part.select("rollout_id", F.when(F.col("rollout_id") % 997 == 5, broken).otherwise((F.col("n_chars") % 2).cast("double")).alias("reward"))
+
+    rollouts = table(spark, d, "documents").select(F.col("doc_id").alias("rollout_id"), "n_chars")
+    return rewards.compute_scores(rollouts, SqlExecutor(spark, ()), scorer=scorer).select("rollout_id", "reward", F.col("error").isNotNull().alias("failed"))
+
+
 @query("SELECT item_id AS question_id, 'train' AS split, 'SELECT 1' AS ground_truth, text AS question FROM benchmark")
 def rl_parquet(spark, d):
     """Nested rows written as Parquet and read again."""
     from querent.sources import records
 
     path = _scratch(spark)
-    records.write_rl_rows(prompt_rows(spark, d), path)
+    records.write_rl_rows(_prompt_rows(spark, d), path)
     rows = spark.read.parquet(path)
     asked = F.regexp_extract(F.element_at("prompt.content", 2), r"(?s)\n\nQuestion: (.*)\n\n\Q" + prompts.INSTRUCTIONS["v1"] + r"\E", 1)
     return rows.select("extra_info.question_id", "extra_info.split", "reward_model.ground_truth", asked.alias("question"))
+
+
+@query("SELECT l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) AS middle FROM lineitem GROUP BY l_returnflag")
+def registered_aggregate(spark, d):
+    """A grouped-aggregate function, registered by name and called from SQL over partial results, so no group is gathered whole."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def weighted_mean(values: pd.Series, weights: pd.Series) -> float:
+        return float((values * weights).sum() / weights.sum())
+
+    spark.udf.register("weighted_mean", weighted_mean)
+    table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    parts = "SELECT l_returnflag, l_suppkey % 64 AS salt, count(*) AS n, avg(ln(l_extendedprice)) AS m FROM lineitem GROUP BY l_returnflag, l_suppkey % 64"
+    return spark.sql(f"SELECT l_returnflag, round(exp(weighted_mean(m, CAST(n AS DOUBLE))), 4) AS middle FROM ({parts}) GROUP BY l_returnflag")
