@@ -4,7 +4,8 @@ Markup is stripped into lines, one a block of the page, with a gap of blank line
 begins or ends. A line weighs what its text is long, MARKED times that in an article or main part, and elsewhere
 less its links; lines inside menus, headers, footers, sidebars, notices, adverts, forms, comments and the like
 weigh nothing. Weights are summed over sliding windows of BLOCK lines. A stretch between the points where the
-sums leave zero and where they dive to it again is text if the sums surge over a threshold in it.
+sums leave zero and where they dive to it again is text if the sums surge over a threshold in it. Where a page marks
+its article, all of it that isn't flagged is text, however short.
 
 Pages are read in one pass, with work in proportion to their length however broken their markup is.
 """
@@ -37,13 +38,19 @@ LISTS = frozenset("ul ol dl table select".split())
 ITEMS = frozenset("li dt dd tr td th option".split())
 #: Raw elements that end at their end tag only; the others hold markup and end there if there is one.
 UNREAD = frozenset("script style".split())
-#: Words of a class or id that flag an element.
+#: Elements whose id is an anchor for links and whose text is the article's own; headings are not flagged by a class either.
+TEXTUAL = frozenset("p li dt dd td th blockquote pre figcaption caption".split()) | HEADINGS
+#: Words that flag an element if they are its class or id, or all of it that isn't one of PLACES.
 ALWAYS = frozenset("comment comments commentlist disqus respond replies".split())
 FLAGS = frozenset(
     "ad ads adv advert adverts advertisement adsense adbox adslot sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs "
     "pagination pager sidebar sidenav aside widget widgets footer header masthead topbar banner cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations toolbar search skip copyright legal disclaimer".split()
 )
+PLACES = frozenset(
+    "site page main global primary secondary top bottom left right upper lower inner outer box bar block list item items container wrapper wrap section area zone slot unit group row col column "
+    "content body panel module links link buttons button btn icons icon inline mobile desktop small large fixed sticky post article entry story".split()
+)
 
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _PLAIN = re.compile(r"""[^>"']*""")
@@ -52,10 +59,10 @@ _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class _Line:
-    __slots__ = ("flag", "heading", "link", "main", "parts")
+    __slots__ = ("button", "flag", "heading", "link", "main", "parts", "size")
 
     def __init__(self):
-        self.parts, self.link, self.flag, self.main, self.heading = [], 0, 0, False, False
+        self.parts, self.size, self.link, self.button, self.flag, self.main, self.heading = [], 0, 0, 0, 0, False, False
 
 
 def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -111,10 +118,24 @@ def _flag(tag: str, attributes: str) -> str | None:
         return "header"
     if found.get("role", "").lower() in ROLES:
         return "always"
-    words = {w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+    if tag in HEADINGS:
+        return None
+    kinds = {_meaning(name) for name in (found.get("class", "") + (" " + found.get("id", "") if tag not in TEXTUAL else "")).split()}
+    return "always" if "always" in kinds else "weak" if "weak" in kinds else None
+
+
+def _meaning(name: str) -> str | None:
+    """What one class or id says: only names of known words mean something, so market-share doesn't and site-footer does."""
+    words = {w.lower() for w in _WORD.findall(name)}
+    if not words or words - ALWAYS - FLAGS - PLACES:
+        return None
     return "always" if words & ALWAYS else "weak" if words & FLAGS else None
 
 
+#: A button in a sentence, as it stands among the open elements.
+INSIDE = "button in text"
+
+
 class _Open:
     """The open elements, with what is asked of them kept up to date as they open and close."""
 
@@ -122,7 +143,7 @@ class _Open:
         self.stack: list[tuple[str, int]] = []
         self.places: dict[str, list[int]] = {}
         self.groups = {CONTAINERS: [], LISTS: []}
-        self.flagged, self.main, self.heading, self.link = [0], 0, 0, 0
+        self.flagged, self.main, self.heading, self.link, self.button = [0], 0, 0, 0, 0
         #: By number of a flagged element: its kind, the flagged element around it, text before it and at its end.
         self.kinds, self.around, self.begun, self.ended = [""], [0], [0], [0]
 
@@ -144,6 +165,7 @@ class _Open:
         self.main += step * (tag in ("article", "main"))
         self.heading += step * (tag in HEADINGS)
         self.link += step * (tag == "a")
+        self.button += step * (tag == INSIDE)
 
     def close(self, tag: str, total: int, within: frozenset | None = None) -> bool:
         """Close the innermost tag and all in it, unless it lies outside the innermost element of within."""
@@ -198,7 +220,9 @@ def lines_of(page: str) -> list[_Line]:
             line.flag, line.main, line.heading = opened.flagged[-1], opened.main > 0, opened.heading > 0
         line.parts.append(value)
         total += size
+        line.size += size
         line.link += size * (opened.link > 0)
+        line.button += size * (opened.button > 0)
 
     at, tags = 0, _tags(page)
     for start, end, tag, closing, attributes in tags:
@@ -206,7 +230,13 @@ def lines_of(page: str) -> list[_Line]:
         at = end
         if not tag:
             continue
-        if closing:
+        if tag == "button" and (opened.button if closing else line.parts or opened.places.get("p")):
+            # In a sentence it is a word of it; a line of nothing but buttons is left out in the end.
+            if closing:
+                opened.close(INSIDE, total)
+            else:
+                opened.push(INSIDE, None, total)
+        elif closing:
             if tag not in INLINE and tag not in VOID:
                 flush(tag in SECTIONS)
             opened.close(tag, total)
@@ -239,7 +269,7 @@ def lines_of(page: str) -> list[_Line]:
     off, header = opened.dropped(total)
     for x in lines:
         # A heading in an article's header stays.
-        x.flag = off[x.flag] or (header[x.flag] and not (x.main and x.heading))
+        x.flag = off[x.flag] or (header[x.flag] and not (x.main and x.heading)) or (x.size > 0 and x.button == x.size)
     return lines
 
 
@@ -257,9 +287,9 @@ def extract(page: str | None) -> str:
         end = i
         while end < len(sums) and sums[end] > 0:
             end += 1
-        if any(s > threshold for s in sums[i:end]):
-            # Between surge and dive only flagged lines are left out, and outside articles lines that are all links.
-            out += [s for x, s in zip(lines[i:end], shown[i:end], strict=True) if s and not x.flag and (x.main or x.link < 0.9 * len(s))]
+        # Between surge and dive only flagged lines are left out, and outside articles lines that are all links.
+        text = any(x > threshold for x in sums[i:end])
+        out += [s for x, s in zip(lines[i : end + 1], shown[i : end + 1], strict=True) if s and not x.flag and (x.main or (text and x.link < 0.9 * len(s)))]
         i = end + 1
     return "\n\n".join(out)
 
