@@ -39,18 +39,18 @@ def _pack(size: int):
         held: dict[int, list] = {}
 
         def put(dims: int, rows: list) -> pa.RecordBatch:
-            ids = np.array([r[0] for r in rows], np.int64)
+            ids, keys = (np.array([r[k] for r in rows], np.int64) for k in (0, 2))
             data = np.stack([r[1] for r in rows], axis=1)  # vertical: a row a dimension
             if np.abs(data).max(initial=0) < 1 << 15:
                 data = data.astype(np.int16)
-            columns = [pa.array([dims], pa.int32()), pa.array([len(rows)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["dims", "n", "ids", "data"])
+            columns = [pa.array([dims], pa.int32()), pa.array([len(rows)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, keys, data))]
+            return pa.RecordBatch.from_arrays(columns, ["dims", "n", "ids", "keys", "data"])
 
         for batch in batches:
-            for vec_id, vector in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
+            for vec_id, vector, key in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), batch.column("key").to_pylist(), strict=True):
                 value = np.floor(SCALE * np.asarray(vector.values.to_numpy(zero_copy_only=False), np.float64))
                 rows = held.setdefault(len(value), [])
-                rows.append((vec_id, value))
+                rows.append((vec_id, value, key))
                 if len(rows) == size:
                     yield put(len(value), held.pop(len(value)))
         for dims, rows in held.items():
@@ -123,15 +123,18 @@ def _search(top: int):
                 dims = pair["dims"]
                 q, c = (_unpack(pair[f"{x}_data"], dims, pair[f"{x}_n"]) for x in "qc")
                 q_ids, c_ids = (np.frombuffer(pair[f"{x}_ids"], np.int64) for x in "qc")
-                known = floors.setdefault(pair["q_ids"], np.full(len(q_ids), -np.inf))
+                keys = np.frombuffer(pair["q_keys"], np.int64).tolist()
+                known = floors.setdefault(pair["q_keys"], np.full(len(q_ids), -np.inf))
                 found = list(best(q_ids, q, c_ids, c, top, floors=known))
                 if found:
+                    sizes = [len(f[1]) for f in found]
                     columns = [
-                        pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()),
+                        pa.array(np.repeat(keys, sizes), pa.int64()),
+                        pa.array(np.repeat([f[0] for f in found], sizes), pa.int64()),
                         pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)),
                         pa.array([int(x) for f in found for x in f[2]], pa.int64()),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "query_id", "vec_id", "score"])
 
     return run
 
@@ -141,30 +144,31 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, candidate_blo
 
     A candidate of the query's id isn't its candidate. Rows with null ids, null vectors, or vectors with null or
     non-finite components take no part; a query meets candidates of its own length only. Repeated rows compete
-    each for itself. Scores beyond a long raise. Other columns are ignored.
+    each for itself, and each row of a repeated query id has a ranking of its own, top results a row. Scores beyond a
+    long raise. Other columns are ignored.
     """
     def clean(df: DataFrame) -> DataFrame:
         vector = F.col("embedding").cast("array<double>")
         fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return df.where("vec_id is not null and embedding is not null").where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding"))
+        return df.where("vec_id is not null and embedding is not null").where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding"), F.monotonically_increasing_id().alias("key"))
 
-    packed = "dims int, n int, ids binary, data binary"
+    packed = "dims int, n int, ids binary, keys binary, data binary"
     blocks = materialize(clean(vectors).mapInArrow(_pack(candidate_block), packed), "candidates")
     wanted = materialize(clean(queries).mapInArrow(_pack(query_block), packed), "queries")
-    wanted = wanted.select("dims", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    wanted = wanted.select("dims", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("keys").alias("q_keys"), F.col("data").alias("q_data"))
     # A grid: each block of queries lies in one row of cells and each block of candidates in one column, so each pair meets once.
     rows, columns = (min(n, max(GRID, n // CELL)) for n in (max(1, wanted.count()), max(1, blocks.count())))
     side = lambda own, n: (F.pmod(F.xxhash64(own, "dims"), F.lit(n))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    wanted = wanted.withColumn("row", side("q_ids", rows)).withColumn("column", every(columns))
+    wanted = wanted.withColumn("row", side("q_keys", rows)).withColumn("column", every(columns))
     blocks = blocks.select("dims", F.col("n").alias("c_n"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
     blocks = blocks.withColumn("column", side("c_ids", columns)).withColumn("row", every(rows))
     pairs = wanted.join(blocks, ["dims", "row", "column"])
-    return _merge(pairs.mapInArrow(_search(top), "query_id long, vec_id long, score long"), top)
+    return _merge(pairs.mapInArrow(_search(top), "key long, query_id long, vec_id long, score long"), top)
 
 
 def _merge(found: DataFrame, top: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
@@ -175,11 +179,11 @@ def op8_exact_topk_search(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_OP8 = """
-WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS key, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+s AS (SELECT q.key, q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
