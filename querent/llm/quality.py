@@ -28,6 +28,8 @@ from querent.llm.common import TEXTS, materialize, once, text_of, tidy
 SAMPLE = 4000
 #: Rounds, documents a view labels for the other in a round and class, and how sure it must be.
 ROUNDS, SHARE, SURE = 2, 300, 0.97
+#: Labelled ids up to which these are broadcast (some 10 MB); more are joined by a shuffle.
+BROADCAST = 500_000
 #: Parts in which the surest of a view and class are merged first.
 SALTS = 64
 #: Share of the sample kept apart for calibration.
@@ -184,12 +186,14 @@ class Lessons:
 GROUPS = ((0, 1), (0, 0), (1, 1), (1, 0))
 
 
-def surest(model: CoTrained, parts: tuple[np.ndarray, np.ndarray], share: int = SHARE, sure: float = SURE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each (teacher, label) the rows it is surest of, at least sure, and how sure it is."""
+def surest(model: CoTrained, parts: tuple[np.ndarray, np.ndarray], share: int = SHARE, sure: float = SURE, free: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each (teacher, label) the rows it is surest of, at least sure, and how sure it is. free: by learner, which rows it hasn't been taught."""
     p = _sigmoid(model.logits(*parts))
     out = []
     for teacher, label in GROUPS:
         own = p[:, teacher] if label else 1 - p[:, teacher]
+        if free is not None:
+            own = np.where(free[1 - teacher], own, -1.0)
         best = np.argsort(-own, kind="stable")[:share]
         best = best[own[best] >= sure]
         out.append((best, own[best]))
@@ -205,11 +209,10 @@ def _candidates(model: CoTrained, taught: list[frozenset], share: int):
             for at in range(0, len(rows), 1000):
                 parts = _vectors(rows[at : at + 1000], model.known)
                 own = keys[at : at + 1000]
-                for group, (teacher, _) in enumerate(GROUPS):
-                    free = np.array([k not in taught[1 - teacher] for k in own])
-                    chosen, how = surest(model, tuple(x[free] for x in parts), share)[group]
-                    place = np.flatnonzero(free)[chosen]
-                    held[group] += [(-float(p), *own[i], parts[1 - teacher][i].tobytes()) for i, p in zip(place.tolist(), how, strict=True)]
+                free = tuple(np.array([k not in known for k in own]) for known in taught)
+                for group, (chosen, how) in enumerate(surest(model, parts, share, free=free)):
+                    learner = 1 - GROUPS[group][0]
+                    held[group] += [(-float(p), *own[i], parts[learner][i].tobytes()) for i, p in zip(chosen.tolist(), how, strict=True)]
                     held[group] = sorted(held[group], key=_least_first)[:share]
         rows = [(group, *row) for group, own in enumerate(held) for row in own]
         columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -275,7 +278,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     if not lessons.usable():
         return None
     model = lessons.model(200)
-    others = every.join(F.broadcast(wanted.select("id")), "id", "left_anti").select("id", "mark", "text", "lang", "source")
+    # All labelled documents are left out, also those beyond the sample: nothing may teach the opposite of a label.
+    labelled = materialize(marks.select(F.col("doc_id").alias("id")), "labelled-ids")
+    told = F.broadcast(labelled) if labelled.count() <= BROADCAST else labelled
+    others = every.join(told, "id", "left_anti").select("id", "mark", "text", "lang", "source")
     taught: list[frozenset] = [frozenset(), frozenset()]
     for _ in range(rounds):
         chosen = _chosen(others, model, taught, share)
