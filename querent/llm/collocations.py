@@ -5,10 +5,12 @@ words that follow (none beyond the piece's end), the common prefixes of neighbou
 doubling, and every interval of places that share k words is one phrase of k words with its count. Counts of all
 shards are merged by (lang, phrase), combined before the shuffle.
 
-A phrase can only be frequent if all shorter phrases in it are. So phrases are counted in passes, 1, 2, 3, then 4 and
-5 words, and each pass only sorts what the pass before let through: a fixed-size bitmap of the hashes of its frequent
-phrases cuts the shards into stretches. The bitmap lets all through that it must; what it lets through by chance is
-counted exactly and fails the threshold then. Nothing is estimated, no phrase is left out.
+A phrase can only be frequent if all shorter phrases in it are. So phrases are counted in passes, and each pass only
+sorts what the pass before let through: a fixed-size bitmap of the hashes of its frequent phrases cuts the shards into
+stretches. Pairs of words, of which there are most, are first counted by hash alone, whose count is that of all pairs
+that share it; those that reach the threshold are counted by key with the phrases of three words. The bitmaps let all
+through that they must; what they let through by chance is counted exactly and fails the threshold then. Nothing is
+estimated, no phrase is left out.
 
 Ranks in a language come from one global sort in ranges, so no language is gathered in one task.
 """
@@ -32,8 +34,8 @@ from querent.llm.common import materialize, once, release, tidy
 LEAST, LONGEST, TOP, ABSORB = 100, 5, 2000, 100
 #: Bytes of text of a shard.
 SHARD = 6 << 20
-#: Lengths counted in a pass, each behind the pass before.
-PASSES = ((1,), (2,), (3,), (4, 5))
+#: Lengths counted in a pass behind that of single words, and the length of the parts that must have passed before.
+PASSES = (((2, 3), 2), ((4, 5), 3))
 
 COUNTS = "lang string, phrase string, k int, f long"
 
@@ -79,8 +81,8 @@ class Shard:
         """A hash of each (lang, word)."""
         return word_hashes(self.words.to_pylist(), [self.names[i] for i in self.lang.tolist()])
 
-    def stretches(self, passes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rest, span) once only places are left that phrases of more than k words can cover, all of whose parts of k words pass.
+    def stretches(self, passes: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rest, span) once only places are left that phrases of least words or more can cover, all of whose parts of k words pass.
 
         passes: whether the k words from each place pass. rest: the words from a place on all of whose parts pass,
         0 where none does; span: the words to the end of the stretch that a place lies in.
@@ -91,7 +93,7 @@ class Shard:
         ends = np.r_[~own[1:] | (self.piece[1:] != self.piece[:-1]), True][:n]
         last = np.flatnonzero(ends)[np.cumsum(ends) - ends]
         rest = np.where(own, last - here + k, 0)
-        span = np.maximum.accumulate(np.where(rest > k, here + rest, 0)) - here
+        span = np.maximum.accumulate(np.where(rest >= least, here + rest, 0)) - here
         covered = span > 0
         self.ids = self.ids[covered]
         return np.minimum(rest, span)[covered], span[covered]
@@ -157,16 +159,17 @@ def _phrases(shard: Shard, place: np.ndarray, k: int) -> pa.Array:
     return parts[0] if k == 1 else pc.binary_join_element_wise(*parts, " ")
 
 
-def shard_counts(shard: Shard, ks: tuple[int, ...], kept: Bitmap | None) -> Iterator[pa.RecordBatch]:
-    """COUNTS of the shard's phrases of ks words, of those whose parts of ks[0] - 1 words all pass."""
-    if kept is None:
-        rest = span = np.ones(len(shard.ids), np.int64)
-    else:
-        k = ks[0] - 1
-        own = shard.hashes()[shard.ids]
-        n = max(0, len(own) - k + 1)
-        whole = shard.piece[:n] == shard.piece[len(own) - n :]
-        rest, span = shard.stretches(whole & kept.holds(gram_hashes([own[i : n + i] for i in range(k)])), k)
+def _passing(shard: Shard, kept: Bitmap, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rest, span) of shard, left with the stretches of least words or more whose parts of k words all pass."""
+    own = shard.hashes()[shard.ids]
+    n = max(0, len(own) - k + 1)
+    whole = shard.piece[:n] == shard.piece[len(own) - n :]
+    return shard.stretches(whole & kept.holds(gram_hashes([own[i : n + i] for i in range(k)])), k, least)
+
+
+def shard_counts(shard: Shard, ks: tuple[int, ...], kept: Bitmap | None, k: int) -> Iterator[pa.RecordBatch]:
+    """COUNTS of the shard's phrases of ks words, of those whose parts of k words all pass."""
+    rest, span = (np.ones(len(shard.ids), np.int64),) * 2 if kept is None else _passing(shard, kept, k, ks[0])
     order, common = suffix_array(shard.ids, rest, span, max(ks))
     for k in ks:
         place, count = intervals(order, common, rest, k)
@@ -175,6 +178,17 @@ def shard_counts(shard: Shard, ks: tuple[int, ...], kept: Bitmap | None) -> Iter
             yield pa.RecordBatch.from_arrays([lang, _phrases(shard, place, k), pa.array(np.full(len(place), k, np.int32)), pa.array(count)], ["lang", "phrase", "k", "f"])
 
 
+def pair_counts(shard: Shard, ks: tuple[int, ...], kept: Bitmap, k: int) -> Iterator[pa.RecordBatch]:
+    """(h, f): hashes and counts of the shard's pairs of words that both pass."""
+    rest, span = _passing(shard, kept, 1, 2)
+    order, common = suffix_array(shard.ids, rest, span, 2)
+    place, count = intervals(order, common, rest, 2)
+    if len(place):
+        own = shard.hashes()
+        h = gram_hashes([own[shard.ids[place]], own[shard.ids[place + 1]]])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count)], ["h", "f"])
+
+
 def _pieces(text: bytes, shard: int) -> Iterator[bytes]:
     """A text cut at ends of pieces into parts of about shard bytes."""
     at = 0
@@ -188,7 +202,7 @@ def _pieces(text: bytes, shard: int) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _count(ks: tuple[int, ...], kept, shard: int):
+def _count(counts, ks: tuple[int, ...], kept, k: int, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passing = Bitmap(kept.value) if kept is not None else None
         texts: list[bytes] = []
@@ -198,13 +212,13 @@ def _count(ks: tuple[int, ...], kept, shard: int):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 for part in _pieces(text, shard):
                     if texts and size + len(part) > shard:
-                        yield from shard_counts(Shard(texts, langs), ks, passing)
+                        yield from counts(Shard(texts, langs), ks, passing, k)
                         texts, langs, size = [], [], 0
                     texts.append(part)
                     langs.append(lang)
                     size += len(part) + 1
         if texts:
-            yield from shard_counts(Shard(texts, langs), ks, passing)
+            yield from counts(Shard(texts, langs), ks, passing, k)
 
     return run
 
@@ -222,21 +236,22 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def phrase_counts(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, f): phrases of 1 to LONGEST words with f of at least least; (lang, n): all words of a language)."""
     rows = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), F.col(text_column).cast("string").alias("text")).where("text is not null")
-    found, totals, kept = [], None, None
-    for ks in PASSES:
-        counted = rows.mapInArrow(tidy(_count(ks, kept, shard), 500), COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
-        if totals is None:
-            counted = every = materialize(counted, "words")
-            totals = materialize(every.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+    count = lambda counts, ks, kept, k, schema: rows.mapInArrow(tidy(_count(counts, ks, kept, k, shard), 500), schema)
+    words = materialize(count(shard_counts, (1,), None, 0, COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")), "words")
+    totals = materialize(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+    out = materialize(words.where(F.col("f") >= least), "phrases1")
+    release(words)
+    kept = bitmap(out.mapInArrow(_hashes, "h long").distinct())
+    pairs = count(pair_counts, (2,), kept, 1, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    passing = bitmap(pairs.where(F.col("f") >= least).select("h"))
+    kept.destroy()
+    for ks, k in PASSES:
+        counted = count(shard_counts, ks, passing, k, COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
         often = materialize(counted.where(F.col("f") >= least), f"phrases{ks[0]}")
-        if ks == (1,):
-            release(every)
-        found.append(often)
-        if ks != PASSES[-1]:
-            kept = bitmap(often.mapInArrow(_hashes, "h long").distinct())
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
+        passing.destroy()
+        out = out.union(often)
+        if ks != PASSES[-1][0]:
+            passing = bitmap(often.where(F.col("k") == max(ks)).mapInArrow(_hashes, "h long").distinct())
     return out, totals
 
 
