@@ -234,3 +234,53 @@ def test_topk_with_repeated_rows(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk_search.search(vectors, vectors.where("vec_id % 20 = 0")).collect()
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [3, 3, 3, 3, 4, 4]
+
+
+def test_each_row_of_a_query_has_its_own_ranking(spark):
+    r = random.Random(8)
+    rows = [(i, [r.random() for _ in range(8)]) for i in range(1, 61) if i != 20]
+    rows += [(20, [r.random() for _ in range(8)]), (20, [r.random() for _ in range(8)])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [x for x in topk_search.search(vectors, vectors.where("vec_id = 20"), candidate_block=7, query_block=1).collect()]
+    whole = [[int(np.floor(64 * x)) for x in v] for _, v in rows]
+    want = []
+    for (i, _), q in list(zip(rows, whole, strict=True))[-2:]:
+        best = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for (j, _), c in zip(rows, whole, strict=True) if j != i)[:20]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == sorted(want)
+
+
+LONG = "This is a long paragraph of the article that goes on and on, with many words in it, so that it weighs. " * 3
+WHOLE = [
+    (f"<article><header><h1>My short title</h1></header><p>{LONG}</p></article>", ["My short title", LONG]),
+    (f"<article><p>{LONG}</p><aside>Side.</aside><p>A short closing line.</p></article>", [LONG, "A short closing line."]),
+    (f"<article><section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>One sentence.</p></section></article>", ["One", LONG, "Two", "One sentence."]),
+    (f'<article><p>{LONG}</p><p class="market-share">Shares fell.</p><p class="legal-history">It was law.</p></article>', [LONG, "Shares fell.", "It was law."]),
+    (f'<article><p>{LONG}</p><h2 id="copyright">Copyright in brief</h2><div id="search-results">Nothing was found.</div></article>', [LONG, "Copyright in brief", "Nothing was found."]),
+    (f"<article><p>Press <button>OK</button> to go on. {LONG}</p><button>Share</button><p><button>Like</button></p></article>", ["Press OK to go on. " + LONG]),
+    (f'<article><p>{LONG}</p><div class="share-buttons">Tweet</div><div class="ad">Buy</div><div class="related-links"><p>More</p></div><p>End.</p></article>', [LONG, "End."]),
+]
+
+
+@pytest.mark.parametrize("page", range(len(WHOLE)))
+def test_articles_stay_whole(page):
+    html, want = WHOLE[page]
+    assert html_extract.extract(html) == "\n\n".join(x.strip() for x in want)
+
+
+def test_every_word_of_generated_articles(spark):
+    r = random.Random(9)
+    pages, want = [], []
+    for i in range(200):
+        blocks, body = [], []
+        for k in range(r.randint(1, 12)):
+            text = " ".join(f"w{i}x{k}y{j}" for j in range(r.choice([1, 2, 5, 40, 200])))
+            blocks.append(text)
+            kind = r.choice(["<p>{}</p>", "<p class='lead legal-note'>{}</p>", "<section><p>{}</p></section>", "<section id='part'><h2>{}</h2></section>", "<ul><li>{}</ul>", "<blockquote>{}</blockquote>", "<header><h2>{}</h2></header>", "<div class='story'>{}</div>"])
+            body.append(kind.replace("{}", text))
+            body.append(r.choice(["", "<aside>no</aside>", "<div class='ad'>no</div>", "<nav><a href=x>no</a></nav>", "<button>no</button>", "<form><p>no</p></form>", "<section class='comments'><p>no, not at all</p></section>", "<script>no</script>"]))
+        tag = r.choice(["article", "main"])
+        pages.append((i, f"u{i}", f"<html><body><nav><ul><li><a href=x>no</a></ul></nav><{tag}>{''.join(body)}</{tag}><footer>no</footer></body></html>"))
+        want.append("\n\n".join(blocks))
+    got = html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert [x.text for x in sorted(got, key=lambda x: x.page_id)] == want
