@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from querent import storage
 from querent.functions.canonical import with_keys
 from querent.functions.sqltext import validate_read_only
+from querent.plans import dialect
 
 OK, REJECTED, ERROR, TIMEOUT = "ok", "rejected", "error", "timeout"
 #: Seconds and rows of a query; results kept by an executor.
@@ -187,6 +188,8 @@ class SqlExecutor:
     max_rows: int = MAX_ROWS
     stats: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("calls", "cache_hits", OK, REJECTED, ERROR, TIMEOUT), 0))
     store: ResultStore | None = None
+    #: "spark", or "sqlite" for statements of SQLite's dialect, as far as plans.dialect renders it.
+    dialect: str = "spark"
 
     def __post_init__(self):
         self.store = self.store or ResultStore(self.spark)
@@ -249,21 +252,32 @@ class SqlExecutor:
             if not fine:
                 return Execution(REJECTED, error=reason, elapsed_s=time.monotonic() - began)
         try:
+            if self.dialect == "sqlite":
+                statement = dialect.parsed(self.spark, statement, self.relations)
             if reason := refusal(self.spark, statement, self.relations):
                 return Execution(REJECTED if validate else ERROR, error=reason, elapsed_s=time.monotonic() - began)
         except Exception as e:  # the parser's
             return Execution(ERROR, error=_shown(e), elapsed_s=time.monotonic() - began)
         tag, out = f"guard-{uuid.uuid4().hex}", {}
 
+        def write(real: bool) -> None:
+            df = self.spark.sql(dialect.typed(self.spark, statement, real) if self.dialect == "sqlite" else statement)
+            out["columns"] = tuple(df.columns)
+            out["n"] = self.store.write(digest, sql, df, self.max_rows)
+
         def work() -> None:
             self.spark.sparkContext.addJobTag(tag)
             self.spark.sparkContext.setInterruptOnCancel(True)
             try:
-                df = self.spark.sql(statement)
-                out["columns"] = tuple(df.columns)
-                out["n"] = self.store.write(digest, sql, df, self.max_rows)
+                write(False)
             except Exception as e:
                 out["error"] = _shown(e)
+                if self.dialect == "sqlite" and "ARITHMETIC_OVERFLOW" in str(e):
+                    try:
+                        write(True)
+                        del out["error"]
+                    except Exception as again:
+                        out["error"] = _shown(again)
 
         thread = InheritableThread(target=work, daemon=True)
         thread.start()

@@ -1078,3 +1078,18 @@ def registered_aggregate(spark, d):
     table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
     parts = "SELECT l_returnflag, l_suppkey % 64 AS salt, count(*) AS n, avg(ln(l_extendedprice)) AS m FROM lineitem GROUP BY l_returnflag, l_suppkey % 64"
     return spark.sql(f"SELECT l_returnflag, round(exp(weighted_mean(m, CAST(n AS DOUBLE))), 4) AS middle FROM ({parts}) GROUP BY l_returnflag")
+
+
+@query("""
+SELECT o_orderkey, o_custkey // 7 AS q, CAST(NULL AS BIGINT) AS z, CAST(regexp_extract(o_orderpriority, '^[0-9]+') AS BIGINT) AS p, substr(o_orderpriority, 1, 2) AS s, CASE WHEN o_custkey > 500 THEN 'a' ELSE 'b' END AS f,
+  o_orderpriority ILIKE '%urgent' AS l, strftime(o_orderdate, '%Y-%m') AS ym, o_custkey = try_cast(left(o_orderpriority, 1) AS BIGINT) AS e FROM orders
+""")
+def sqlite_dialect(spark, d):
+    """A statement of SQLite's dialect, rendered by the types of its operands."""
+    from querent.plans import dialect
+
+    register(spark, d, ("orders",))
+    sql = """
+      SELECT [o_orderkey], o_custkey/7 AS q, o_custkey/0 AS z, CAST("o_orderpriority" AS INTEGER) AS p, substr(o_orderpriority, 0, 3) AS s, iif(o_custkey > 500, 'a', "b") AS f,
+        o_orderpriority LIKE '%urgent' AS l, strftime('%Y-%m', o_orderdate) AS ym, o_custkey = substr(o_orderpriority, 1, 1) AS e FROM orders"""
+    return spark.sql(dialect.rewrite(spark, sql, ("orders",)))
