@@ -1093,3 +1093,81 @@ def sqlite_dialect(spark, d):
       SELECT [o_orderkey], o_custkey/7 AS q, o_custkey/0 AS z, CAST("o_orderpriority" AS INTEGER) AS p, substr(o_orderpriority, 0, 3) AS s, iif(o_custkey > 500, 'a', "b") AS f,
         o_orderpriority LIKE '%urgent' AS l, strftime('%Y-%m', o_orderdate) AS ym, o_custkey = substr(o_orderpriority, 1, 1) AS e FROM orders"""
     return spark.sql(dialect.rewrite(spark, sql, ("orders",)))
+
+
+@query("""
+WITH t AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 \\n]', '', 'g') AS p FROM documents)
+SELECT doc_id, 'SELECT 1   + 2  ' AS stripped, 'SELECT ' || trim(regexp_replace(p, '[ \\n]+', ' ', 'g')) || CASE WHEN trim(p, ' ' || chr(10)) = '' THEN '' ELSE ' ' END || '''a  b''' AS plain FROM t
+""")
+def comments_and_spaces(spark, d):
+    """Statements with each document's words in their comments, and with its white space outside and a string's inside."""
+    own = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[^A-Za-z0-9 \n]", "").alias("p"))
+    line = F.regexp_replace("p", r"\n", " ")
+    commented = F.concat(F.lit("SELECT 1 /* "), F.col("p"), F.lit(" */ + 2 -- "), line)
+    spaced = F.concat(F.lit("SELECT "), F.col("p"), F.lit(" 'a  b'"))
+    return own.select("doc_id", sqltext.strip_comments(commented).alias("stripped"), sqltext.normalize_whitespace(spaced).alias("plain"))
+
+
+@query("SELECT doc_id, '\"' || replace(text, '\"', '\"\"') || '\"' AS name FROM documents")
+def quoted_names(spark, d):
+    return table(spark, d, "documents").select("doc_id", sqltext.quote_identifier(F.col("text")).alias("name"))
+
+
+@query("""
+SELECT doc_id, doc_id % 12 IN (1, 3, 4, 5, 6) AS has_from,
+  CASE doc_id % 12 WHEN 5 THEN 'WITH' WHEN 7 THEN 'REPLACE' WHEN 8 THEN 'VALUES' WHEN 11 THEN 'EXPLAIN' WHEN 2 THEN '' WHEN 10 THEN '' ELSE 'SELECT' END AS first_word FROM documents
+""")
+def from_clauses(spark, d):
+    return _statements(spark, d).select("doc_id", sqltext.has_from_clause(F.col("sql")).alias("has_from"), sqltext.leading_keyword(F.col("sql")).alias("first_word"))
+
+
+@query(f"""
+WITH {_OUTCOMES}, g AS (SELECT difficulty, count(*) AS n, round(100.0 * count(*) FILTER (WHERE official) / CAST(count(*) AS DOUBLE), 2) AS ex FROM outcomes GROUP BY difficulty)
+SELECT 'n_' || difficulty AS metric, CAST(n AS DOUBLE) AS value FROM g UNION ALL SELECT 'official_ex_' || difficulty, ex FROM g
+UNION ALL SELECT 'strict_ex', round(100.0 * count(*) FILTER (WHERE strict) / CAST(count(*) AS DOUBLE), 2) FROM outcomes UNION ALL SELECT 'n_unparsed', count(*) FILTER (WHERE NOT missing AND unparsed) FROM outcomes
+""")
+def flat_metrics(spark, d):
+    """The metrics of a run over the documents as outcomes: those by difficulty, and two of the totals."""
+    outcomes = _outcomes(spark, d)
+    totals = evaluation.report(outcomes).columns
+    rows = [(k, float(v)) for k, v in evaluation.metrics(outcomes).items() if k in ("strict_ex", "n_unparsed") or k not in totals]
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
+@query("""
+SELECT 'baseline' AS stage, 'val' AS split, count(*) AS n_samples, round(100.0 * avg(quality), 2) AS official_ex FROM labels UNION ALL SELECT 'sft', 'train', count(*), round(100.0 * avg(toxic), 2) FROM labels
+""")
+def run_ledger(spark, d):
+    """Two runs over the labels appended to a ledger and read again."""
+    from querent.sources import records
+
+    path = _scratch(spark)
+    sums = table(spark, d, "labels").agg(F.count("*").alias("n"), F.round(100 * F.avg("quality"), 2).alias("a"), F.round(100 * F.avg("toxic"), 2).alias("b")).first()
+    for stage, split, value in (("baseline", "val", sums.a), ("sft", "train", sums.b)):
+        records.append_run(spark, {"stage": stage, "split": split, "n_samples": sums.n, "metrics": {"official_ex": value}}, path)
+    return records.run_log(spark, path).select("stage", "split", "n_samples", F.col("metrics")["official_ex"].alias("official_ex"))
+
+
+@query(f"WITH {_FACTS} SELECT question_id, db_id, status, CAST(n_rows AS INTEGER) AS n_rows, CAST(n_duplicate_rows AS INTEGER) AS n_duplicate_rows, ordered AS has_top_level_order_by, elapsed_s FROM facts")
+def facts_file(spark, d):
+    """Facts written as JSON lines and scanned with their schema."""
+    from querent.sources import records
+
+    path = _scratch(spark)
+    records.write_records(_facts(spark, d), path)
+    return records.read_facts(spark, path).select("question_id", "db_id", "status", "n_rows", "n_duplicate_rows", "has_top_level_order_by", "elapsed_s")
+
+
+@query("""
+SELECT conv_id AS question_id, 3 AS n_turns, length('```sql' || chr(10) || 'SELECT ' || conv_id || chr(10) || '```') AS n_target_chars FROM conversations WHERE turn = 0
+""")
+def sft_file(spark, d):
+    """Training chats written as JSON lines and read again."""
+    from querent.sources import records
+
+    path = _scratch(spark)
+    first = table(spark, d, "conversations").where("turn = 0")
+    asked = first.select(F.col("conv_id").alias("question_id"), F.lit("star").alias("db_id"), F.col("text").alias("question"), F.lit("").alias("evidence"), F.concat(F.lit("SELECT "), F.col("conv_id").cast("string")).alias("gold_sql"))
+    chats = prompts.sft_records(asked, F.lit("CREATE TABLE t (a INTEGER);"))
+    records.write_records(chats, path)
+    return spark.read.schema(chats.schema).json(path).select("question_id", F.size("messages").alias("n_turns"), "n_target_chars")
