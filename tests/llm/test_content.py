@@ -284,3 +284,66 @@ def test_every_word_of_generated_articles(spark):
         want.append("\n\n".join(blocks))
     got = html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert [x.text for x in sorted(got, key=lambda x: x.page_id)] == want
+
+
+def plain_article(page):
+    """The text of a page like those of the tables, by plain substitution: one article, blocks at its h1, p, ul and li tags."""
+    import html
+
+    body = re.search(r"(?s)<article>(.*?)</article>", re.sub(r"(?s)<!--.*?-->|<(script|style)>.*?</\1>", "", page or ""))
+    blocks = re.split(r"</?(?:h1|p|ul|li|div)\b[^>]*>", re.sub(r"<br\s*/?>", " ", body[1] if body else ""))
+    shown = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)
+    return "\n\n".join(b for b in shown if b)
+
+
+def test_page_query(spark):
+    """The query over the whole table against plain substitution."""
+    folder = f"{DATA}/sf0.01"
+    want = sorted((p.page_id, p.url, plain_article(p.html)) for p in spark.read.parquet(f"{folder}/pages.parquet").collect())
+    got = html_extract.op7_html_extraction(spark, folder).collect()
+    assert sorted((r.page_id, r.url, r.text) for r in got) == want
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_rounds_against_a_plain_version(spark):
+    """Fitting, teaching and scoring, with all documents sorted in one list."""
+    from collections import Counter
+
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.where("doc_id % 3 = 0")
+    model = quality.fit(docs, labels, sample=150, rounds=2, share=15)
+    got = {r.id: r.score for r in quality.score(docs, model).collect()}
+
+    rows = docs.selectExpr("doc_id", "coalesce(text, '') AS text", "lang", "source", "xxhash64(coalesce(text, '')) AS mark", "xxhash64(doc_id, 11) AS turn").collect()
+    truth = {r.doc_id: float(r.quality >= 0.5) for r in labels.collect()}
+    told = sorted((r for r in rows if r.doc_id in truth), key=lambda r: (r.turn, r.doc_id))[:150]
+    free = [r for r in rows if r.doc_id not in truth]
+    known = tuple({v: i for i, v in enumerate(sorted(v for v, n in Counter(getattr(r, c) for r in told).items() if n >= quality.LEAST))} for c in ("lang", "source"))
+    vectors = lambda own: quality._vectors([(r.text, r.lang, r.source) for r in own], known)
+    lessons = quality.Lessons(known, vectors(told), np.array([truth[r.doc_id] for r in told]))
+    plain, taught = lessons.model(200), [set(), set()]
+    for _ in range(2):
+        logits = plain.logits(*vectors(free))
+        chosen = {}
+        for teacher, label in quality.GROUPS:
+            sure = {r.doc_id: float(p) for r, p in zip(free, 1 / (1 + np.exp(-(1 if label else -1) * logits[:, teacher])), strict=True)}
+            own = sorted((r for r in free if sure[r.doc_id] >= quality.SURE and r.doc_id not in taught[1 - teacher]), key=lambda r: (-sure[r.doc_id], r.doc_id, r.mark))
+            chosen[teacher, label] = own[:15]
+        for (teacher, label), own in chosen.items():
+            if own:
+                lessons.teach(1 - teacher, label, vectors(own)[1 - teacher])
+                taught[1 - teacher] |= {r.doc_id for r in own}
+        plain = lessons.model(60)
+    want = plain.scores(*vectors(rows))[2]
+    off = [abs(got[r.doc_id] - float(w)) for r, w in zip(rows, want, strict=True)]
+    assert taught[0] and np.mean([x < 1e-3 for x in off]) > 0.99  # beyond ties in the last digits of how sure a view is
+
+
+def test_quality_with_clashing_columns_and_no_documents(spark):
+    rows = [(i, ("good plain words of a text " if i % 2 else "x1 #! 99 zz ") * 9, "en", 5, "m", 0.5, 1, 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, id int, mark string, score double, salt int, which int")
+    labels = spark.createDataFrame([(i, i % 2, 0, 7) for i in range(40)], "doc_id long, quality int, toxic int, mark int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 60 and all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
+    assert quality.keep_good(docs, labels).columns == docs.columns
+    assert quality.classify(docs.limit(0), labels).count() == 0
