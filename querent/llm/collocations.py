@@ -306,3 +306,21 @@ def collocations(docs: DataFrame, lang_column: str = "lang", text_column: str =
 def op11_phrase_collocations(spark, sf_dir: str) -> DataFrame:
     """The collocations of each language of documents."""
     return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text"))
+
+
+ORACLE_OP11 = """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \\x09]+') AS w FROM t),
+g AS (SELECT lang, k, unnest([array_to_string(w[i : i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM w, range(1, 6) r(k)),
+c AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL), n AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY lang),
+p AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS words FROM c WHERE f >= 100 AND k > 1),
+cut AS (SELECT *, unnest(range(1, k)) AS cut FROM p),
+s AS (SELECT cut.lang, cut.phrase, a, cut, x.f AS l, y.f AS r, n, (1000::HUGEINT * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+      FROM cut JOIN n USING (lang) JOIN c x ON x.lang = cut.lang AND x.phrase = array_to_string(words[1 : cut], ' ') JOIN c y ON y.lang = cut.lang AND y.phrase = array_to_string(words[cut + 1 :], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM s),
+inner_ AS (SELECT lang, a, unnest(flatten([[array_to_string(words[i : i + m - 1], ' ') FOR i IN range(1, k - m + 2)] FOR m IN range(2, k)])) AS phrase FROM p),
+gone AS (SELECT lang, phrase, max(a) AS longest FROM inner_ GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN gone ON b.lang = gone.lang AND b.phrase = gone.phrase
+      WHERE best = 1 AND (longest IS NULL OR 100 * longest < 100 * a))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000
+"""

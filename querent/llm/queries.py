@@ -23,4 +23,5 @@ QUERIES = {
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE_OP5,
     "op8_exact_topk_search": topk_search.ORACLE_OP8,
+    "op11_phrase_collocations": collocations.ORACLE_OP11,
 }
