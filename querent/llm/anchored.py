@@ -137,7 +137,7 @@ def bitmap(hashes: DataFrame):
     slots = hashes.select(F.pmod(F.col("h"), F.lit(BITS)).alias("slot"))
     dealt = slots.repartition((F.col("slot") / BLOCK).cast("int"))
     data = bytearray(BITS // 8)
-    for row in dealt.mapInArrow(_blocks, "block int, data binary").toLocalIterator():
+    for row in dealt.mapInArrow(_blocks, "block int, data binary").collect():  # one job; an iterator would take one a partition
         data[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = row.data
     return hashes.sparkSession.sparkContext.broadcast(bytes(data))
 
@@ -161,14 +161,13 @@ def spot(*columns: np.ndarray) -> np.ndarray:
     return found
 
 
-def _emit(slices: Sequences, window: int, k: int, kept, payload, kind: str, only=None):
-    """Seeds of texts: their hashes, what they are, or their spans' text; of documents in the bitmap only, where it is given."""
+def _emit(slices: Sequences, window: int, k: int, kept, payload, kind: str):
+    """Seeds of texts: their hashes, what they are, or the text of those that stand first, whose documents and places are in the bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passing = Bitmap(kept.value) if kept is not None else None
-        wanted = Bitmap(only.value) if only is not None else None
         for batch in batches:
-            if wanted is not None:
-                batch = batch.filter(pa.array(wanted.holds(spot(pc.fill_null(batch.column("id"), 0).to_numpy(), batch.column("mark").to_numpy()))))
+            if kind == "payload":  # documents in which no string stands first needn't be cut into symbols again
+                batch = batch.filter(pa.array(passing.holds(spot(pc.fill_null(batch.column("id"), 0).to_numpy(), batch.column("mark").to_numpy()))))
             texts = batch.column("text").to_pylist()
             ids, marks = batch.column("id"), batch.column("mark")
             numbers = (pc.fill_null(ids, 0).to_numpy(), marks.to_numpy())
@@ -379,12 +378,11 @@ def repeats(rows: DataFrame, slices: Sequences, window: int, k: int, payload, cu
     found = materialize(rows.mapInArrow(_emit(slices, window, k, passing, None, "seed"), _SEED), "seeds")
     strings = found.groupBy("g", "name").agg(F.min(place()).alias("first"), F.count("*").alias("n"))
     strings = materialize(strings.select("g", "name", "first.*", "n"), "strings")
-    first = bitmap(strings.select(F.xxhash64(F.coalesce("id", F.lit(0).cast("long")), "mark", F.col("start").cast("long")).alias("h")))
-    # Documents in which no string stands first needn't be cut into words again.
-    bearing = bitmap(strings.select(F.xxhash64(F.coalesce("id", F.lit(0).cast("long")), "mark").alias("h")).distinct())
-    texts = rows.mapInArrow(_emit(slices, window, k, first, payload, "payload", bearing), f"{_SEED}, reach int, payload binary")
+    id_ = F.coalesce("id", F.lit(0).cast("long"))
+    marks = F.array(F.xxhash64(id_, "mark", F.col("start").cast("long")), F.xxhash64(id_, "mark"))
+    first = bitmap(strings.select(F.explode(marks).alias("h")))
+    texts = rows.mapInArrow(_emit(slices, window, k, first, payload, "payload"), f"{_SEED}, reach int, payload binary")
     texts = materialize(texts, "texts")
-    bearing.destroy()
     empty = lambda kind: F.lit(None).cast(kind)
     both = strings.select("g", "name", "id", "mark", "start", "n", empty("int").alias("windows"), empty("int").alias("reach"), empty("binary").alias("payload"))
     both = both.unionByName(texts.withColumn("n", F.lit(0).cast("long")))
