@@ -132,12 +132,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), pa.array(data, pa.binary())], ["block", "data"])
 
 
-def bitmap(hashes: DataFrame):
-    """A broadcast Bitmap of the one column h (long), whose rows are distinct. BITS bits reach the driver, whatever the input."""
+def bitmap(hashes: DataFrame, at_once: bool = False):
+    """A broadcast Bitmap of the one column h (long). BITS bits reach the driver, whatever the input: at_once in one job, else a part after the other, which takes less memory."""
     slots = hashes.select(F.pmod(F.col("h"), F.lit(BITS)).alias("slot"))
     dealt = slots.repartition((F.col("slot") / BLOCK).cast("int"))
     data = bytearray(BITS // 8)
-    for row in dealt.mapInArrow(_blocks, "block int, data binary").collect():  # one job; an iterator would take one a partition
+    blocks = dealt.mapInArrow(_blocks, "block int, data binary")
+    for row in blocks.collect() if at_once else blocks.toLocalIterator():
         data[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = row.data
     return hashes.sparkSession.sparkContext.broadcast(bytes(data))
 
@@ -338,7 +339,7 @@ class _Search:
         many, tasks = None, min(TASKS, max(16, sizes.count() // TASK))
         if width > 1:
             counted = self.keep(sizes.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > self.hot).select("g"), "hot")
-            many = None if counted.isEmpty() else bitmap(counted.select(F.col("g").alias("h")))
+            many = None if counted.isEmpty() else bitmap(counted.select(F.col("g").alias("h")), at_once=True)
         mild = strings if many is None else strings.mapInArrow(_routed(many, False), _STRING)
         dealt = mild.repartition(tasks, "g").sortWithinPartitions("g", "name", "id", "mark", "start", F.desc("n"))
         run, schema = _compared(self.compare)
@@ -373,14 +374,14 @@ def repeats(rows: DataFrame, slices: Sequences, window: int, k: int, payload, cu
     """
     counted = rows.select("id", "mark", "text").mapInArrow(_emit(slices, window, k, None, None, "hash"), "g long")
     again = materialize(counted.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("h")), "again")
-    passing = bitmap(again)
+    passing = bitmap(again, at_once=True)
     release(again)
     found = materialize(rows.mapInArrow(_emit(slices, window, k, passing, None, "seed"), _SEED), "seeds")
     strings = found.groupBy("g", "name").agg(F.min(place()).alias("first"), F.count("*").alias("n"))
     strings = materialize(strings.select("g", "name", "first.*", "n"), "strings")
     id_ = F.coalesce("id", F.lit(0).cast("long"))
     marks = F.array(F.xxhash64(id_, "mark", F.col("start").cast("long")), F.xxhash64(id_, "mark"))
-    first = bitmap(strings.select(F.explode(marks).alias("h")))
+    first = bitmap(strings.select(F.explode(marks).alias("h")), at_once=True)
     texts = rows.mapInArrow(_emit(slices, window, k, first, payload, "payload"), f"{_SEED}, reach int, payload binary")
     texts = materialize(texts, "texts")
     empty = lambda kind: F.lit(None).cast(kind)
