@@ -592,7 +592,12 @@ def oracle_tables(spark, d):
     return linking.oracle_tables(gold, tables).select("question_id", "table")
 
 
-@query()
+@query("""
+WITH l AS (SELECT source, lang, list({'names': [CAST(doc_id AS VARCHAR)], 'text': text, 'chars': length(text), 'n': 1} ORDER BY doc_id) AS v FROM documents GROUP BY source, lang),
+f AS (SELECT source, lang, list_reduce(v, lambda a, b: CASE WHEN a.chars + 2 + b.chars <= 2000
+  THEN {'names': list_concat(a.names, b.names), 'text': a.text || chr(10) || chr(10) || b.text, 'chars': a.chars + 2 + b.chars, 'n': a.n + 1} ELSE {'names': a.names, 'text': a.text, 'chars': a.chars, 'n': a.n + 1} END) AS f FROM l)
+SELECT source, lang, f.names AS names, f.text AS text, f.chars AS chars, len(f.names) < f.n OR f.chars > 2000 AS exceeded FROM f
+""")
 def budgeted_blocks(spark, d):
     """Documents of each language as blocks within a budget a source."""
     docs = table(spark, d, "documents")
