@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
@@ -105,8 +105,10 @@ def windowed(events: DataFrame, length: str = "1 hour", slide: str | None = None
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Sessions of each user, apart by gaps; in append mode each once it can't grow any more."""
-    return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    """Sessions of each user, apart by gap or more; in append mode each once the watermark has passed its end. run_sessions joins those that a late row was let through to."""
+    # Spark's sessions also hold rows that are exactly their gap apart, so it is less by the least difference.
+    apart = F.session_window("ts", f"{gap} -1 microseconds")
+    return events.withWatermark("ts", delay).groupBy(apart, "user_id").agg(F.count("*").alias("n"))
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -116,6 +118,25 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_sessions(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All input that is there through a stream of sessions; those that ended, as if each had been made of all its rows at once.
+
+    A row up to a gap behind the watermark is let through, and a session it belongs to may have come already: the row then
+    starts another, which is joined to it here. What is joined to a session still in the state hasn't ended.
+    """
+    ended = run_to_files(stream, path, checkpoint)
+    state = stream.sparkSession.read.format("statestore").load(checkpoint).select("value.*")
+    # Only where these lie counts.
+    still = state.select("session_window", "user_id", F.lit(0).cast("long").alias("n"), F.lit(True).alias("open"))
+    found = ended.select("session_window", "user_id", "n", F.lit(False).alias("open")).unionByName(still)
+    by_start = Window.partitionBy("user_id").orderBy("session_window.start")
+    before = F.max("session_window.end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(F.col("session_window.start") > before, F.lit(True)).cast("int")
+    numbered = found.withColumn("new", new).withColumn("k", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = F.struct(F.min("session_window.start").alias("start"), F.max("session_window.end").alias("end")).alias("session_window")
+    return numbered.groupBy("user_id", "k").agg(whole, F.sum("n").alias("n"), F.max("open").alias("open")).where("not open").select(*ended.columns)
+
+
 def keep_latest(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """All input that is there through an aggregate in complete mode; the newest result stands under path as Parquet."""
     query = stream.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint)
