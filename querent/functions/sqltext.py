@@ -179,24 +179,28 @@ def extract_sql(text: Column) -> Column:
 
 def validate_read_only(sql: Column) -> Column:
     """struct<ok, statement, reason>: whether the text is exactly one read-only statement."""
-    text = strip(_text(sql))
-    statements = split_statements(text)
-    statement = F.coalesce(F.try_element_at(statements, F.lit(1)), F.lit(""))
-    # The first word and the first forbidden one, from one look at the words.
     bad = lambda w: w["word"].isin(*FORBIDDEN_WORDS) & ~(w["word"].isin(*FUNCTION_FORMS) & (w["next"] == "("))
-    told = _let(code_words(statement), lambda words: F.struct(
-        F.coalesce(F.try_element_at(words, F.lit(1))["word"], F.lit("")).alias("keyword"), F.try_element_at(F.filter(words, bad), F.lit(1))["word"].alias("bad"),
-    ))
-    keyword, first_bad = told["keyword"], told["bad"]
-    reason = (
-        F.when(text == "", "empty query")
-        .when(F.size(statements) == 0, "no executable statement")
-        .when(F.size(statements) > 1, F.concat(F.lit("expected 1 statement, found "), F.size(statements).cast("string")))
-        .when(~keyword.isin(*READ_ONLY_LEADING), F.concat(F.lit("statement starts with "), F.when(keyword == "", "<none>").otherwise(keyword)))
-        .when(first_bad.isNotNull(), F.concat(F.lit("forbidden keyword "), first_bad))
-    )
-    known = (text != "") & (F.size(statements) == 1)
-    return F.struct(reason.isNull().alias("ok"), F.when(known, statement).otherwise("").alias("statement"), reason.alias("reason"))
+
+    # The text, its statements and their words are each made once: the verdict looks at them many times.
+    def of_statements(text: Column, statements: Column) -> Column:
+        first = F.coalesce(F.try_element_at(statements, F.lit(1)), F.lit(""))
+        return _let(code_words(first), lambda words: _let(
+            F.struct(F.coalesce(F.try_element_at(words, F.lit(1))["word"], F.lit("")).alias("keyword"), F.try_element_at(F.filter(words, bad), F.lit(1))["word"].alias("bad")),
+            lambda told: verdict(text, statements, first, told["keyword"], told["bad"]),
+        ))
+
+    def verdict(text: Column, statements: Column, first: Column, keyword: Column, first_bad: Column) -> Column:
+        reason = (
+            F.when(text == "", "empty query")
+            .when(F.size(statements) == 0, "no executable statement")
+            .when(F.size(statements) > 1, F.concat(F.lit("expected 1 statement, found "), F.size(statements).cast("string")))
+            .when(~keyword.isin(*READ_ONLY_LEADING), F.concat(F.lit("statement starts with "), F.when(keyword == "", "<none>").otherwise(keyword)))
+            .when(first_bad.isNotNull(), F.concat(F.lit("forbidden keyword "), first_bad))
+        )
+        known = (text != "") & (F.size(statements) == 1)
+        return F.struct(reason.isNull().alias("ok"), F.when(known, first).otherwise("").alias("statement"), reason.alias("reason"))
+
+    return _let(strip(_text(sql)), lambda text: _let(split_statements(text), lambda statements: of_statements(text, statements)))
 
 
 def format_target(gold_sql: Column) -> Column:
@@ -212,7 +216,7 @@ def quote_identifier(name: Column, quote: str = '"') -> Column:
 
 def without_values(sql: Column) -> Column:
     """Folded text without strings and comments, quotes of identifiers stripped, spans apart by spaces: where table names are looked for."""
-    def one(s: Column) -> Column:
-        return F.when(s["kind"].isin("string", "comment"), F.lit(" ")).otherwise(F.regexp_replace(s["text"], r'\A["`\[\]]+|["`\[\]]+\z', ""))
+    def one(t: Column) -> Column:
+        return F.when(_kind(t).isin("string", "comment"), F.lit(" ")).otherwise(F.regexp_replace(t, r'\A["`\[\]]+|["`\[\]]+\z', ""))
 
-    return F.lower(F.array_join(F.transform(scan(sql), one), " "))
+    return F.lower(F.array_join(F.transform(spans(sql), one), " "))
