@@ -149,9 +149,14 @@ def linked_tables(questions: DataFrame, tables: DataFrame, columns: DataFrame, f
 def oracle_tables(examples: DataFrame, tables: DataFrame) -> DataFrame:
     """(question_id, db_id, table): tables whose names stand in the gold query outside strings and comments."""
     cleaned = examples.select("question_id", "db_id", without_values(F.col("gold_sql")).alias("sql"))
-    guard = r"(?<![a-z0-9_$])\Q"
-    pattern = F.concat(F.lit(guard), F.replace(fold(F.col("table")), F.lit(r"\E"), F.lit("")), F.lit(r"\E(?![a-z0-9_$])"))
-    return cleaned.join(tables.select("db_id", "table"), "db_id").where(F.regexp(F.col("sql"), pattern)).select("question_id", "db_id", "table")
+    named = tables.select("db_id", "table", fold(F.col("table")).alias("word"))
+    # A name of word characters stands where a run of these equals it: the query's words are looked up. Others are searched for.
+    plain = F.col("word").rlike(r"\A[a-z0-9_$]+\z")
+    words = cleaned.select("question_id", "db_id", F.explode_outer(F.array_distinct(F.regexp_extract_all("sql", F.lit("([a-z0-9_$]+)"), F.lit(1)))).alias("word"))
+    found = words.join(named.where(plain), ["db_id", "word"]).select("question_id", "db_id", "table")
+    pattern = F.concat(F.lit(r"(?<![a-z0-9_$])\Q"), F.replace("word", F.lit(r"\E"), F.lit("")), F.lit(r"\E(?![a-z0-9_$])"))
+    odd = cleaned.join(named.where(~plain), "db_id").where(F.regexp("sql", pattern)).select("question_id", "db_id", "table")
+    return found.union(odd)
 
 
 def _connected(asked: pd.DataFrame, schema: pd.DataFrame) -> pd.DataFrame:

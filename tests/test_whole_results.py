@@ -60,3 +60,29 @@ def test_rollouts_that_raise_together_only_are_scored_apart(spark):
 
     rows = rewards.compute_scores(spark.range(100).withColumnRenamed("id", "rollout_id"), None, scorer=scorer).collect()
     assert sorted((r.rollout_id, r.reward, r.error) for r in rows) == [(i, 1.0, None) for i in range(100)]
+
+
+def test_names_in_gold_queries_as_by_search(spark):
+    """Names of word characters are looked up, others searched for; a search of every name gives the same."""
+    import re
+
+    from querent.operators import linking
+
+    names = ["orders", "Order Details", "order", "a$b", "Straße", "x-y", "details", "dup", "DUP"]
+    texts = ["SELECT * FROM orders, [Order Details] -- order", "SELECT a$b, 'dup' FROM `strasse` JOIN x-y", "select dup.a from DUP", "SELECT 1", None, "SELECT orders_x FROM my_order, Order"]
+    tables = spark.createDataFrame([("d", n) for n in names] + [("e", "orders")], "db_id string, table string")
+    gold = spark.createDataFrame([(i, "d", t) for i, t in enumerate(texts)], "question_id int, db_id string, gold_sql string")
+    got = sorted((r.question_id, r.table) for r in linking.oracle_tables(gold, tables).collect())
+    bare = [re.sub(r"--.*|'[^']*'|[`\[\]]", " ", t or "").lower() for t in texts]
+    fold = lambda n: n.lower().replace("ß", "ss")
+    assert got == sorted((i, n) for i, t in enumerate(bare) for n in names if re.search(rf"(?<![a-z0-9_$]){re.escape(fold(n))}(?![a-z0-9_$])", t))
+
+
+def test_a_verdict_looks_at_a_statement_once(spark):
+    """The text is cut into statements once, not once for every use of them."""
+    from pyspark.sql import functions as F
+
+    from querent.functions import sqltext
+
+    plan = spark.range(1).select(sqltext.validate_read_only(F.concat(F.lit("SELECT "), F.col("id").cast("string"))))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("\x01b") <= 4
