@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm.bpe import mix
-from querent.llm.common import materialize, once, release, text_of, tidy
+from querent.llm.common import materialize, once, release, text_of, tidy, trim
 
 #: Bits of a bitmap (16 MiB), and of one of the blocks that tasks build.
 BITS, BLOCK = 1 << 27, 1 << 16
@@ -140,7 +140,11 @@ def bitmap(hashes: DataFrame, at_once: bool = False):
     blocks = dealt.mapInArrow(_blocks, "block int, data binary")
     for row in blocks.collect() if at_once else blocks.toLocalIterator():
         data[row.block * BLOCK // 8 : (row.block + 1) * BLOCK // 8] = row.data
-    return hashes.sparkSession.sparkContext.broadcast(bytes(data))
+    try:
+        return hashes.sparkSession.sparkContext.broadcast(data)
+    finally:
+        del data
+        trim()
 
 
 Sequences = Callable[[list[str]], Iterator[tuple[int, int, np.ndarray, np.ndarray]]]

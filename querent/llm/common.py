@@ -31,6 +31,13 @@ def once(key: Any, build: Callable[[], Any]) -> Any:
     return _KEPT[key]
 
 
+def trim() -> None:
+    """Give memory that this process freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a system without it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 0):
     """run over batches of at most rows (0: as they come), giving the memory that it freed back to the system at its end.
 
@@ -44,9 +51,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ro
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(cut(batches))
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # a system without it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
 
     return tidied
 
