@@ -30,8 +30,10 @@ CANDIDATES, QUERIES = 4096, 1024
 GRID, CELL = 24, 8
 #: Dimensions accumulated between two compactions.
 STEP = 16
-#: Integers of float64 up to this are exact.
-EXACT = 1 << 53
+#: Queries whose steps are one product, while this share of their candidates is left.
+TOGETHER, MANY = 64, 0.2
+#: Scores up to these are exact as float64 and float32, with room for the rounding of bounds beside them.
+EXACT, EXACT_SINGLE = 1 << 51, 1 << 22
 
 
 def _pack(size: int):
@@ -76,38 +78,68 @@ def best(
             order = sorted((j for j in range(len(c_ids)) if c_ids[j] != query), key=lambda j: (-full[i, j], c_ids[j]))[:top]
             yield int(query), c_ids[order], full[i, order]
         return
+    # Sums of squares decide too, so single precision serves where all of these are exact.
+    largest = max(float(np.abs(x).max(initial=0)) for x in (q, c))
+    kind, loose = (np.float32, 1e-5) if largest * largest * max(1, dims) < EXACT_SINGLE else (np.float64, 1e-9)
+    q, c = q.astype(kind), c.astype(kind)
     square = np.square(c)
-    mass = square.sum(axis=0)
-    for i, query in enumerate(q_ids):
-        own = q[:, i]
-        order = np.argsort(-np.abs(own), kind="stable")
-        alive = np.flatnonzero(c_ids != query)
-        partial, rest = np.zeros(len(alive)), mass[alive]
-        bound = -np.inf if floors is None else floors[i]
-        for at in range(0, dims, step):
+    for first in range(0, len(q_ids), TOGETHER):
+        ids, own = q_ids[first : first + TOGETHER], q[:, first : first + TOGETHER].T
+        order = np.argsort(-np.abs(own), axis=1, kind="stable")
+        place = np.argsort(order, axis=1, kind="stable")
+        bound = np.full(len(ids), -np.inf) if floors is None else floors[first : first + TOGETHER].astype(np.float64)
+        fresh = np.flatnonzero(bound == -np.inf)
+        alive, partial, at = c_ids != ids[:, None], np.zeros((len(ids), c.shape[1]), kind), 0
+        # While many are left, each step is a product for all queries of the group, in which each has its own dimensions.
+        while at < dims and (not at or np.count_nonzero(alive) >= alive.size * MANY):
             if at + step >= dims and reached is not None:
-                reached.append(len(alive))
-            block = order[at : at + step]
-            # Whole rows while most are left, else only the places of those.
-            where = (block,) if len(alive) == c.shape[1] else np.ix_(block, alive)
-            partial += own[block] @ c[where]
-            if at + step >= dims:
+                reached.extend(np.count_nonzero(alive, axis=1).tolist())
+            partial += np.where((place >= at) & (place < at + step), own, 0) @ c
+            at += step
+            if at >= dims:
                 break
-            rest = np.maximum(rest - square[where].sum(axis=0), 0)
-            slack = np.sqrt(rest) * (np.sqrt(np.square(own[order[at + step :]]).sum()) * (1 + 1e-9)) + 1e-6
-            if len(alive) > top:
-                bound = max(bound, np.partition(partial - slack, len(alive) - top)[len(alive) - top])
-            kept = np.flatnonzero(partial + slack >= bound)
-            alive, partial, rest = alive[kept], partial[kept], rest[kept]
-        ids, scores = c_ids[alive], partial.astype(np.int64)
-        if len(scores) > top:
-            # All that tie with the last place compete by id.
-            kept = scores >= np.partition(scores, len(scores) - top)[len(scores) - top]
-            ids, scores = ids[kept], scores[kept]
-        rank = np.lexsort((ids, -scores))[:top]
-        if floors is not None and len(rank) == top:
-            floors[i] = max(floors[i], scores[rank[-1]])
-        yield int(query), ids[rank], scores[rank]
+            later = place >= at
+            slack = np.sqrt(later.astype(kind) @ square)
+            slack *= (np.sqrt((np.square(own, dtype=np.float64) * later).sum(axis=1)) * (1 + loose)).astype(kind)[:, None]
+            slack += kind(0.01)
+            if alive.shape[1] > top and len(fresh):
+                low = np.where(alive[fresh], partial[fresh] - slack[fresh], -np.inf)
+                bound[fresh] = np.maximum(bound[fresh], np.partition(low, low.shape[1] - top, axis=1)[:, low.shape[1] - top])
+            slack += partial
+            alive &= slack >= (bound - 1).astype(kind)[:, None]
+        for i in range(len(ids)):
+            left = np.flatnonzero(alive[i])
+            found = _finish(own[i], order[i], at, left, partial[i, left], c, square, top, step, bound[i], loose, reached)
+            near, scores = c_ids[found[0]], found[1].astype(np.int64)
+            if len(scores) > top:
+                # All that tie with the last place compete by id.
+                kept = scores >= np.partition(scores, len(scores) - top)[len(scores) - top]
+                near, scores = near[kept], scores[kept]
+            rank = np.lexsort((near, -scores))[:top]
+            if floors is not None and len(rank) == top:
+                floors[first + i] = max(floors[first + i], scores[rank[-1]])
+            yield int(ids[i]), near[rank], scores[rank]
+
+
+def _finish(
+    own: np.ndarray, order: np.ndarray, at: int, alive: np.ndarray, partial: np.ndarray, c: np.ndarray, square: np.ndarray, top: int, step: int, bound: float, loose: float, reached: list[int] | None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of one query's candidates that no bound excludes, from dimension at of its order on."""
+    dims = len(order)
+    while at < dims:
+        if at + step >= dims and reached is not None:
+            reached.append(len(alive))
+        block, later = order[at : at + step], order[at + step :]
+        partial = partial + own[block] @ c[np.ix_(block, alive)]
+        at += step
+        if at >= dims:
+            break
+        slack = np.sqrt(square[np.ix_(later, alive)].sum(axis=0)) * own.dtype.type(np.sqrt(np.square(own[later], dtype=np.float64).sum()) * (1 + loose)) + own.dtype.type(0.01)
+        if len(alive) > top:
+            bound = max(bound, np.partition(partial - slack, len(alive) - top)[len(alive) - top])
+        kept = np.flatnonzero(partial + slack >= bound - 1)
+        alive, partial = alive[kept], partial[kept]
+    return alive, partial
 
 
 def _unpack(data: bytes, dims: int, n: int) -> np.ndarray:
@@ -132,7 +164,7 @@ def _search(top: int):
                         pa.array(np.repeat(keys, sizes), pa.int64()),
                         pa.array(np.repeat([f[0] for f in found], sizes), pa.int64()),
                         pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)),
-                        pa.array([int(x) for f in found for x in f[2]], pa.int64()),
+                        pa.array(np.concatenate([f[2] for f in found]), pa.int64()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, ["key", "query_id", "vec_id", "score"])
 

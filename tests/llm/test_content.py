@@ -229,6 +229,30 @@ def test_branch_and_bound_compacts_and_stays_exact():
         assert [(-int(s), int(i)) for s, i in zip(scores, own)] == want
 
 
+def test_what_large_components_hide_still_counts_for_bounds():
+    """The candidate's later component is lost beside the square of its first one, but decides."""
+    q, c = np.zeros((32, 1)), np.zeros((32, 31))
+    q[:16], q[16:] = 2, 1
+    c[0] = 2.0**40
+    c[1, :30], c[20, 30] = 250, 1000
+    [(_, ids, scores)] = topk_search.best(np.array([99]), q, np.arange(31), c)
+    assert (ids[0], scores[0]) == (30, (1 << 41) + 1000) and list(ids[1:]) == list(range(19))
+
+
+@pytest.mark.parametrize(("scale", "n"), [(20, 150), (3000, 70), (1, 12)])
+def test_groups_of_queries_find_what_all_scores_give(scale, n):
+    r = np.random.default_rng(scale)
+    c = np.floor(scale * r.normal(size=(40, n * 9)))
+    ids, floors = r.permutation(n * 9).astype(np.int64), np.full(n, -np.inf)
+    found = {}
+    for half in np.array_split(np.arange(n * 9), 2):
+        for query, own, scores in topk_search.best(ids[:n], c[:, :n], ids[half], c[:, half], floors=floors):
+            found.setdefault(query, []).extend(zip((-scores).tolist(), own.tolist(), strict=True))
+    for i, query in enumerate(ids[:n]):
+        want = sorted((-int(s), int(j)) for s, j in zip(c.T @ c[:, i], ids, strict=True) if j != query)[:20]
+        assert sorted(found[query])[:20] == want
+
+
 def test_topk_with_repeated_rows(spark):
     rows = [(20, [1.0, 0.5]), (20, [1.0, 0.5]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (4, [0.1, 0.1])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
