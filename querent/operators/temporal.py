@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a task that puts one side of a range join in order; so many longs fit a Parquet dictionary's megabyte.
+TASK = 100_000
+
 
 def _bucket(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(width)).cast("long")
@@ -39,9 +42,16 @@ def range_join(points: DataFrame, spans: DataFrame, at: Column, low: Column, hig
     """Pairs of points and spans with low <= at < high: an equi-join on buckets of width, then the exact condition.
 
     A span is copied to the buckets it touches, so width should be about a span's length; without buckets the
-    join would compare all pairs.
+    join would compare all pairs. Both sides come in order, so near points meet the same spans one after the other:
+    the pairs, which may be far more than the rows of both, take little room where columns are written by dictionary.
     """
-    cut = points.withColumn("_b", _bucket(at, width)).withColumn("_at", at)
-    ends = spans.withColumn("_low", low).withColumn("_high", high).where("_low < _high")
+
+    def ordered(df: DataFrame, by: str) -> DataFrame:
+        parts = max(16, df.count() // TASK)
+        ties = F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))
+        return df.repartitionByRange(parts, by, ties).sortWithinPartitions(by)
+
+    cut = ordered(points.withColumn("_at", at), "_at").withColumn("_b", _bucket(F.col("_at"), width))
+    ends = ordered(spans.withColumn("_low", low).withColumn("_high", high).where("_low < _high"), "_low")
     touched = ends.withColumn("_b", F.explode(F.sequence(_bucket(F.col("_low"), width), _bucket(F.col("_high"), width))))
     return cut.join(touched, "_b").where("_low <= _at and _at < _high").drop("_b", "_at", "_low", "_high")

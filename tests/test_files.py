@@ -129,6 +129,17 @@ def test_joins_by_nearness(spark):
     assert sorted((r.s, r.i) for r in pairs) == [(1, i) for i in range(2, 10)] + [(3, 38), (3, 39)]
 
 
+def test_pairs_of_a_range_join_come_in_order_and_take_little_room(spark, tmp_path):
+    points = spark.range(20_000).select(F.col("id").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(100_000)) / 1000).alias("t"))
+    spans = spark.range(2_000).select(F.col("id").alias("s"), (F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(100_000)) / 1000).alias("low"))
+    found = temporal.range_join(points, spans, F.col("t"), F.col("low"), F.col("low") + 0.5, 0.5)
+    found.select("i", "s").write.parquet(str(tmp_path / "out"))
+    pairs = spark.read.parquet(str(tmp_path / "out"))
+    every = points.join(spans, (F.col("low") <= F.col("t")) & (F.col("t") < F.col("low") + 0.5)).select("i", "s")
+    assert pairs.count() == every.count() and pairs.exceptAll(every).isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1.9 * pairs.count()
+
+
 def test_shown_ids(spark):
     rows = spark.range(25).withColumnRenamed("id", "question_id")
     got = slices.shown_ids(rows).first()
