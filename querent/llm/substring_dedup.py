@@ -22,18 +22,8 @@ from querent.llm.common import once
 
 #: Words of a window, and of an anchor.
 WINDOW, K = 20, 10
-#: Words kept with their hashes by a worker before it starts anew.
-KEPT = 500_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= KEPT:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word, 20)
-        return found
+#: Bytes of texts cut into words at once, and of a word beyond which it is hashed by itself.
+BYTES, LONG = 1 << 18, 128
 
 
 def words_of(text: str) -> list[bytes]:
@@ -41,17 +31,47 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of text: eight bytes after the other, each step reversible, in all words at once."""
+    space = once("space", lambda: np.isin(np.arange(256), list(b" \t\n\v\f\r")))
+    data = np.frombuffer(b" " + text + bytes(8), np.uint8)  # eight bytes can be read at the last one
+    gap = space[data]
+    gap[-8:] = True
+    turn = np.flatnonzero(gap[1:] != gap[:-1])
+    start, size = turn[::2] + 1, turn[1::2] - turn[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data.data, strides=(1,))
+    found = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    long = size > LONG
+    own = np.flatnonzero(~long)
+    for at in range(0, LONG, 8):
+        own = own[size[own] > at]
+        if not len(own):
+            break
+        lane, left = eight[start[own] + at], np.minimum(size[own] - at, 8).astype(np.uint64)
+        x = found[own] ^ (lane & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - (left << np.uint64(3)))))
+        for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x ^= x >> np.uint64(30)
+            x *= np.uint64(odd)
+        found[own] = x ^ (x >> np.uint64(31))
+    if long.any():
+        import xxhash
+
+        for i in np.flatnonzero(long).tolist():
+            found[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]].tobytes(), 20)
+    return start - 1, found
+
+
 def word_slices(texts: list[str]):
     """Texts as sequences of word hashes, in slices."""
-    known = once("word hashes", _Hashes)
-    at, held, sizes = 0, [], []
+    at, held, total = 0, [], 0
     for i, text in enumerate(texts):
-        words = words_of(text)
-        held.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        sizes.append(len(words))
-        if sum(sizes) >= anchored.SLICE // 2 or i + 1 == len(texts):
-            yield at, i + 1, np.concatenate(held), np.r_[0, np.cumsum(np.array(sizes, np.int64))]
-            at, held, sizes = i + 1, [], []
+        held.append(text.encode())
+        total += len(held[-1]) + 1
+        if total >= BYTES or i + 1 == len(texts):
+            start, found = word_hashes(b" ".join(held))
+            ends = np.cumsum(np.array([len(x) + 1 for x in held], np.int64))
+            yield at, i + 1, found, np.r_[0, np.searchsorted(start, ends)]
+            at, held, total = i + 1, [], 0
 
 
 def _words(window: int):

@@ -197,6 +197,35 @@ def plain_bytes(rows):
     return want
 
 
+def test_words_are_hashed_in_all_texts_at_once():
+    r = random.Random(3)
+    parts = ["a", "bb", " ", "\t", "\n", "\v", "\f", "\r", "\0", "\x1c", "\x85", "\xa0", "é", "a\0", "12345678", "123456789"]
+    texts = ["".join(r.choice([*parts, "x" * r.randrange(1, 300)]) for _ in range(r.randrange(60))) for _ in range(3000)] + ["", " ", "x "]
+    known = {}
+    for at, to, found, bounds in substring_dedup.word_slices(texts):
+        for i in range(at, to):
+            words, own = substring_dedup.words_of(texts[i]), found[bounds[i - at] : bounds[i - at + 1]].tolist()
+            assert len(words) == len(own) and all(known.setdefault(w, h) == h for w, h in zip(words, own, strict=True))
+    assert len(set(known.values())) == len(known)
+    assert list(substring_dedup.word_slices([])) == []
+
+
+def test_hashing_words_costs_little_more_than_cutting_them():
+    import time
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    r = random.Random(4)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(2000)) for _ in range(300)]
+    assert least(lambda: list(substring_dedup.word_slices(texts))) < 3 * least(lambda: [substring_dedup.words_of(t) for t in texts])
+
+
 @pytest.mark.parametrize("hot", [400, 2])
 def test_substring_dedup(spark, hot):
     rows = corpus(7)
